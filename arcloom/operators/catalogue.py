@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from arcloom.functions.hashing import hash_hex
 from arcloom.operators.positions import hash_positions, with_positions
+from arcloom.sources.workspace import store
 
 # Genre to language.
 GENRE_LANGUAGE = {
@@ -22,6 +22,7 @@ GENRE_LANGUAGE = {
 }
 URI_PREFIX = "spotify:track:"
 TRACK_ID_PATTERN = "^[A-Za-z0-9]+$"
+POSITION_SPAN = 10_000
 BLANKS = " \t\n\r\x0b\x0c"
 
 
@@ -75,6 +76,7 @@ def uniform_sample(df: DataFrame, size: int, seed, keys) -> DataFrame:
 
 def sample_topup(df: DataFrame, sampled: DataFrame, size: int, seed, keys) -> DataFrame:
     """``sampled`` filled up at random from the other rows of ``df``; never more than ``size`` rows."""
+    sampled = store(sampled, "sample")
     have = sampled.agg(F.count("*")).scalar()
     rest = df.join(sampled.select(*keys), list(keys), "left_anti")
     fill = hash_positions(rest, seed, keys, quota=F.lit(size) - have).drop("pos", "pos_n")
@@ -135,11 +137,12 @@ def collection_counts(songs: DataFrame, clusters: DataFrame) -> DataFrame:
 def split_track_ids(playlist: DataFrame, batch: int = 100, uri_prefix: str = URI_PREFIX) -> DataFrame:
     """Valid ids as URIs numbered in batches per request; others are marked as skipped."""
     valid = F.coalesce(F.col("id").rlike(TRACK_ID_PATTERN), F.lit(False))
-    nth = F.row_number().over(Window.partitionBy("request_id", "valid").orderBy("pos"))
-    return playlist.withColumn("valid", valid).select(
+    numbered = with_positions(playlist.withColumn("valid", valid), bucket=F.floor(F.col("pos") / POSITION_SPAN),
+                              order=["pos"], groups=["request_id", "valid"], out="nth")
+    return numbered.select(
         "request_id", "pos", "id", "valid",
         F.when(F.col("valid"), F.concat(F.lit(uri_prefix), F.col("id"))).alias("uri"),
-        F.when(F.col("valid"), F.floor((nth - 1) / batch)).alias("batch_no"))
+        F.when(F.col("valid"), F.floor(F.col("nth") / batch)).alias("batch_no"))
 
 
 def random_order(df: DataFrame, seed, keys, out: str = "row_id") -> DataFrame:
@@ -160,9 +163,3 @@ def first_in_order(df: DataFrame, order: str, n: int, span: int) -> DataFrame:
     """The first ``n`` rows by an integer column with values in [0, span)."""
     width = max(1, span // 4096)
     return with_positions(df, bucket=F.floor(F.col(order) / width), order=[order], quota=F.lit(n)).drop("pos", "pos_n")
-
-
-def hashed_choice(df: DataFrame, groups, seed, keys) -> DataFrame:
-    """One random row per group: the one with the lowest hash."""
-    pick = F.min(F.struct(hash_hex(seed, *keys).alias("h"), *[c for c in df.columns if c not in groups])).alias("r")
-    return df.groupBy(*groups).agg(pick).select(*groups, "r.*").drop("h")

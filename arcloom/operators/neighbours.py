@@ -84,6 +84,11 @@ def _pivots(answers: DataFrame, n_distinct: int, cell_rows: int, seed) -> np.nda
     return np.array([r["embedding"] for r in drawn], dtype=np.float64)
 
 
+def _block_rows(pivots: np.ndarray) -> int:
+    """Rows handled at once, so that a distance block stays near two million cells."""
+    return max(16, 2_000_000 // len(pivots))
+
+
 def _assign(df: DataFrame, pivots: np.ndarray) -> DataFrame:
     """Add ``cell`` and ``radius``, the nearest pivot and the distance to it."""
 
@@ -93,8 +98,9 @@ def _assign(df: DataFrame, pivots: np.ndarray) -> DataFrame:
         if not len(x):
             return pa.array([], type=pa.struct([("cell", pa.int32()), ("radius", pa.float64())]))
         cells, radii = [], []
-        for lo in range(0, len(x), 2048):
-            part = x[lo:lo + 2048]
+        step = _block_rows(pivots)
+        for lo in range(0, len(x), step):
+            part = x[lo:lo + step]
             cell = squared_distances(part, pivots).argmin(1)
             cells.append(cell)
             radii.append(np.linalg.norm(part - pivots[cell], axis=1))
@@ -115,9 +121,10 @@ def _probe_column(pivots: np.ndarray, low: np.ndarray, high: np.ndarray, nprobe:
         cells = home.to_numpy(zero_copy_only=False)
         bounds = bound.to_numpy(zero_copy_only=False)
         out = []
-        for lo in range(0, len(x), 2048):
-            d = np.sqrt(squared_distances(x[lo:lo + 2048], pivots))
-            own = cells[lo:lo + 2048]
+        step = _block_rows(pivots)
+        for lo in range(0, len(x), step):
+            d = np.sqrt(squared_distances(x[lo:lo + step], pivots))
+            own = cells[lo:lo + step]
             if nprobe is not None:
                 order = np.argsort(d, axis=1, kind="stable")[:, :nprobe]
                 out += [row[row != c].astype(np.int32) for row, c in zip(order, own)]
@@ -126,7 +133,7 @@ def _probe_column(pivots: np.ndarray, low: np.ndarray, high: np.ndarray, nprobe:
             with np.errstate(divide="ignore", invalid="ignore"):
                 bisector = np.where(between[own] > 0, (d * d - d_own * d_own) / (2 * between[own]), 0.0)
             least = np.maximum(np.maximum(d - high, low - d), bisector)
-            wanted = least <= bounds[lo:lo + 2048][:, None] + SLACK + 1e-7 * (1 + d)
+            wanted = least <= bounds[lo:lo + step][:, None] + SLACK + 1e-7 * (1 + d)
             wanted[np.arange(len(d)), own] = False
             out += [np.flatnonzero(row).astype(np.int32) for row in wanted]
         return pa.array(out, type=pa.list_(pa.int32()))
@@ -134,18 +141,25 @@ def _probe_column(pivots: np.ndarray, low: np.ndarray, high: np.ndarray, nprobe:
     return probes
 
 
-def _visit(queries: DataFrame, data: DataFrame, k: int, id_type: str) -> DataFrame:
+def _visit(queries: DataFrame, data: DataFrame, chunks: np.ndarray, k: int, chunk_rows: int) -> DataFrame:
     """Local best rows ``(rep, id, dist, cosine)`` for queries that name the ``target`` cells.
 
-    Both sides are cut into chunks, so each group holds at most about two chunks of vectors.
+    Queries of a cell are cut by hash like its data, so a group holds about one chunk of either side.
+    ``queries`` is counted per cell first; cells are at most ``MAX_CELLS``.
     """
-    wanted = queries.select(F.col("cell").alias("q_cell"), F.col("chunk").alias("q_chunk"), "target").distinct()
-    left = queries.select(
-        "rep", F.col("embedding").alias("q_vec"), F.col("cell").alias("q_cell"), F.col("chunk").alias("q_chunk"), "target",
-        F.explode(F.sequence(F.lit(0), F.col("target_chunks") - 1)).alias("d_chunk"))
-    right = data.select("id", F.col("embedding").alias("d_vec"), F.col("cell").alias("target"), F.col("chunk").alias("d_chunk")).join(
-        wanted, "target")
-    keys = ["q_cell", "q_chunk", "target", "d_chunk"]
+    loads = np.ones(len(chunks), dtype=np.int64)
+    for row in queries.groupBy("target").agg(F.count("*").alias("n")).collect():
+        loads[row["target"]] = -(-row["n"] // chunk_rows)
+    id_type = queries.schema["rep"].dataType.simpleString()
+    left = _with_lookup(_with_lookup(queries, "target", chunks, "n_data"), "target", loads, "n_query").select(
+        "rep", F.col("embedding").alias("q_vec"), "target",
+        (hash_bucket(hash_hex("query", "rep"), 7) % F.col("n_query")).cast("int").alias("q_chunk"),
+        F.explode(F.sequence(F.lit(0), F.col("n_data") - 1)).alias("d_chunk"))
+    right = _with_lookup(data.select("id", F.col("embedding").alias("d_vec"), F.col("cell").alias("d_cell"), "chunk"),
+                         "d_cell", loads, "n_query").select(
+        "id", "d_vec", F.col("d_cell").alias("target"), F.col("chunk").alias("d_chunk"),
+        F.explode(F.sequence(F.lit(0), F.col("n_query") - 1)).alias("q_chunk"))
+    keys = ["target", "d_chunk", "q_chunk"]
     limit = k + 1
 
     def kernel(left_rows: pa.Table, right_rows: pa.Table) -> pa.Table:
@@ -169,6 +183,14 @@ def _visit(queries: DataFrame, data: DataFrame, k: int, id_type: str) -> DataFra
         kernel, f"rep {id_type}, id {id_type}, dist double, cosine double")
 
 
+def _with_lookup(df: DataFrame, cell: str, values: np.ndarray, out: str) -> DataFrame:
+    """Add a per-cell number; a literal for few cells, a broadcast table of at most MAX_CELLS rows else."""
+    if len(values) <= 64:
+        return df.withColumn(out, F.element_at(F.array(*[F.lit(int(v)) for v in values]), F.col(cell) + 1))
+    rows = [(i, int(v)) for i, v in enumerate(values)]
+    return df.join(F.broadcast(df.sparkSession.createDataFrame(rows, f"{cell} int, {out} int")), cell)
+
+
 def _best(found: DataFrame, k: int) -> DataFrame:
     """The ``k + 1`` nearest ids of each representative, nearest first."""
     order = Window.partitionBy("rep").orderBy("dist", "id")
@@ -195,33 +217,20 @@ def nearest(songs: DataFrame, k: int, *, nprobe: int | None = None, cell_rows: i
             F.count("*").alias("n"), F.min("radius").alias("lo"), F.max("radius").alias("hi")).collect():
         sizes[row["cell"]], low[row["cell"]], high[row["cell"]] = row["n"], row["lo"], row["hi"]
     chunks = np.maximum(1, -(-sizes // chunk_rows))
-    chunk_list = F.array(*[F.lit(int(c)) for c in chunks]) if len(chunks) <= 64 else None
-    sparkless = [(int(i), int(c)) for i, c in enumerate(chunks)]
-    per_cell = songs.sparkSession.createDataFrame(sparkless, "cell int, n_chunks int")
-
-    def with_chunks(df: DataFrame, cell: str, out: str) -> DataFrame:
-        if chunk_list is not None:
-            return df.withColumn(out, F.element_at(chunk_list, F.col(cell) + 1))
-        lookup = per_cell.select(F.col("cell").alias(cell), F.col("n_chunks").alias(out))
-        return df.join(F.broadcast(lookup), cell)
-
-    placed = with_chunks(placed, "cell", "n_chunks").withColumn(
+    placed = _with_lookup(placed, "cell", chunks, "n_chunks").withColumn(
         "chunk", (hash_bucket(hash_hex("chunk", "id"), 7) % F.col("n_chunks")).cast("int"))
     if len(pivots) > 1:
         placed = store(placed, "placed")
-    queries = placed.filter("copy = 1").withColumnRenamed("id", "rep")
-    at_home = queries.withColumns({"target": F.col("cell"), "target_chunks": F.col("n_chunks")})
-    found = _visit(at_home, placed, k, id_type)
-    best = _best(found, k)
+    queries = placed.filter("copy = 1").select(F.col("id").alias("rep"), "embedding", "cell")
+    best = _best(_visit(queries.withColumn("target", F.col("cell")), placed, chunks, k, chunk_rows), k)
     if len(pivots) > 1:
         best = store(best, "home_best")
         bound = best.groupBy("rep").agg(
             F.when(F.count("*") > k, F.max("dist")).otherwise(F.lit(float("inf"))).alias("bound"))
         probes = _probe_column(pivots, low, high, nprobe)
-        away = queries.join(bound, "rep").withColumn(
-            "target", F.explode(probes("embedding", "cell", "bound"))).drop("bound")
-        more = _visit(with_chunks(away, "target", "target_chunks"), placed, k, id_type)
-        best = _best(best.unionByName(more), k)
+        away = queries.join(bound, "rep").select("rep", "embedding", F.explode(
+            probes("embedding", "cell", "bound")).alias("target"))
+        best = _best(best.unionByName(_visit(away, placed, chunks, k, chunk_rows)), k)
     return _per_member(members, best, k)
 
 

@@ -178,7 +178,8 @@ def _with_pool_draws(state: DataFrame, pools: DataFrame, sizes: DataFrame, needs
     one = sizes.filter("other = -1").select("mood", F.col("pool_n").alias("n_one"))
     two = sizes.filter("other <> -1").select("mood", F.col("other").alias("next_mood"), F.col("pool_n").alias("n_two"))
     sized = state.join(one, "mood", "left").join(two, ["mood", "next_mood"], "left")
-    keys = ["request_id", "current"]
+    turn = F.col("zone") if "zone" in state.columns else F.lit(0)
+    keys = ["request_id", turn, F.size("played")]
 
     def plan(kind, n, size, other):
         want = F.lit(size) + F.size("played")
@@ -355,29 +356,36 @@ def softmax_sample(cands: DataFrame, temperature: Column, seed, group="request_i
     return cands.groupBy(group).agg(F.max(key).alias("m")).select(group, "m.id", "m.score")
 
 
-def _row_draw(cands: Column, profile: Profile, alpha: Column, temperature: Column, seed, *keys) -> Column:
-    """Score, flatten and draw one candidate of an array; null for an empty one."""
+def _with_draw(rows: DataFrame, profile: Profile, alpha: Column, seed, *keys) -> DataFrame:
+    """Score, flatten and draw one of ``cands`` into ``drawn``; null where there is none.
+
+    What a lambda needs from the whole array is its own column, so it is computed once per row.
+    """
     def transition(c):
         return F.coalesce(c["graph"], c["direct"]) if profile.stored_score else c["direct"]
 
-    scored = F.transform(cands, lambda c: F.struct(
+    scored = F.transform("cands", lambda c: F.struct(
         blend(transition(c), c["mood_score"], alpha).alias("score"), c["id"].alias("id"), c["source"].alias("source"),
         uniform(seed, *keys, c["id"]).alias("u")))
-    ordered = F.array_sort(F.transform(scored, lambda c: c["score"]))
-    n = F.size(ordered)
+    rows = rows.withColumn("_scored", scored).withColumn(
+        "_sorted", F.array_sort(F.transform("_scored", lambda c: c["score"])))
+    n = F.size("_sorted")
+
+    def nth(i):
+        return F.try_element_at("_sorted", F.greatest(F.floor(i).cast("int"), F.lit(1)))
+
     if profile.stored_score:
-        mid = (F.try_element_at(ordered, F.greatest(F.floor((n + 1) / 2).cast("int"), F.lit(1)))
-               + F.try_element_at(ordered, F.floor((n + 2) / 2).cast("int"))) / 2
-        flat = lambda s: F.when((n > 1) & (mid > 0), F.least(s, F.lit(1.5) * mid)).otherwise(s)
-        heat = temperature + F.lit(1e-8)
+        rows = rows.withColumn("_cap", F.lit(1.5) * (nth((n + 1) / 2) + nth((n + 2) / 2)) / 2)
+        flat = lambda s: F.when((F.col("_cap") > 0) & (s > F.col("_cap")), F.col("_cap")).otherwise(s)
+        heat = F.col("temperature") + F.lit(1e-8)
     else:
-        top, second = F.try_element_at(ordered, F.lit(-1)), F.try_element_at(ordered, F.lit(-2))
-        flat = lambda s: F.when((n > 1) & (top > 2 * second), F.sqrt(F.greatest(s, F.lit(0.0)))).otherwise(s)
-        heat = F.greatest(temperature, F.lit(1e-6))
-    keyed = F.transform(scored, lambda c: F.struct(
+        rows = rows.withColumn("_damp", (n > 1) & (nth(n) > 2 * nth(n - 1)))
+        flat = lambda s: F.when(F.col("_damp"), F.sqrt(F.greatest(s, F.lit(0.0)))).otherwise(s)
+        heat = F.greatest("temperature", F.lit(1e-6))
+    keyed = F.transform("_scored", lambda c: F.struct(
         tidy(flat(c["score"]) / heat + gumbel(c["u"]), 9).alias("key"), c["id"].alias("id"), c["score"].alias("score"),
         c["source"].alias("source")))
-    return F.array_max(keyed)
+    return rows.withColumn("drawn", F.array_max(keyed)).drop("_scored", "_sorted", "_cap", "_damp")
 
 
 # --- seeds and the walk --------------------------------------------------------------------------
@@ -419,9 +427,13 @@ def _next_zone() -> Column:
     return F.try_element_at(F.filter(rest, open_zone), F.lit(1))
 
 
-def walk_step(state: DataFrame, neighbours: DataFrame, pools: DataFrame, sizes: DataFrame, p: Profile, seed,
-              step: int) -> DataFrame:
-    """Advance every request by one song, or to the next zone where nothing fits."""
+def walk_step(state: DataFrame, neighbours: DataFrame, pools: DataFrame, sizes: DataFrame, p: Profile,
+              seed) -> DataFrame:
+    """Advance every request by one song, or to the next zone where nothing fits.
+
+    The zone and the number of songs played key the random draws, so the plan's text and its generated
+    code are the same in every step.
+    """
     zone = _next_zone()
     open_rows = state.withColumn("_z", zone).filter("_z is not null").withColumns({
         "filled": F.when(F.col("_z") == F.col("zone"), F.col("filled")).otherwise(0), "zone": F.col("_z")}).drop("_z")
@@ -429,15 +441,15 @@ def walk_step(state: DataFrame, neighbours: DataFrame, pools: DataFrame, sizes:
         "mood": F.element_at("arc", F.col("zone") + 1),
         "next_mood": F.try_element_at(F.col("arc"), (F.col("zone") + 2).cast("int"))})
     bridge = F.col("next_mood").isNotNull() & (F.col("filled") == F.element_at("lens", F.col("zone") + 1) - 1)
-    rows = _with_candidates(placed, neighbours, pools, sizes, bridge, p, f"{seed}-{step}")
+    rows = _with_candidates(placed, neighbours, pools, sizes, bridge, p, seed)
     alpha = F.lit(ALPHA_START) + F.lit(ALPHA_SPAN) * F.col("zone") / F.greatest(F.size("arc") - 1, F.lit(1))
-    drawn = rows.withColumn("_c", _row_draw(F.col("cands"), p, alpha, F.col("temperature"), f"{seed}-{step}-draw", "request_id"))
-    got = F.col("_c").isNotNull()
-    pick = F.array(F.struct(F.col("_c.id").alias("id"), F.col("mood").alias("mood"), F.col("_c.score").alias("score"),
-                            F.col("_c.source").alias("source"), F.col("bridged").alias("bridge")))
+    drawn = _with_draw(rows, p, alpha, f"{seed}-draw", "request_id", "zone", F.size("played"))
+    got = F.col("drawn").isNotNull()
+    pick = F.array(F.struct(F.col("drawn.id").alias("id"), F.col("mood").alias("mood"), F.col("drawn.score").alias("score"),
+                            F.col("drawn.source").alias("source"), F.col("bridged").alias("bridge")))
     return drawn.select(
-        "request_id", F.when(got, F.col("_c.id")).otherwise(F.col("current")).alias("current"), "arc", "lens",
-        "temperature", "wanted", F.when(got, F.concat("played", F.array("_c.id"))).otherwise(F.col("played")).alias("played"),
+        "request_id", F.when(got, F.col("drawn.id")).otherwise(F.col("current")).alias("current"), "arc", "lens",
+        "temperature", "wanted", F.when(got, F.concat("played", F.array("drawn.id"))).otherwise(F.col("played")).alias("played"),
         F.when(got, F.col("zone")).otherwise(F.col("zone") + 1).alias("zone"),
         F.when(got, F.col("filled") + 1).otherwise(0).alias("filled"),
         F.when(got, F.concat("picks", pick)).otherwise(F.col("picks")).alias("picks"))
@@ -451,15 +463,14 @@ def generate_playlists(requests: DataFrame, seeds: DataFrame, neighbours: DataFr
     """
     p = PROFILES[profile]
     state = cut_lineage(_start(requests, seeds, p))
-    done, step = [], 0
+    done = []
     while True:
         over = state.filter(_next_zone().isNull())
         done.append(over)
         state = state.filter(_next_zone().isNotNull())
         if state.isEmpty():
             break
-        state = cut_lineage(walk_step(state, neighbours, pools, sizes, p, seed, step))
-        step += 1
+        state = cut_lineage(walk_step(state, neighbours, pools, sizes, p, seed))
     finished = done[0]
     for part in done[1:]:
         finished = finished.unionByName(part)

@@ -229,10 +229,10 @@ def filter_language(spark, sf):
    CASE WHEN len(unknown) > 0 THEN 'unknown moods: ' || array_to_string(unknown, ',') END,
    CASE WHEN NOT temperature BETWEEN 0.05 AND 3.0 THEN 'temperature out of range' END,
    CASE WHEN NOT playlist_len BETWEEN 5 AND 50 THEN 'length out of range' END], lambda x: x IS NOT NULL), '; ') AS errors
- FROM (SELECT *, list_sort(list_distinct(list_filter(arc, lambda m: NOT list_contains((SELECT list(label) FROM names), m)))) AS unknown FROM (
+ FROM (SELECT *, list_sort(list_distinct(list_filter(arc, lambda m: NOT list_contains(known, m)))) AS unknown FROM (
   SELECT c_custkey AS request_id, CASE WHEN c_mktsegment = 'BUILDING' THEN []::VARCHAR[] ELSE
    ['mood_' || (c_nationkey % 12), 'mood_' || (c_custkey % 11)] END AS arc, c_acctbal / 3000 AS temperature,
-   c_nationkey * 3 AS playlist_len FROM customer))""", ("names",))
+   c_nationkey * 3 AS playlist_len, known FROM customer, (SELECT list(label) AS known FROM names)))""", ("names",))
 def validate_requests(spark, sf):
     arc = F.when(F.col("c_mktsegment") == "BUILDING", F.array().cast("array<string>")).otherwise(F.array(
         F.concat(F.lit("mood_"), (F.col("c_nationkey") % 12).cast("string")),

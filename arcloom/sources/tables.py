@@ -70,9 +70,10 @@ def write_playlists(playlists: DataFrame, buckets: int = 64) -> DataFrame:
     """Store playlists and read them back.
 
     Partitioned by a bounded bucket of the request id: one folder per request would mean one file each.
+    Rebalancing lets Spark merge small buckets and split big ones into files of even size.
     """
     bucketed = playlists.withColumn("bucket", F.pmod(F.xxhash64("request_id"), F.lit(buckets)).cast("int"))
-    return overwrite_table(bucketed.repartition("bucket", "request_id"), "playlists", ["bucket"]).drop("bucket")
+    return overwrite_table(bucketed.hint("rebalance", "bucket"), "playlists", ["bucket"]).drop("bucket")
 
 
 def playlist_json(playlists: DataFrame) -> DataFrame:
