@@ -64,8 +64,8 @@ def danceability_proxy(beats: DataFrame, span_seconds: int = 3600) -> DataFrame:
     stats = gaps.select("track", "gap").unionByName(across.select("track", "gap")).groupBy("track").agg(
         F.stddev_pop("gap").alias("s"), F.avg("gap").alias("m"))
     raw = F.lit(1.0) - F.col("s") / (F.col("m") + F.lit(EPS))
-    return beats.select("track").distinct().join(stats, "track", "left").select(
-        "track", F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw)), F.lit(0.0)).alias("danceability_proxy"))
+    clipped = F.when(F.col("m").isNull(), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw)))
+    return beats.select("track").distinct().join(stats, "track", "left").select("track", clipped.alias("danceability_proxy"))
 
 
 def acousticness_proxy(spectrum: DataFrame) -> DataFrame:

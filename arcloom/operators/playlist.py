@@ -158,11 +158,21 @@ def _unplayed(near: Column, played: Column) -> Column:
 
 
 def _draw_positions(pool_n: Column, size: Column, seed, *keys) -> Column:
-    """``size`` different positions of a pool, one from each of as many even strata; all of a small pool."""
+    """``size`` different positions of a pool; all of a small pool.
+
+    The pool, turned by a random offset, is cut into ``size`` strata and one position is drawn from each:
+    no repeats, the same chance for every song, and nothing is read but the drawn rows.
+    """
+    def start(j):
+        return F.floor(j * pool_n / size)
+
+    def one(j):
+        inside = start(j) + F.floor(uniform(seed, *keys, j) * (start(j + 1) - start(j)))
+        return F.pmod(inside + F.floor(uniform(f"{seed}-turn", *keys) * pool_n), pool_n)
+
     count = F.least(pool_n, size)
     drawn = F.transform(F.sequence(F.lit(0), F.greatest(count, F.lit(1)) - 1), lambda j: F.when(
-        pool_n <= size, j.cast("long")).otherwise(
-        F.least(F.floor((j + uniform(seed, *keys, j)) * pool_n / size), pool_n - 1)))
+        pool_n <= size, j.cast("long")).otherwise(one(j)))
     return F.when(count > 0, drawn).otherwise(F.array().cast("array<bigint>"))
 
 

@@ -336,7 +336,7 @@ def valence_proxy(spark, sf):
 
 
 @query("danceability_proxy", """
- SELECT track, round(coalesce(least(1, greatest(0, 1 - stddev_pop(gap) / (avg(gap) + 1e-6))), 0), 6) AS danceability_proxy FROM (
+ SELECT track, round(CASE WHEN count(gap) = 0 THEN 0 ELSE least(1, greatest(0, 1 - stddev_pop(gap) / (avg(gap) + 1e-6))) END, 6) AS danceability_proxy FROM (
   SELECT user_id AS track, epoch(ts) - lag(epoch(ts)) OVER (PARTITION BY user_id ORDER BY ts) AS gap FROM events) GROUP BY track""")
 def danceability_proxy(spark, sf):
     beats = _events(spark, sf).select("track", F.col("ts").cast("timestamp").cast("double").alias("beat_time"))
