@@ -31,8 +31,11 @@ def hex_uniform(hex_col: Column) -> Column:
 
 
 def hash_bucket(hex_col: Column, digits: int = BUCKET_HEX_DIGITS) -> Column:
-    """Leading hex digits as an integer; ordered like the hash itself."""
-    return F.conv(F.substring(hex_col, 1, digits), 16, 10).cast("int")
+    """Leading hex digits as an integer; ordered like the hash itself.
+
+    Never null, so that joins on it add no null test that would hash every row once more.
+    """
+    return F.coalesce(F.conv(F.substring(hex_col, 1, digits), 16, 10).cast("int"), F.lit(0))
 
 
 def gumbel(u: Column) -> Column:

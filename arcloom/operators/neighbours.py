@@ -28,29 +28,33 @@ from arcloom.sources.workspace import store
 MAX_CELLS = 8192
 CELL_ROWS = 32_000
 CHUNK_ROWS = 8_000
+BLOCK_CELLS = 1_000_000
 DIGITS = 6
 SLACK = 10.0**-DIGITS * 2
 
 
-def squared_distances(q: np.ndarray, d: np.ndarray) -> np.ndarray:
-    out = (q * q).sum(1)[:, None] + (d * d).sum(1)[None, :] - 2.0 * (q @ d.T)
+def squared_distances(q: np.ndarray, d: np.ndarray, d_sq: np.ndarray | None = None) -> np.ndarray:
+    """All squared distances by one matrix product, worked on in place."""
+    out = (q * -2.0) @ d.T
+    out += (d * d).sum(1) if d_sq is None else d_sq
+    out += (q * q).sum(1)[:, None]
     return np.maximum(out, 0.0, out=out)
 
 
-def local_best(q: np.ndarray, d: np.ndarray, d_ids: np.ndarray, limit: int):
+def local_best(q: np.ndarray, d: np.ndarray, d_sq: np.ndarray, d_ids: np.ndarray, limit: int):
     """Row and column indexes, rounded distances and cosines of the ``limit`` best per query row.
 
     The matrix product only preselects; what lies within rounding of the cut is measured exactly.
     """
-    approx = squared_distances(q, d)
+    approx = squared_distances(q, d, d_sq)
     if d.shape[0] > limit:
         cut = np.sqrt(np.partition(approx, limit - 1, axis=1)[:, limit - 1])
-        scale = np.sqrt((q * q).sum(1) + (d * d).sum(1).max())
+        scale = np.sqrt((q * q).sum(1) + d_sq.max())
         reach = cut + SLACK + 1e-7 * scale
         rows, cols = np.nonzero(approx <= (reach * reach)[:, None])
     else:
         rows, cols = (a.ravel() for a in np.indices(approx.shape))
-    q_norm, d_norm = np.linalg.norm(q, axis=1) + 1e-8, np.linalg.norm(d, axis=1) + 1e-8
+    q_norm, d_norm = np.linalg.norm(q, axis=1) + 1e-8, np.sqrt(d_sq) + 1e-8
     dist, cosine = np.empty(len(rows)), np.empty(len(rows))
     for lo in range(0, len(rows), 65_536):
         r, c = rows[lo:lo + 65_536], cols[lo:lo + 65_536]
@@ -65,14 +69,19 @@ def local_best(q: np.ndarray, d: np.ndarray, d_ids: np.ndarray, limit: int):
     return rows[keep], cols[keep], dist[keep], cosine[keep]
 
 
-def _distinct_vectors(songs: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
-    """``(id, rep, n)`` of all songs and ``(id, embedding, rep)`` of those that can be answers."""
-    base = songs.select("id", F.col("embedding").cast("array<double>").alias("embedding"))
-    firsts = Window.partitionBy("embedding").orderBy("id")
-    answers = store(
-        base.withColumn("copy", F.row_number().over(firsts)).filter(F.col("copy") <= k + 1), "vectors")
-    reps = answers.filter("copy = 1").select("embedding", F.col("id").alias("rep"))
-    return base.join(reps, "embedding").select("id", "rep"), answers
+def _distinct_vectors(songs: DataFrame, k: int) -> tuple[DataFrame, DataFrame, int]:
+    """``(id, rep)`` of all songs, ``(id, embedding, copy, rep)`` of those that can be answers, and the
+    number of distinct vectors. The hash spares the sort most comparisons of whole vectors."""
+    base = songs.select("id", F.col("embedding").cast("array<double>").alias("embedding")).withColumn(
+        "h", F.xxhash64("embedding"))
+    firsts = Window.partitionBy("h", "embedding").orderBy("id")
+    limited = base.withColumn("copy", F.row_number().over(firsts)).filter(F.col("copy") <= k + 1)
+    answers = store(limited.withColumn("rep", F.min("id").over(Window.partitionBy("h", "embedding"))), "vectors")
+    kept, distinct = answers.agg(F.count("*"), F.count_if(F.col("copy") == 1)).first()
+    if kept == songs.count():
+        return answers.select("id", "rep"), answers, distinct
+    reps = answers.filter("copy = 1").select("h", "embedding", "rep")
+    return base.join(reps, ["h", "embedding"]).select("id", "rep"), answers, distinct
 
 
 def _pivots(answers: DataFrame, n_distinct: int, cell_rows: int, seed) -> np.ndarray:
@@ -85,12 +94,14 @@ def _pivots(answers: DataFrame, n_distinct: int, cell_rows: int, seed) -> np.nda
 
 
 def _block_rows(pivots: np.ndarray) -> int:
-    """Rows handled at once, so that a distance block stays near two million cells."""
-    return max(16, 2_000_000 // len(pivots))
+    """Rows handled at once, so that a distance block stays near BLOCK_CELLS."""
+    return max(16, BLOCK_CELLS // len(pivots))
 
 
 def _assign(df: DataFrame, pivots: np.ndarray) -> DataFrame:
     """Add ``cell`` and ``radius``, the nearest pivot and the distance to it."""
+    if len(pivots) == 1:
+        return df.withColumns({"cell": F.lit(0), "radius": F.lit(0.0)})
 
     @F.arrow_udf("struct<cell:int,radius:double>")
     def nearest(batch: pa.Array) -> pa.Array:
@@ -141,15 +152,16 @@ def _probe_column(pivots: np.ndarray, low: np.ndarray, high: np.ndarray, nprobe:
     return probes
 
 
-def _visit(queries: DataFrame, data: DataFrame, chunks: np.ndarray, k: int, chunk_rows: int) -> DataFrame:
+def _n_chunks(rows: np.ndarray, chunk_rows: int) -> np.ndarray:
+    return np.maximum(1, -(-rows // chunk_rows))
+
+
+def _visit(queries: DataFrame, data: DataFrame, chunks: np.ndarray, loads: np.ndarray, k: int) -> DataFrame:
     """Local best rows ``(rep, id, dist, cosine)`` for queries that name the ``target`` cells.
 
-    Queries of a cell are cut by hash like its data, so a group holds about one chunk of either side.
-    ``queries`` is counted per cell first; cells are at most ``MAX_CELLS``.
+    ``chunks`` and ``loads`` say into how many parts the data and the queries of each cell are cut by
+    hash, so a group holds about one chunk of either side.
     """
-    loads = np.ones(len(chunks), dtype=np.int64)
-    for row in queries.groupBy("target").agg(F.count("*").alias("n")).collect():
-        loads[row["target"]] = -(-row["n"] // chunk_rows)
     id_type = queries.schema["rep"].dataType.simpleString()
     left = _with_lookup(_with_lookup(queries, "target", chunks, "n_data"), "target", loads, "n_query").select(
         "rep", F.col("embedding").alias("q_vec"), "target",
@@ -171,14 +183,20 @@ def _visit(queries: DataFrame, data: DataFrame, chunks: np.ndarray, k: int, chun
         order = np.argsort(d_ids, kind="stable")
         id_rank = np.empty(len(order), dtype=np.int64)
         id_rank[order] = np.arange(len(order))
-        parts = []
-        for lo in range(0, left_rows.num_rows, 512):
-            some = left_rows.slice(lo, 512)
-            r, c, dist, cosine = local_best(as_matrix(some["q_vec"]), d, id_rank, limit)
+        d_sq = (d * d).sum(1)
+        parts, step = [], max(16, BLOCK_CELLS // len(d))
+        for lo in range(0, left_rows.num_rows, step):
+            some = left_rows.slice(lo, step)
+            r, c, dist, cosine = local_best(as_matrix(some["q_vec"]), d, d_sq, id_rank, limit)
             parts.append(pa.table({"rep": some["rep"].take(pa.array(r)), "id": right_rows["id"].take(pa.array(c)),
                                    "dist": pa.array(dist), "cosine": pa.array(cosine)}))
         return pa.concat_tables(parts)
 
+    # The work per byte is high, so the partitions must not be merged by size: their number is given.
+    spark = queries.sparkSession
+    width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    parts = int(min(width, (chunks * loads).sum()))
+    left, right = left.repartition(parts, *keys), right.repartition(parts, *keys)
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(
         kernel, f"rep {id_type}, id {id_type}, dist double, cosine double")
 
@@ -204,8 +222,7 @@ def nearest(songs: DataFrame, k: int, *, nprobe: int | None = None, cell_rows: i
     Distances are rounded to six digits and ties go to the lower id. ``nprobe=None`` is exact.
     """
     id_type = songs.schema["id"].dataType.simpleString()
-    members, answers = _distinct_vectors(songs, k)
-    n_distinct = answers.filter("copy = 1").count()
+    members, answers, n_distinct = _distinct_vectors(songs, k)
     if not n_distinct:
         return songs.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(0).alias("rank"),
                             F.lit(0.0).alias("dist"), F.lit(0.0).alias("cosine")).limit(0)
@@ -213,16 +230,19 @@ def nearest(songs: DataFrame, k: int, *, nprobe: int | None = None, cell_rows: i
     placed = _assign(answers, pivots)
     sizes = np.zeros(len(pivots), dtype=np.int64)
     low, high = np.full(len(pivots), np.inf), np.zeros(len(pivots))
+    homes = np.zeros(len(pivots), dtype=np.int64)
     for row in placed.groupBy("cell").agg(
-            F.count("*").alias("n"), F.min("radius").alias("lo"), F.max("radius").alias("hi")).collect():
-        sizes[row["cell"]], low[row["cell"]], high[row["cell"]] = row["n"], row["lo"], row["hi"]
-    chunks = np.maximum(1, -(-sizes // chunk_rows))
+            F.count("*").alias("n"), F.count_if(F.col("copy") == 1).alias("q"), F.min("radius").alias("lo"),
+            F.max("radius").alias("hi")).collect():
+        sizes[row["cell"]], homes[row["cell"]] = row["n"], row["q"]
+        low[row["cell"]], high[row["cell"]] = row["lo"], row["hi"]
+    chunks = _n_chunks(sizes, chunk_rows)
     placed = _with_lookup(placed, "cell", chunks, "n_chunks").withColumn(
         "chunk", (hash_bucket(hash_hex("chunk", "id"), 7) % F.col("n_chunks")).cast("int"))
     if len(pivots) > 1:
         placed = store(placed, "placed")
     queries = placed.filter("copy = 1").select(F.col("id").alias("rep"), "embedding", "cell")
-    best = _best(_visit(queries.withColumn("target", F.col("cell")), placed, chunks, k, chunk_rows), k)
+    best = _best(_visit(queries.withColumn("target", F.col("cell")), placed, chunks, _n_chunks(homes, chunk_rows), k), k)
     if len(pivots) > 1:
         best = store(best, "home_best")
         bound = best.groupBy("rep").agg(
@@ -230,7 +250,10 @@ def nearest(songs: DataFrame, k: int, *, nprobe: int | None = None, cell_rows: i
         probes = _probe_column(pivots, low, high, nprobe)
         away = queries.join(bound, "rep").select("rep", "embedding", F.explode(
             probes("embedding", "cell", "bound")).alias("target"))
-        best = _best(best.unionByName(_visit(away, placed, chunks, k, chunk_rows)), k)
+        loads = np.zeros(len(pivots), dtype=np.int64)
+        for row in away.groupBy("target").agg(F.count("*").alias("n")).collect():
+            loads[row["target"]] = row["n"]
+        best = _best(best.unionByName(_visit(away, placed, chunks, _n_chunks(loads, chunk_rows), k)), k)
     return _per_member(members, best, k)
 
 

@@ -54,13 +54,13 @@ def hash_positions(df: DataFrame, seed, keys, *, groups=(), out: str = "pos",
 def running_total(df: DataFrame, order_col: str, value_cols, *, slices: int = 256) -> DataFrame:
     """Sum of each value over all rows with a smaller ``order_col``, as ``<value>_before``.
 
-    ``order_col`` must be unique. Quantile cut points keep the slices even whatever the values are.
+    ``order_col`` must be unique and not null, and ``df`` a stored table: it is read three times. Quantile cut points keep the slices even whatever the values are.
     """
     cuts = df.agg(
         F.percentile_approx(order_col, [i / slices for i in range(1, slices)], 10 * slices)
     ).scalar()
     sliced = df.withColumn("_cuts", cuts).withColumn(
-        "_slice", F.size(F.filter("_cuts", lambda c: c <= F.col(order_col)))).drop("_cuts")
+        "_slice", F.coalesce(F.size(F.filter("_cuts", lambda c: c <= F.col(order_col))), F.lit(0))).drop("_cuts")
     whole = Window.partitionBy(F.lit(0)).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     before = sliced.groupBy("_slice").agg(*[F.sum(v).alias(f"_{v}") for v in value_cols]).select(
         "_slice", *[F.coalesce(F.sum(f"_{v}").over(whole), F.lit(0)).alias(f"_{v}") for v in value_cols])

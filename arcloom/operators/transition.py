@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from arcloom.functions.vectors import as_doubles, cosine_score
 from arcloom.operators.features import pair_features
 from arcloom.operators.positions import running_total
+from arcloom.sources.workspace import store
 
 HIDDEN = [256, 128, 64]
 EPOCHS, PATIENCE = 50, 5
@@ -111,8 +112,8 @@ def roc_auc(preds: DataFrame) -> DataFrame:
 
     Rows are first reduced to distinct scores; the running count is cut into even slices.
     """
-    by_score = preds.groupBy("score").agg(
-        F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") != 1).alias("neg"))
+    by_score = store(preds.groupBy("score").agg(
+        F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") != 1).alias("neg")), "scores")
     ranked = running_total(by_score, "score", ["neg"])
     won = F.sum(F.col("pos") * (F.col("neg_before") + F.col("neg") / 2))
     pairs = F.sum("pos").cast("double") * F.sum("neg").cast("double")

@@ -49,7 +49,7 @@ def cosine(spark, sf):
  SELECT a.id, round(1 - list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v)) + 1e-8), 6) + 0.0 AS dist
  FROM w a JOIN w b ON b.id = a.id + 1""", ("moods",))
 def mood_cosine_distance(spark, sf):
-    v = fx.profiles(spark, sf).select("id", "scores")
+    v = fx.bare_profiles(spark, sf).select("id", "scores")
     other = v.select((F.col("id") - 1).alias("id"), F.col("scores").alias("other"))
     return v.join(other, "id").select("id", tidy(cosine_distance(F.col("scores"), F.col("other")), 6).alias("dist"))
 
@@ -262,7 +262,7 @@ def song_graph_stats(spark, sf):
 
 def _starts(spark, sf):
     """The first song of each label, heading for the next label's mood."""
-    profile = fx.profiles(spark, sf)
+    profile = fx.bare_profiles(spark, sf)
     goal = F.transform("mood_ids", lambda m: F.when(m == (F.col("label") + 1) % 10, 1.0).otherwise(0.0))
     return profile.groupBy("label", "mood_ids").agg(F.min("id").alias("start")).select(
         F.col("label").alias("request_id"), "start", goal.alias("target"))
@@ -279,7 +279,7 @@ def _starts(spark, sf):
  c3 AS (SELECT request_id, node, goal, min(cost) AS cost FROM (SELECT * FROM c2 UNION ALL SELECT c.request_id, s.dst, c.goal, c.cost + s.cost FROM c2 c JOIN steps s ON s.src = c.node AND s.goal = c.goal) GROUP BY ALL)
  SELECT request_id, node, round(cost, 6) AS cost FROM c3""", ("edges", "moods"))
 def mood_path_costs(spark, sf):
-    costs = G.mood_path_costs(_edges(spark, sf), fx.profiles(spark, sf).select("id", "scores"), _starts(spark, sf), 3)
+    costs = G.mood_path_costs(_edges(spark, sf), fx.bare_profiles(spark, sf).select("id", "scores"), _starts(spark, sf), 3)
     return costs.withColumn("cost", F.round("cost", 6))
 
 
@@ -289,7 +289,7 @@ def _edges(spark, sf):
 
 @query("mood_path")
 def mood_path(spark, sf):
-    paths = G.mood_path(_edges(spark, sf), fx.profiles(spark, sf).select("id", "scores"), _starts(spark, sf))
+    paths = G.mood_path(_edges(spark, sf), fx.bare_profiles(spark, sf).select("id", "scores"), _starts(spark, sf))
     return paths.select("request_id", F.round("cost", 6).alias("cost"), F.array_join(F.transform(
         "path", lambda n: n.cast("string")), ">").alias("path"))
 
@@ -594,7 +594,7 @@ BLENDED = CANDS + """ , z AS (SELECT c.request_id, c.id, (1 - 0.55) * c.transiti
 
 
 def _blended(spark, sf):
-    mood = fx.profiles(spark, sf).select("id", "scores")
+    mood = fx.bare_profiles(spark, sf).select("id", "scores")
     owner = fx.vectors(spark, sf).select(F.col("id").alias("request_id"), "label")
     cands = P.score_candidates(_scored(spark, sf)).join(mood, "id").join(owner, "request_id").withColumns({
         "mood_score": F.element_at("scores", F.col("label") + 1), "alpha": F.lit(0.55)})
@@ -688,7 +688,7 @@ def _listening(spark, sf):
  SELECT n.src AS request_id, n.rank::INTEGER AS pos, n.dst AS id, m.moods, n.dist AS score, count(*) OVER (PARTITION BY n.src) AS n_songs,
   count(*) OVER (PARTITION BY n.src) < r.playlist_len AS short FROM nn n JOIN m ON m.id = n.dst JOIN requests r ON r.request_id = n.src WHERE n.rank <= 12""", ("nn", "ranked", "requests"))
 def playlist_report(spark, sf):
-    return P.playlist_report(_listening(spark, sf), fx.requests(spark, sf), fx.profiles(spark, sf))
+    return P.playlist_report(_listening(spark, sf), fx.requests(spark, sf), fx.bare_profiles(spark, sf))
 
 
 @query("arc_coverage", """
@@ -696,4 +696,4 @@ def playlist_report(spark, sf):
  SELECT a.request_id, a.zone::INTEGER AS zone, a.mood::INTEGER AS mood, count(r.id) AS n FROM a LEFT JOIN nn n ON n.src = a.request_id AND n.rank <= 12
  LEFT JOIN ranked r ON r.id = n.dst AND r.rank = 0 AND r.label_id = a.mood GROUP BY ALL""", ("nn", "ranked", "requests"))
 def arc_coverage(spark, sf):
-    return P.arc_coverage(_listening(spark, sf), fx.placed_requests(spark, sf), fx.profiles(spark, sf))
+    return P.arc_coverage(_listening(spark, sf), fx.placed_requests(spark, sf), fx.bare_profiles(spark, sf))

@@ -190,7 +190,7 @@ def search_text(spark, sf):
     asked = part.select(F.col("p_partkey").alias("query_id"), F.when(
         F.col("p_partkey") % 2 == 0, F.col("p_type")).otherwise(F.substring("p_name", 3, 4)).alias("text"))
     shelf = part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_type").alias("artist"))
-    return S.search_text(asked, shelf, fx.profiles(spark, sf))
+    return S.search_text(asked, shelf, fx.bare_profiles(spark, sf))
 
 
 @query("resolve_seed", """
@@ -431,18 +431,18 @@ def mood_vector(spark, sf):
 
 @query("top_moods", "SELECT id, (rank + 1)::INTEGER AS rank, label_id, score FROM ranked WHERE rank < 3", ("ranked",))
 def top_moods(spark, sf):
-    return S.top_moods(fx.profiles(spark, sf), 3)
+    return S.top_moods(fx.bare_profiles(spark, sf), 3)
 
 
 @query("mood_index", "SELECT id, mood::INTEGER AS mood, rank::INTEGER AS rank, score FROM idx", ("idx",))
 def mood_index(spark, sf):
-    return O.mood_index(fx.profiles(spark, sf).select("id", "scores", "mood_ids"))
+    return O.mood_index(fx.bare_profiles(spark, sf).select("id", "scores", "mood_ids"))
 
 
 @query("mood_index_sizes", """
  SELECT n.label_id, count(i.id) AS entries, count(i.id) < 100 AS thin FROM names n LEFT JOIN idx i ON i.mood = n.label_id GROUP BY n.label_id""", ("idx", "names"))
 def mood_index_sizes(spark, sf):
-    return O.mood_index_sizes(O.mood_index(fx.profiles(spark, sf)), fx.labels(spark, sf))
+    return O.mood_index_sizes(O.mood_index(fx.bare_profiles(spark, sf)), fx.labels(spark, sf))
 
 
 @query("mood_pools", "SELECT mood::INTEGER AS mood, id, pos, n AS pool_n FROM pools", ("pools",))

@@ -52,6 +52,11 @@ def profiles(spark, sf, sharpness: float = SHARPNESS) -> DataFrame:
     return mood_profiles(songs(spark, sf), centroids(spark, sf), sharpness)
 
 
+def bare_profiles(spark, sf) -> DataFrame:
+    """Mood scores from the vectors alone."""
+    return mood_profiles(vectors(spark, sf), centroids(spark, sf), SHARPNESS)
+
+
 def neighbours(spark, sf) -> DataFrame:
     scored = scored_neighbours(vectors(spark, sf), NEAREST_KEPT)
     return neighbour_table(scored, profiles(spark, sf), prune=WALK_PRUNE)

@@ -27,10 +27,10 @@ def append_new_rows(existing: DataFrame, incoming: DataFrame, key: str, order) -
 
 
 def upsert_features(existing: DataFrame, incoming: DataFrame, key: str, stamp: Column, order) -> DataFrame:
-    """Incoming rows replace existing ones; the last of each key wins and is stamped."""
-    latest = _first_per_key(incoming, key, order).withColumn("processed_at", stamp)
-    kept = existing.join(latest.select(key), key, "left_anti")
-    return kept.unionByName(latest, allowMissingColumns=True)
+    """Incoming rows replace existing ones; the last of each key wins and is stamped. One shuffle by key."""
+    stamped = incoming.withColumns({"processed_at": stamp, "_new": F.lit(1)})
+    both = existing.withColumn("_new", F.lit(0)).unionByName(stamped, allowMissingColumns=True)
+    return _first_per_key(both, key, [F.desc("_new"), *order]).drop("_new")
 
 
 def overwrite_table(df: DataFrame, name: str, partition_by=()) -> DataFrame:
