@@ -2,8 +2,8 @@
 
 State is one row per request; candidates live in bounded arrays inside that row (at most 30 graph,
 60 near and 60 pool songs). A step joins the state with the packed neighbour table, joins the few
-pool draws that are needed, and decides inside the row. Requests are independent, so a step costs the
-same three small shuffles whatever the number of requests.
+pool draws that are needed, and decides inside the row. Both tables are laid out by their join keys
+once, so a step shuffles nothing but the small state, three times, whatever the size of the catalogue.
 
 Moods are positions in label order. The ``service`` profile is the web variant of the walk, ``batch``
 the command-line one; they differ in tier sizes, flattening and length.
@@ -20,7 +20,7 @@ from arcloom.functions.hashing import gumbel, hash_hex, uniform
 from arcloom.functions.vectors import as_doubles, cosine_score, tidy
 from arcloom.operators.moods import LOOSE_FLOOR, language_fits, mood_score
 from arcloom.operators.search import top_moods
-from arcloom.sources.workspace import cut_lineage
+from arcloom.sources.workspace import co_locate, cut_lineage, store
 
 # Tier sizes, bridge bound, blend weights and the sample a language seed is drawn from.
 GRAPH_K, NEAR_K, POOL_K = 30, 60, 60
@@ -28,6 +28,10 @@ ENOUGH = 3
 BRIDGE_FLOOR = 0.4
 ALPHA_START, ALPHA_SPAN = 0.4, 0.3
 SEED_SAMPLE = 200
+# Layout: pools up to this size are spread over salts, and a step with more requests than this at one song
+# joins the plain table, where adaptive execution can split them.
+SMALL_POOL, SALTS = 4096, 32
+HOT_REQUESTS = 100_000
 NEAREST_KEPT = 3 * NEAR_K - 1
 DIGITS = 6
 
@@ -53,6 +57,18 @@ PROFILES = {
 }
 
 
+class Columns:
+    """Column expressions of a step, built once and used again in every step of a walk."""
+
+    def __init__(self):
+        self._known: dict = {}
+
+    def __call__(self, name: str, build):
+        if name not in self._known:
+            self._known[name] = build()
+        return self._known[name]
+
+
 # --- tables the walk reads ---------------------------------------------------------------------
 
 def neighbour_table(scored: DataFrame, songs: DataFrame, k: int = 50, prune: float = 0.3,
@@ -176,14 +192,27 @@ def _draw_positions(pool_n: Column, size: Column, seed, *keys) -> Column:
     return F.when(count > 0, drawn).otherwise(F.array().cast("array<bigint>"))
 
 
-def _with_near(state: DataFrame, neighbours: DataFrame) -> DataFrame:
-    joined = state.join(neighbours, "current", "left")
-    empty = F.array().cast(neighbours.schema["near"].dataType)
-    return joined.withColumn("near", F.coalesce(_unplayed(F.col("near"), F.col("played")), empty))
+def _with_near(state: DataFrame, neighbours: DataFrame, cols: Columns | None = None) -> DataFrame:
+    near = (cols or Columns())("unplayed", lambda: F.coalesce(
+        _unplayed(F.col("near"), F.col("played")), F.array().cast(neighbours.schema["near"].dataType)))
+    return state.join(neighbours, "current", "left").withColumn("near", near)
+
+
+POOL_KEYS = ["mood", "other", "pos", "salt"]
+
+
+def _salt() -> Column:
+    return F.pmod(F.xxhash64("request_id"), F.lit(SALTS)).cast("int")
+
+
+def salted_pools(pools: DataFrame) -> DataFrame:
+    """Pools with a ``salt``: every request may draw from the same small pool, so its rows are repeated."""
+    copies = F.when(F.col("pos_n") <= SMALL_POOL, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return pools.withColumn("salt", F.explode(copies))
 
 
 def _with_pool_draws(state: DataFrame, pools: DataFrame, sizes: DataFrame, needs_pool: Column, needs_shared: Column,
-                     p: Profile, seed) -> DataFrame:
+                     p: Profile, seed, cols: Columns | None = None) -> DataFrame:
     """State rows plus ``pool`` and ``shared``: candidates drawn for the rows that need them."""
     one = sizes.filter("other = -1").select("mood", F.col("pool_n").alias("n_one"))
     two = sizes.filter("other <> -1").select("mood", F.col("other").alias("next_mood"), F.col("pool_n").alias("n_two"))
@@ -194,30 +223,39 @@ def _with_pool_draws(state: DataFrame, pools: DataFrame, sizes: DataFrame, needs
     def plan(kind, n, size, other):
         want = F.lit(size) + F.size("played")
         spots = _draw_positions(F.coalesce(n, F.lit(0)), want, f"{seed}-{kind}", *keys)
-        return F.transform(spots, lambda s: F.struct(F.lit(kind).alias("kind"), other.alias("other"), s.alias("pos")))
-
-    none = F.array().cast("array<struct<kind:string,other:int,pos:bigint>>")
-    draws = F.concat(
-        F.when(needs_pool, plan("pool", F.col("n_one"), p.pool_draw, F.lit(-1))).otherwise(none),
-        F.when(needs_shared, plan("shared", F.col("n_two"), 2 * GRAPH_K, F.col("next_mood"))).otherwise(none))
-    spread = sized.withColumn("_d", F.explode_outer(draws)).withColumns(
-        {"_kind": F.col("_d.kind"), "_other": F.col("_d.other"), "_pos": F.col("_d.pos")}).drop("_d", "n_one", "n_two")
+        salt = F.when(n <= SMALL_POOL, _salt()).otherwise(0)
+        return F.transform(spots, lambda s: F.struct(
+            F.lit(kind).alias("kind"), other.alias("other"), s.alias("pos"), salt.alias("salt")))
+
+    def all_draws():
+        none = F.array().cast("array<struct<kind:string,other:int,pos:bigint,salt:int>>")
+        return F.concat(
+            F.when(needs_pool, plan("pool", F.col("n_one"), p.pool_draw, F.lit(-1))).otherwise(none),
+            F.when(needs_shared, plan("shared", F.col("n_two"), 2 * GRAPH_K, F.col("next_mood"))).otherwise(none))
+
+    def lists():
+        entry = F.struct(
+            hash_hex(f"{seed}-cut", "request_id", "_id").alias("h"), F.col("_id").alias("id"),
+            F.lit(None).cast("double").alias("graph"), cosine_score(F.col("current_vec"), F.col("_vec")).alias("direct"),
+            F.col("_language").alias("language"), F.col("_scores").alias("scores"))
+        return [F.array_sort(F.collect_list(F.when(F.col("_fits") & (F.col("_kind") == kind), entry))).alias(name)
+                for kind, name in (("pool", "_p"), ("shared", "_q"))]
+
+    cols = cols or Columns()
+    draws = cols("draws", all_draws)
+    # Rows without draws get keys that match nothing and spread evenly; nulls would meet in one partition.
+    spread = sized.withColumn("_d", F.explode_outer(draws)).withColumns({
+        "_kind": F.col("_d.kind"), "other": F.coalesce("_d.other", F.lit(-2)),
+        "pos": F.coalesce("_d.pos", F.xxhash64("request_id")), "salt": F.coalesce("_d.salt", F.lit(0)),
+    }).drop("_d", "n_one", "n_two")
     drawn = pools.select(
-        F.col("mood").alias("_mood"), F.col("other").alias("_other"), F.col("pos").alias("_pos"), F.col("id").alias("_id"),
+        *POOL_KEYS, F.col("id").alias("_id"),
         F.coalesce("language", F.lit("en")).alias("_language"), F.col("scores").alias("_scores"),
         as_doubles("embedding").alias("_vec"))
-    met = spread.join(
-        drawn.withColumnRenamed("_mood", "mood"), ["mood", "_other", "_pos"], "left"
-    ).withColumn("_fits", F.col("_id").isNotNull() & ~F.array_contains("played", F.col("_id")))
-    entry = F.struct(
-        hash_hex(f"{seed}-cut", "request_id", "_id").alias("h"), F.col("_id").alias("id"),
-        F.lit(None).cast("double").alias("graph"), cosine_score(F.col("current_vec"), F.col("_vec")).alias("direct"),
-        F.col("_language").alias("language"), F.col("_scores").alias("scores"))
-    lists = {kind: F.array_sort(F.collect_list(F.when(F.col("_fits") & (F.col("_kind") == kind), entry)))
-             for kind in ("pool", "shared")}
+    met = spread.join(drawn, POOL_KEYS, "left").withColumn("_fits", F.col("_id").isNotNull() & ~F.array_contains("played", F.col("_id")))
     rest = [c for c in state.columns if c != "request_id"]
     return met.groupBy("request_id").agg(
-        F.first(F.struct(*rest)).alias("_s"), lists["pool"].alias("_p"), lists["shared"].alias("_q")
+        F.first(F.struct(*rest)).alias("_s"), *cols("lists", lists)
     ).select("request_id", "_s.*", F.slice("_p", 1, p.pool_draw).alias("pool"), F.slice("_q", 1, 2 * GRAPH_K).alias("shared"))
 
 
@@ -255,7 +293,7 @@ def candidates_global(state: DataFrame, neighbours: DataFrame, pools: DataFrame,
     """Tier 3: a random draw from the pool of the wanted mood."""
     p = PROFILES[profile]
     placed = state.join(neighbours.select("current", "current_vec"), "current", "left")
-    drawn = _with_pool_draws(_with_next(placed), pools, sizes, F.lit(True), F.lit(False), p, seed)
+    drawn = _with_pool_draws(_with_next(placed), salted_pools(pools), sizes, F.lit(True), F.lit(False), p, seed)
     return _spread(drawn, _pool_tier(F.col("pool"), F.col("mood"), F.col("wanted"), p))
 
 
@@ -264,38 +302,41 @@ def _with_next(state: DataFrame) -> DataFrame:
 
 
 def _with_candidates(state: DataFrame, neighbours: DataFrame, pools: DataFrame, sizes: DataFrame, bridge: Column,
-                     p: Profile, seed) -> DataFrame:
+                     p: Profile, seed, cols: Columns | None = None) -> DataFrame:
     """State rows plus ``cands``, and ``bridged`` where they come from the bridge rule."""
+    cols = cols or Columns()
     near, mood, wanted = F.col("near"), F.col("mood"), F.col("wanted")
-    local = _with_near(_with_next(state), neighbours).withColumns({
-        "_bridge": F.when(bridge, _bridge_tier(near, mood, F.col("next_mood"), p)),
-        "_graph": _graph_tier(near, mood, wanted, p), "_near": _near_tier(near, mood, wanted, p)})
-    merged = F.when(F.size("_graph") >= ENOUGH, F.col("_graph")).otherwise(_merge(F.col("_graph"), F.col("_near")))
+    local = _with_near(_with_next(state), neighbours, cols).withColumns({
+        "_bridge": cols("bridge", lambda: F.when(bridge, _bridge_tier(near, mood, F.col("next_mood"), p))),
+        "_graph": cols("graph", lambda: _graph_tier(near, mood, wanted, p)),
+        "_near": cols("near", lambda: _near_tier(near, mood, wanted, p))})
+    merged = cols("merged", lambda: F.when(F.size("_graph") >= ENOUGH, F.col("_graph")).otherwise(
+        _merge(F.col("_graph"), F.col("_near"))))
     no_bridge = F.coalesce(F.size("_bridge"), F.lit(0)) <= 0
     local = local.withColumn("_local", merged).drop("near", "_graph", "_near").withColumn(
         "_bridge", F.when(~no_bridge, F.col("_bridge")))
     shared = bridge & F.col("_bridge").isNull() & F.lit(bool(p.bridge_fetch))
-    drawn = _with_pool_draws(local, pools, sizes, (F.size("_local") < ENOUGH) & F.col("_bridge").isNull(), shared, p, seed)
-    late = _shared_tier(F.col("shared"), mood, F.col("next_mood"))
-    bridges = F.coalesce("_bridge", F.when(F.size(late) > 0, late))
-    tiers = F.when(F.size("_local") >= ENOUGH, F.col("_local")).otherwise(
-        _merge(F.col("_local"), _pool_tier(F.col("pool"), mood, wanted, p)))
-    return drawn.withColumn("_b", bridges).withColumns({
+    drawn = _with_pool_draws(local, pools, sizes, (F.size("_local") < ENOUGH) & F.col("_bridge").isNull(), shared, p, seed, cols)
+    late = cols("late", lambda: _shared_tier(F.col("shared"), mood, F.col("next_mood")))
+    tiers = cols("tiers", lambda: F.when(F.size("_local") >= ENOUGH, F.col("_local")).otherwise(
+        _merge(F.col("_local"), _pool_tier(F.col("pool"), mood, wanted, p))))
+    return drawn.withColumn("_late", late).withColumn(
+        "_b", F.coalesce("_bridge", F.when(F.size("_late") > 0, F.col("_late")))).withColumns({
         "cands": F.coalesce("_b", tiers), "bridged": F.col("_b").isNotNull(),
-    }).drop("_b", "_bridge", "_local", "pool", "shared")
+    }).drop("_b", "_late", "_bridge", "_local", "pool", "shared")
 
 
 def candidates_tiered(state: DataFrame, neighbours: DataFrame, pools: DataFrame, sizes: DataFrame, seed="tier",
                       profile: str = "batch") -> DataFrame:
     """Graph tier; with fewer than three songs the near tier is added, then the pool tier."""
-    rows = _with_candidates(state, neighbours, pools, sizes, F.lit(False), PROFILES[profile], seed)
+    rows = _with_candidates(state, neighbours, salted_pools(pools), sizes, F.lit(False), PROFILES[profile], seed)
     return _spread(rows, F.col("cands"))
 
 
 def bridge_candidates(state: DataFrame, neighbours: DataFrame, pools: DataFrame, sizes: DataFrame, seed="bridge",
                       profile: str = "batch") -> DataFrame:
     """Songs strong in ``mood`` and ``next_mood``: from the graph, else near songs, else the shared pool."""
-    rows = _with_candidates(state, neighbours, pools, sizes, F.lit(True), PROFILES[profile], seed)
+    rows = _with_candidates(state, neighbours, salted_pools(pools), sizes, F.lit(True), PROFILES[profile], seed)
     return _spread(rows.filter("bridged"), F.col("cands"))
 
 
@@ -366,7 +407,7 @@ def softmax_sample(cands: DataFrame, temperature: Column, seed, group="request_i
     return cands.groupBy(group).agg(F.max(key).alias("m")).select(group, "m.id", "m.score")
 
 
-def _with_draw(rows: DataFrame, profile: Profile, alpha: Column, seed, *keys) -> DataFrame:
+def _with_draw(rows: DataFrame, profile: Profile, alpha: Column, seed, *keys, cols: Columns | None = None) -> DataFrame:
     """Score, flatten and draw one of ``cands`` into ``drawn``; null where there is none.
 
     What a lambda needs from the whole array is its own column, so it is computed once per row.
@@ -374,9 +415,10 @@ def _with_draw(rows: DataFrame, profile: Profile, alpha: Column, seed, *keys) ->
     def transition(c):
         return F.coalesce(c["graph"], c["direct"]) if profile.stored_score else c["direct"]
 
-    scored = F.transform("cands", lambda c: F.struct(
+    cols = cols or Columns()
+    scored = cols("scored", lambda: F.transform("cands", lambda c: F.struct(
         blend(transition(c), c["mood_score"], alpha).alias("score"), c["id"].alias("id"), c["source"].alias("source"),
-        uniform(seed, *keys, c["id"]).alias("u")))
+        uniform(seed, *keys, c["id"]).alias("u"))))
     rows = rows.withColumn("_scored", scored).withColumn(
         "_sorted", F.array_sort(F.transform("_scored", lambda c: c["score"])))
     n = F.size("_sorted")
@@ -392,9 +434,9 @@ def _with_draw(rows: DataFrame, profile: Profile, alpha: Column, seed, *keys) ->
         rows = rows.withColumn("_damp", (n > 1) & (nth(n) > 2 * nth(n - 1)))
         flat = lambda s: F.when(F.col("_damp"), F.sqrt(F.greatest(s, F.lit(0.0)))).otherwise(s)
         heat = F.greatest("temperature", F.lit(1e-6))
-    keyed = F.transform("_scored", lambda c: F.struct(
+    keyed = cols("keyed", lambda: F.transform("_scored", lambda c: F.struct(
         tidy(flat(c["score"]) / heat + gumbel(c["u"]), 9).alias("key"), c["id"].alias("id"), c["score"].alias("score"),
-        c["source"].alias("source")))
+        c["source"].alias("source"))))
     return rows.withColumn("drawn", F.array_max(keyed)).drop("_scored", "_sorted", "_cap", "_damp")
 
 
@@ -438,22 +480,22 @@ def _next_zone() -> Column:
 
 
 def walk_step(state: DataFrame, neighbours: DataFrame, pools: DataFrame, sizes: DataFrame, p: Profile,
-              seed) -> DataFrame:
-    """Advance every request by one song, or to the next zone where nothing fits.
+              seed, cols: Columns | None = None) -> DataFrame:
+    """Advance every request by one song, or to the next zone where nothing fits; ``pools`` are salted.
 
     The zone and the number of songs played key the random draws, so the plan's text and its generated
     code are the same in every step.
     """
-    zone = _next_zone()
-    open_rows = state.withColumn("_z", zone).filter("_z is not null").withColumns({
+    cols = cols or Columns()
+    open_rows = state.withColumn("_z", cols("zone", _next_zone)).filter("_z is not null").withColumns({
         "filled": F.when(F.col("_z") == F.col("zone"), F.col("filled")).otherwise(0), "zone": F.col("_z")}).drop("_z")
     placed = open_rows.withColumns({
         "mood": F.element_at("arc", F.col("zone") + 1),
         "next_mood": F.try_element_at(F.col("arc"), (F.col("zone") + 2).cast("int"))})
     bridge = F.col("next_mood").isNotNull() & (F.col("filled") == F.element_at("lens", F.col("zone") + 1) - 1)
-    rows = _with_candidates(placed, neighbours, pools, sizes, bridge, p, seed)
+    rows = _with_candidates(placed, neighbours, pools, sizes, bridge, p, seed, cols)
     alpha = F.lit(ALPHA_START) + F.lit(ALPHA_SPAN) * F.col("zone") / F.greatest(F.size("arc") - 1, F.lit(1))
-    drawn = _with_draw(rows, p, alpha, f"{seed}-draw", "request_id", "zone", F.size("played"))
+    drawn = _with_draw(rows, p, alpha, f"{seed}-draw", "request_id", "zone", F.size("played"), cols=cols)
     got = F.col("drawn").isNotNull()
     pick = F.array(F.struct(F.col("drawn.id").alias("id"), F.col("mood").alias("mood"), F.col("drawn.score").alias("score"),
                             F.col("drawn.source").alias("source"), F.col("bridged").alias("bridge")))
@@ -466,21 +508,28 @@ def walk_step(state: DataFrame, neighbours: DataFrame, pools: DataFrame, sizes:
 
 
 def generate_playlists(requests: DataFrame, seeds: DataFrame, neighbours: DataFrame, pools: DataFrame,
-                       sizes: DataFrame, profile: str = "batch", seed="walk") -> DataFrame:
+                       sizes: DataFrame, profile: str = "batch", seed="walk",
+                       hot_requests: int = HOT_REQUESTS) -> DataFrame:
     """``(request_id, pos, id, mood, score, source, bridge)``; position 0 is the seed.
 
     ``requests`` holds ``request_id, arc (positions), temperature, playlist_len, wanted``.
     """
     p = PROFILES[profile]
     state = cut_lineage(_start(requests, seeds, p))
-    done = []
+    plain = store(neighbours, "neighbours")
+    laid_out = co_locate(plain, "current").hint("merge")
+    pools = co_locate(store(salted_pools(pools), "pools"), *POOL_KEYS).hint("merge")
+    cols, done = Columns(), []
     while True:
-        over = state.filter(_next_zone().isNull())
-        done.append(over)
-        state = state.filter(_next_zone().isNotNull())
-        if state.isEmpty():
+        going = cols("zone", _next_zone).isNotNull()
+        per_song = state.groupBy("current").agg(F.count_if(~going).alias("over"), F.count_if(going).alias("open"))
+        n_over, n_open, most = per_song.agg(F.sum("over"), F.sum("open"), F.max("open")).first()
+        if n_over or not done:
+            done.append(state.filter(~going))
+        if not n_open:
             break
-        state = cut_lineage(walk_step(state, neighbours, pools, sizes, p, seed))
+        near = laid_out if most <= hot_requests else plain
+        state = cut_lineage(walk_step(state.filter(going), near, pools, sizes, p, seed, cols))
     finished = done[0]
     for part in done[1:]:
         finished = finished.unionByName(part)

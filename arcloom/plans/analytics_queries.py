@@ -16,7 +16,9 @@ from arcloom.operators import pairs as R
 from arcloom.operators import playlist as P
 from arcloom.operators import transition as T
 from arcloom.plans import fixtures as fx
+from arcloom.operators.moods import pool_sizes
 from arcloom.plans.registry import query, u01
+from arcloom.sources.workspace import store
 
 PAIRS = 600
 
@@ -657,13 +659,11 @@ def seed_random(spark, sf):
 
 
 def _walk(spark, sf, profile="batch"):
-    pools, sizes = fx.pools(spark, sf)
+    pools, _ = fx.pools(spark, sf)
     asked = fx.placed_requests(spark, sf)
     seeds = asked.select("request_id", F.col("seed_id").alias("id"))
-    from arcloom.sources.workspace import store
-
-    return P.generate_playlists(asked, seeds, store(fx.neighbours(spark, sf), "neighbours"), store(pools, "pools"),
-                                store(sizes, "pool-sizes"), profile)
+    pools = store(pools, "pools")
+    return P.generate_playlists(asked, seeds, fx.neighbours(spark, sf), pools, store(pool_sizes(pools), "pool-sizes"), profile)
 
 
 @query("generate_playlists")

@@ -73,6 +73,9 @@ def test_walk_is_repeatable_under_other_partitionings(spark, world):
         assert sorted(map(tuple, again.select("request_id", "pos", "id").collect())) == first
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
+    seeds = P.seed_random(requests(spark), world["pools"], world["sizes"], world["songs"])
+    plain = P.generate_playlists(requests(spark), seeds, world["near"], world["pools"], world["sizes"], seed="w", hot_requests=0)
+    assert sorted(map(tuple, plain.select("request_id", "pos", "id").collect())) == first
     other = sorted(map(tuple, walk(spark, world, seed="z").select("request_id", "pos", "id").collect()))
     assert other != first
 
@@ -110,7 +113,7 @@ def state(spark, played, wanted=None, mood=0, next_mood=1):
 
 
 def pool_of(spark, rows):
-    pools = spark.createDataFrame(rows, "mood int, other int, pos long, id long, language string, scores array<double>, embedding array<double>")
+    pools = spark.createDataFrame(rows, "mood int, other int, pos long, id long, language string, scores array<double>, embedding array<double>").withColumn("pos_n", F.lit(2))
     return pools, pool_sizes(pools)
 
 
