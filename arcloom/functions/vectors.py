@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -50,14 +48,6 @@ def pack(names) -> Column:
     return F.array(*[F.col(n).cast("double") for n in names])
 
 
-def unpack(col: str, names) -> list[Column]:
-    return [F.element_at(col, i + 1).alias(n) for i, n in enumerate(names)]
-
-
-def add_all(cols) -> Column:
-    return reduce(lambda a, b: a + b, cols)
-
-
 def tidy(col: Column, digits: int) -> Column:
     """Round and turn a negative zero into a plain one."""
     return F.round(col, digits) + F.lit(0.0)

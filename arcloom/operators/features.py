@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -99,7 +98,3 @@ def pair_features(pairs: DataFrame, songs: DataFrame) -> DataFrame:
     delta = F.zip_with("_b.feat", "_a.feat", lambda x, y: x - y)
     return pairs.join(side("a"), "a").join(side("b"), "b").withColumn(
         "features", F.concat("_a.emb", "_b.emb", delta, "_a.moods", "_b.moods")).drop("_a", "_b")
-
-
-def explained(model) -> np.ndarray:
-    return model.explainedVariance.toArray()

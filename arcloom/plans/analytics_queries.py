@@ -330,11 +330,11 @@ def fix_tempo_octave(spark, sf):
 
 @query("valence_proxy", """
  WITH b AS (SELECT user_id AS track, event_id % 12 AS bin, avg(value / 500) AS m FROM events GROUP BY 1, 2)
- SELECT track, round(least(1, greatest(0, (coalesce(avg(m) FILTER (bin IN (0, 4, 7)), 0) - coalesce(avg(m) FILTER (bin IN (0, 3, 7)), 0) + 1) / 2)), 6) AS valence_proxy
+ SELECT track, round(least(1, greatest(0, (coalesce(avg(m) FILTER (bin IN (0, 4, 7)), 0) - coalesce(avg(m) FILTER (bin IN (0, 3, 7)), 0) + 1) / 2)), 9) AS valence_proxy
  FROM b GROUP BY track""")
 def valence_proxy(spark, sf):
     chroma = _events(spark, sf).select("track", (F.col("event_id") % 12).alias("bin"), (F.col("value") / 500).alias("value"))
-    return A.valence_proxy(chroma).withColumn("valence_proxy", F.round("valence_proxy", 6))
+    return A.valence_proxy(chroma).withColumn("valence_proxy", F.round("valence_proxy", 9))
 
 
 @query("danceability_proxy", """
