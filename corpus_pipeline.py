@@ -1,6 +1,69 @@
-STAGES = []
+"""From documents to token digests: quality rules, near duplicates, repeated passages, benchmark passages, encoding.
+
+Every stage takes ``(spark, docs, sf_dir)`` and works on all that the one before it kept. All but the last return the columns
+of ``documents``. Stages are written as Parquet in the shared folder and read again, so a lost executor costs at
+most the stage that runs.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from arcloom.llm import decontaminate, ngram_join, op10, quality, substring_dedup
+from arcloom.sources.workspace import store
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and are no robust outliers of their language and source."""
+    rows = store(quality.base_statistics(docs), "judged-documents")
+    return quality.judge(rows).filter("kept").select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group of linked documents; of rows with one id one.
+
+    Rows without an id are in no group and stay.
+    """
+    found = store(ngram_join.ngram_components(docs), "document-groups")
+    gone = found.filter("doc_id <> component_id").select("doc_id").distinct()
+    named = docs.filter(F.col("doc_id").isNotNull()).join(gone, "doc_id", "left_anti")
+    one = named.withColumn("_row", F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id"))).filter("_row = 1")
+    return one.select(*docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the sentences that repeat earlier ones; a document of nothing else goes."""
+    cut = substring_dedup.remove_repeats(docs)
+    left = cut.filter((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_sentences")))
+    size = {"n_chars": F.length("text").cast("long")} if "n_chars" in docs.columns else {}
+    return left.withColumns(size).select(*docs.columns)
+
+
+def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no window of a benchmark item occurs."""
+    return decontaminate.clean_rows(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of ids and decoded bytes."""
+    return op10.digests(docs)
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("n-gram Jaccard join", near_duplicates),
+    ("substring dedup", repeated_passages),
+    ("benchmark decontamination", benchmark_passages),
+    ("byte-level BPE", encoding),
+]
+
+#: Neither the cuts by word hashes nor the encoding are SQL; tests hold the stages against plain Python.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = store(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return docs
