@@ -46,10 +46,10 @@ def op8(spark, sf_dir):
     warc.register(spark)
     folder = new_path(spark, "warc")
     to_records(table(spark, sf_dir, "pages")).write.format("warc").mode("append").save(folder)
-    read = lambda kind, payload: spark.read.format("warc").option("payload", payload).load(folder).filter(F.col("record_type") == kind)
-    responses = read("response", "true").select(
+    responses = warc.read(spark, folder).filter("record_type = 'response'").select(
         "record_id", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"), "record_type", "refers_to")
-    revisits = read("revisit", "false").select("record_id", F.col("payload_length").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
+    revisits = warc.read(spark, folder, payload=False).filter("record_type = 'revisit'").select(
+        "record_id", F.col("payload_length").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
     return responses.unionByName(revisits).select(
         F.when(page_id("record_id") != "", page_id("record_id")).cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
         F.when(F.col("refers_to").isNotNull(), page_id("refers_to")).cast("long").alias("refers_to"))

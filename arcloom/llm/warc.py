@@ -12,7 +12,10 @@ payload is decompressed only for records that all predicates leave, and only if
 Records hold an HTTP response block. ``payload_length`` and ``payload_digest`` are those of the full payload: of a
 revisit, which has none, from its headers.
 
-Cases: a null payload is empty; null targets and references are left out and read as null; header values keep no line
+Spark keeps the predicates of the first query with a loaded relation, so a frame of this source is good for one
+query: call ``read`` again for the next.
+
+Cases: a null payload is empty, that of a revisit is null; null targets and references are left out and read as null; header values keep no line
 breaks. Records may repeat. A folder without archives is an empty table. Files go through ``pyarrow.fs``, so any folder that it
 knows will do.
 """
@@ -116,7 +119,7 @@ def read_record(member: Member, wanted: list[tuple[str, tuple]], payload: bool)
     http = _fields(member.text[start:stop])
     digest = head.get("warc-payload-digest", "").removeprefix("sha1:")
     body = None
-    if payload:
+    if payload and values["record_type"] != "revisit":
         block = start + int(head["content-length"])
         body = member.all()[stop + 4 : block]
     return [*[values[c] for c in COLUMNS[:4]], int(http.get("content-length") or 0), base64.b32decode(digest).hex() if digest else None, body]
@@ -209,7 +212,9 @@ class Reader(DataSourceReader):
             pieces += [Piece(name, k, parts) for k in range(parts)] or [Piece(name)]
         return pieces
 
-    def read(self, partition: Piece) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Piece | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # no archives
+            return
         system, folder = _folder(self.path)
         rows, size = [], 0
         for member in self._members(system, folder, partition):
@@ -283,3 +288,9 @@ def register(spark) -> None:
     """Make ``format("warc")`` known to the session and let it take predicates."""
     spark.dataSource.register(WarcSource)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+
+
+def read(spark, folder: str, payload: bool = True, split_bytes: int = SPLIT_BYTES):
+    """A fresh frame of all records in a folder; filter it before use."""
+    register(spark)
+    return spark.read.format("warc").option("payload", str(payload).lower()).option("split_bytes", split_bytes).load(folder)
