@@ -90,10 +90,14 @@ def pending_rows(songs: DataFrame, order: str, limit: int = 0) -> DataFrame:
     return todo.orderBy(order).limit(limit) if limit else todo.orderBy(order)
 
 
-def capture_errors(results: DataFrame) -> DataFrame:
-    """``extraction_error`` as ``Type: message``, the message cut to 200 and the text to 500 characters."""
-    text = F.concat(F.col("error_type"), F.lit(": "), F.substring(F.coalesce("error_message", F.lit("")), 1, 200))
-    return results.withColumn("extraction_error", F.substring(text, 1, 500)).drop("error_type", "error_message")
+def capture_errors(results: DataFrame, message_chars: int | None = None, text_chars: int | None = None) -> DataFrame:
+    """``extraction_error`` as ``Type: message``; message and text are whole unless lengths are given."""
+    def cut(text, chars):
+        return text if chars is None else F.substring(text, 1, chars)
+
+    message = cut(F.coalesce("error_message", F.lit("")), message_chars)
+    text = cut(F.concat(F.col("error_type"), F.lit(": "), message), text_chars)
+    return results.withColumn("extraction_error", text).drop("error_type", "error_message")
 
 
 def filter_language(df: DataFrame, language: str | None) -> DataFrame:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
@@ -18,14 +19,29 @@ from arcloom.functions.vectors import tidy
 MAX_CENTROIDS = 4096
 
 
-def as_matrix(arr: pa.Array) -> np.ndarray:
-    """A list column of equal lengths as a 2-d array, without copying through Python lists."""
+def as_matrix(arr: pa.Array, width: int | None = None) -> np.ndarray:
+    """A list column as a 2-d array, without copying through Python lists.
+
+    Rows that are null, hold a null or have another length than ``width`` (else that of the first list) become NaN.
+    """
     if isinstance(arr, pa.ChunkedArray):
         arr = arr.combine_chunks()
     if len(arr) == 0:
-        return np.empty((0, 0))
-    flat = arr.flatten().to_numpy(zero_copy_only=False)
-    return flat.reshape(len(arr), -1).astype(np.float64, copy=False)
+        return np.empty((0, width or 0))
+    lengths = pc.fill_null(pc.list_value_length(arr), -1).to_numpy(zero_copy_only=False)
+    width = width if width is not None else int(lengths[np.argmax(lengths >= 0)])
+    fits = lengths == width
+    if fits.all():
+        return arr.flatten().to_numpy(zero_copy_only=False).reshape(len(arr), -1).astype(np.float64, copy=False)
+    out = np.full((len(arr), max(width, 0)), np.nan)
+    if fits.any():
+        out[fits] = arr.filter(pa.array(fits)).flatten().to_numpy(zero_copy_only=False).reshape(int(fits.sum()), -1)
+    return out
+
+
+def has_vector(vector="embedding") -> Column:
+    """Is it a vector without nulls? Others have no place in a vector space."""
+    return F.col(vector).isNotNull() & ~F.exists(vector, lambda x: x.isNull())
 
 
 def pair_distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -54,8 +70,10 @@ def read_centroids(centroids: DataFrame) -> tuple[list[int], np.ndarray]:
 
 
 def _list_column(matrix: np.ndarray) -> pa.Array:
+    """One list per row; rows with NaN are null."""
     offsets = np.arange(0, matrix.size + 1, matrix.shape[1], dtype=np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(matrix.ravel()))
+    lost = np.isnan(matrix).any(1)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(matrix.ravel()), mask=pa.array(lost) if lost.any() else None)
 
 
 def distances_column(vector: Column, matrix: np.ndarray) -> Column:
@@ -65,7 +83,7 @@ def distances_column(vector: Column, matrix: np.ndarray) -> Column:
     def distances(batch: pa.Array) -> pa.Array:
         if len(batch) == 0:
             return pa.array([], type=pa.list_(pa.float64()))
-        return _list_column(pair_distances(as_matrix(batch), matrix))
+        return _list_column(pair_distances(as_matrix(batch, matrix.shape[1]), matrix))
 
     return distances(vector.cast("array<double>"))
 
@@ -77,7 +95,7 @@ def softmax_column(vector: Column, matrix: np.ndarray, sharpness: float) -> Colu
     def shares(batch: pa.Array) -> pa.Array:
         if len(batch) == 0:
             return pa.array([], type=pa.list_(pa.float64()))
-        logits = -sharpness * pair_distances(as_matrix(batch), matrix)
+        logits = -sharpness * pair_distances(as_matrix(batch, matrix.shape[1]), matrix)
         e = np.exp(logits - logits.max(axis=1, keepdims=True))
         return _list_column(e / e.sum(axis=1, keepdims=True))
 
@@ -95,14 +113,14 @@ def label_array(label_ids) -> Column:
 
 
 def song_centroid_distance(songs: DataFrame, centroids: DataFrame) -> DataFrame:
-    """``(id, label_id, dist)`` for every song and centroid; no shuffle."""
+    """``(id, label_id, dist)`` for every song with a vector and every centroid; no shuffle."""
     wide, label_ids = with_distances(songs.select("id", "embedding"), centroids)
     return wide.select("id", F.posexplode("distances").alias("pos", "dist")).select(
         "id", F.element_at(label_array(label_ids), F.col("pos") + 1).alias("label_id"), "dist")
 
 
 def kmeans_assign(songs: DataFrame, centroids: DataFrame) -> DataFrame:
-    """Nearest centroid of each song: ``(id, label_id, dist)``; the lower label wins ties."""
+    """Nearest centroid of each song: ``(id, label_id, dist)``; the lower label wins ties, no vector gives nulls."""
     wide, label_ids = with_distances(songs, centroids)
     least = F.array_min("distances")
     return wide.select(

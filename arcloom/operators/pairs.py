@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from arcloom.functions.hashing import uniform
-from arcloom.operators.catalogue import first_in_order, random_order
+from arcloom.operators.catalogue import random_order
 from arcloom.operators.positions import hash_positions
 
 NEAREST = 3
-ATTEMPTS = 10
 
 
 def _draws(songs: DataFrame, rows: int, n_songs, seed, names) -> DataFrame:
@@ -35,13 +34,24 @@ def positive_pairs(songs: DataFrame, knn: DataFrame, n: int, seed="positive") ->
 
 
 def negative_pairs(assigned: DataFrame, n: int, seed="negative", label="label_id") -> DataFrame:
-    """The first ``n`` of up to ``10 n`` random pairs whose songs lie in different clusters."""
-    numbered = hash_positions(assigned.select("id", F.col(label).alias("l")), f"{seed}-order", ["id"])
+    """``n`` pairs ``(draw, a, b)`` of songs in different clusters; none if there is one cluster only.
+
+    Songs are numbered cluster by cluster. ``b`` is drawn from the numbers outside the cluster of ``a``, so every draw is a hit.
+    """
+    songs = assigned.select("id", F.col(label).alias("l"))
+    numbered = hash_positions(songs, f"{seed}-order", ["id"], groups=["l"], out="at")
+    before = Window.orderBy("l").rowsBetween(Window.unboundedPreceding, -1)
+    clusters = songs.groupBy("l").agg(F.count("*").alias("size")).withColumn("first", F.coalesce(F.sum("size").over(before), F.lit(0)))
+    clusters = clusters.select(F.col("l").alias("_l"), "size", "first")
+    placed = numbered.join(clusters, F.col("l").eqNullSafe(F.col("_l"))).select("id", "size", "first", (F.col("first") + F.col("at")).alias("pos"))
     total = assigned.agg(F.count("*")).scalar()
-    sides = {s: numbered.select(F.col("pos").alias(f"p{s}"), F.col("id").alias(s), F.col("l").alias(f"l{s}")) for s in "ab"}
-    tried = _draws(assigned, n * ATTEMPTS, total, seed, ["pa", "pb"]).filter("pa != pb")
-    different = tried.join(sides["a"], "pa").join(sides["b"], "pb").filter(~F.col("la").eqNullSafe(F.col("lb")))
-    return first_in_order(different.select("draw", "a", "b"), "draw", n, n * ATTEMPTS)
+    draws = assigned.sparkSession.range(n).select(F.col("id").alias("draw"), F.least(
+        F.floor(uniform(f"{seed}-a", "id") * total), total - 1).alias("pos"))
+    first = draws.join(placed, "pos").filter(F.col("size") < total).select("draw", F.col("id").alias("a"), "size", "first")
+    room = total - F.col("size")
+    other = F.least(F.floor(uniform(f"{seed}-b", "draw") * room), room - 1)
+    second = first.withColumn("pos", F.when(other < F.col("first"), other).otherwise(other + F.col("size")))
+    return second.join(placed.select("pos", F.col("id").alias("b")), "pos").select("draw", "a", "b")
 
 
 def balance_shuffle(positives: DataFrame, negatives: DataFrame, seed="shuffle") -> DataFrame:

@@ -143,7 +143,7 @@ def label_clusters(spark, sf):
   min(CASE WHEN own <> other THEN total / n END) AS b FROM pairs GROUP BY id)
  SELECT count(*) AS n, round(avg(CASE WHEN own_n > 1 THEN (b - a) / greatest(a, b) ELSE 0 END), 6) + 0.0 AS silhouette FROM ab""", ("songs",))
 def silhouette(spark, sf):
-    return L.silhouette(fx.vectors(spark, sf), label="label").select("n", tidy(F.col("silhouette"), 6).alias("silhouette"))
+    return L.silhouette(fx.vectors(spark, sf), "label").select("n", tidy(F.col("silhouette"), 6).alias("silhouette"))
 
 
 @query("kmeans_fit")
@@ -206,16 +206,15 @@ def graph_connectivity(spark, sf):
 
 
 @query("connectivity_report", """
- , deg AS (SELECT n.label_id, n.label, count(s.i) AS d FROM names n LEFT JOIN sims s ON s.sim >= 0.25 AND (s.i = n.label_id OR s.j = n.label_id) GROUP BY ALL)
- SELECT count(*) AS nodes, coalesce(string_agg(label, ', ' ORDER BY label) FILTER (d = 0 AND label_id <> (SELECT min(label_id) FROM names)), '') AS lonely FROM deg""", ("sims", "names"))
+ , links AS (SELECT i AS u, j AS v FROM sims WHERE sim >= 0.25 UNION SELECT j, i FROM sims WHERE sim >= 0.25),
+ far AS (WITH RECURSIVE r AS (SELECT min(label_id) AS id FROM names UNION SELECT v FROM r JOIN links ON u = r.id) SELECT id FROM r)
+ SELECT count(*) AS nodes, count(*) FILTER (label_id IN (SELECT id FROM far)) AS reached,
+  coalesce(string_agg(label, ', ' ORDER BY label) FILTER (label_id NOT IN (SELECT id FROM far)), '') AS isolated,
+  count(*) = count(*) FILTER (label_id IN (SELECT id FROM far)) AND (SELECT count(*) FROM links) > 0 AS connected FROM names""", ("sims", "names"))
 def connectivity_report(spark, sf):
     nodes = fx.labels(spark, sf).select(F.col("label_id").alias("id"), "label")
     edges = G.mood_graph(K.centroid_similarity(fx.centroids(spark, sf)), fx.labels(spark, sf), 0.25)
-    reach = G.graph_connectivity(nodes, edges)
-    linked = edges.select(F.explode(F.array("source", "target")).alias("id")).distinct()
-    report = G.connectivity_report(reach.join(linked.withColumn("linked", F.lit(True)), "id", "left").withColumn(
-        "reachable", F.col("reachable") | F.coalesce("linked", F.lit(False))), edges)
-    return report.select("nodes", F.col("isolated").alias("lonely"))
+    return G.connectivity_report(G.graph_connectivity(nodes, edges), edges)
 
 
 @query("auto_threshold", """
@@ -363,11 +362,13 @@ POSITIVE = f""" , pp AS (SELECT d.draw, n.src AS a, n.dst AS b FROM (
    SELECT draw, floor({u01("'positive-pos|' || draw")} * (SELECT count(*) FROM songs))::BIGINT AS pos,
     floor({u01("'positive-pick|' || draw")} * 3)::BIGINT + 1 AS pick FROM (SELECT unnest(range(0, {PAIRS})) AS draw)) d
   JOIN {_positions_sql('positive-order')} p ON p.pos = d.pos JOIN nn n ON n.src = p.id AND n.rank = d.pick)"""
-NEGATIVE = f""" , np AS (SELECT d.draw, x.id AS a, y.id AS b FROM (
-   SELECT draw, floor({u01("'negative-pa|' || draw")} * (SELECT count(*) FROM songs))::BIGINT AS pa,
-    floor({u01("'negative-pb|' || draw")} * (SELECT count(*) FROM songs))::BIGINT AS pb FROM (SELECT unnest(range(0, {PAIRS * 10})) AS draw)) d
-  JOIN {_positions_sql('negative-order')} x ON x.pos = d.pa JOIN {_positions_sql('negative-order')} y ON y.pos = d.pb
-  WHERE d.pa <> d.pb AND x.label <> y.label ORDER BY d.draw LIMIT {PAIRS})"""
+NEGATIVE = f""" , byc AS (SELECT id, label, row_number() OVER (ORDER BY label, md5('negative-order|' || id), id) - 1 AS pos FROM songs),
+ cl AS (SELECT label, count(*) AS size, min(pos) AS first FROM byc GROUP BY label),
+ da AS (SELECT draw, c.id AS a, size, first FROM (
+   SELECT draw, floor({u01("'negative-a|' || draw")} * (SELECT count(*) FROM songs))::BIGINT AS pos FROM (SELECT unnest(range(0, {PAIRS})) AS draw)) d
+  JOIN byc c USING (pos) JOIN cl USING (label)),
+ db AS (SELECT *, floor({u01("'negative-b|' || draw")} * ((SELECT count(*) FROM songs) - size))::BIGINT AS r FROM da),
+ np AS (SELECT draw, a, c.id AS b FROM db JOIN byc c ON c.pos = CASE WHEN r < first THEN r ELSE r + size END)"""
 
 
 @query("positive_pairs", POSITIVE + " SELECT * FROM pp", ("nn",))
@@ -578,7 +579,7 @@ def score_candidates(spark, sf):
         "request_id", "id", tidy(F.col("kept"), 8).alias("transition"), tidy(F.col("transition"), 8).alias("recomputed"))
 
 
-@query("exclude_played", CANDS + " SELECT request_id, id FROM c WHERE NOT EXISTS (SELECT 1 FROM nn p WHERE p.src = c.request_id AND p.dst = c.id AND p.rank <= 3)", ("nn",))
+@query("exclude_played", " SELECT src AS request_id, dst AS id FROM nn WHERE rank BETWEEN 4 AND 20", ("nn",))
 def exclude_played(spark, sf):
     near = N.knn_l2(fx.vectors(spark, sf), 20).select(F.col("src").alias("request_id"), F.col("dst").alias("id"), "rank")
     return P.exclude_played(near, near.filter("rank <= 3")).select("request_id", "id")

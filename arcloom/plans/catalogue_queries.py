@@ -264,7 +264,7 @@ def capture_errors(spark, sf):
     results = fx.table(spark, sf, "documents").join(marks, "doc_id", "left").select(
         F.col("doc_id").alias("id"), F.when(F.col("toxic") == 1, F.concat("lang", F.lit("Error"))).alias("error_type"),
         F.col("text").alias("error_message"))
-    return C.capture_errors(results)
+    return C.capture_errors(results, 200, 500)
 
 
 @query("transition_band", """

@@ -40,9 +40,13 @@ def overwrite_table(df: DataFrame, name: str, partition_by=()) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def update_metadata(metadata: DataFrame, updates: DataFrame, key: str) -> DataFrame:
-    """Merge by key: a non-null new value wins, new fields are added."""
+def update_metadata(metadata: DataFrame, updates: DataFrame, key: str, order=()) -> DataFrame:
+    """Merge by key: a non-null new value wins, new fields are added.
+
+    Of several updates for a key the first in ``order`` counts; without an order, the largest by its fields.
+    """
     fields = [c for c in updates.columns if c != key]
+    updates = _first_per_key(updates, key, list(order) or [F.desc(c) for c in fields] or [key])
     renamed = updates.select(key, *[F.col(c).alias(f"_new_{c}") for c in fields])
     merged = metadata.join(renamed, key, "left")
     kept = [c for c in metadata.columns if c not in fields]
