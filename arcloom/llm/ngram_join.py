@@ -8,13 +8,14 @@ buckets only merge counts, and any common order gives the same links.
 
 Prefix rows that share a gram are candidates:
 
-1. Prefixes are dealt by ranges of ``(gram, size, id)``. That splits a gram of any frequency over many tasks. Each
-   row meets its predecessor under the same gram. The most frequent predecessor of every document is verified and
-   gives components that already hold most of every group of near copies.
-2. Grams whose documents all lie in one component are done. Under the others, pairs of different components that
-   pass the length and the positional filter are joined, then pass the suffix filter: a signature of
-   ``SIGNATURE`` bucket counts per set, whose distance is at most the size of the symmetric difference. What
-   is left is verified once per pair, and the components are final.
+1. Prefixes are dealt by ranges of ``(gram, size, id)``, which splits a gram of any frequency over many tasks, and
+   grams of a single document are left out. In ``STAR_ROUNDS`` rounds each document is paired with a member of the
+   largest component under one of its grams. What is verified gives components that already hold most of every
+   group of near copies.
+2. Grams whose documents all lie in one component are done. Under the others, pairs of different components are
+   joined if they pass the length filter, the positional filter and the suffix filter: a bound of the symmetric
+   difference from below, first by the parities of ``64 * ODD_WORDS`` bucket counts inside the join, then by the
+   counts of ``SIGNATURE`` buckets. What is left is verified once per pair, and the components are final.
 
 Pairs inside a component are never emitted, so a group of ``g`` near copies costs ``g`` rows and not ``g * g``; a pair
 of different components that passes the filters is always verified, so no link between components is lost.
@@ -39,7 +40,11 @@ from arcloom.llm.components import components
 from arcloom.sources.workspace import store
 
 SIGNATURE = 128
+ODD_WORDS = 8
+ODD = [f"odd{i}" for i in range(ODD_WORDS)]
 SKETCH_BITS = 20
+STAR_ROUNDS = 2
+HELD_ROWS = 10_000
 PREFIX_ROWS_PER_TASK = 1_000_000
 
 
@@ -79,12 +84,13 @@ def _prefixes(n: int, percent: int, counts):
         seen = counts.value
         for batch in batches:
             for lo, sets in _sets(batch.column(1), n):
-                sizes, digests, signs, prefixes = [], [], [], []
+                sizes, digests, signs, odd, prefixes = [], [], [], [], []
                 for s in sets:
                     m = len(s)
                     sizes.append(m)
                     digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if m else None)
                     signs.append(np.minimum(np.bincount((s >> np.uint64(57)).astype(np.int64), minlength=SIGNATURE), 255).astype(np.uint8).tobytes())
+                    odd.append(np.packbits(np.bincount((s & np.uint64(64 * ODD_WORDS - 1)).astype(np.int64), minlength=64 * ODD_WORDS) & 1))
                     keep = m - -(-percent * m // 100) + 1 if m else 0
                     if keep:
                         rare = seen[(s & np.uint64(len(seen) - 1)).astype(np.int64)]
@@ -92,8 +98,9 @@ def _prefixes(n: int, percent: int, counts):
                     prefixes.append(s[:keep].tobytes())
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(lo, len(sets)), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()),
-                     pa.array(signs, pa.binary()), pa.array(prefixes, pa.binary())],
-                    ["doc_id", "size", "digest", "sign", "prefix"])
+                     pa.array(signs, pa.binary()), pa.array(prefixes, pa.binary()),
+                     *[pa.array(o) for o in np.ascontiguousarray(np.array(odd).view(np.int64).T)]],
+                    ["doc_id", "size", "digest", "sign", "prefix", *ODD])
 
     return run
 
@@ -114,46 +121,35 @@ def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by gram, those that share it, each with the row before; rows at the ends of a task always stay."""
-    last, held = None, None
+    """From rows sorted by gram, those that share it; the rows of the first and the last gram of a task always stay."""
+    first, held = None, None
     for batch in batches:
         if held is not None:
             batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
-        n = batch.num_rows
-        gram, ids = batch.column(0).to_numpy(), batch.column(2).to_numpy()
-        as_before = np.empty(n, bool)
-        as_before[0], as_before[1:] = last is not None and last[0] == gram[0], gram[1:] == gram[:-1]
-        as_next = np.zeros(n, bool)
-        as_next[:-1] = as_before[1:]
-        before = np.empty(n, np.int64)
-        before[0], before[1:] = last[1] if last else 0, ids[:-1]
-        before_size = np.empty(n, np.int32)
-        before_size[0], before_size[1:] = last[2] if last else 0, batch.column(1).to_numpy()[:-1]
-        keep = as_before | as_next
-        if last is None:
-            keep |= gram == gram[0]
-        emit = np.flatnonzero(keep[: n - 1])
-        if len(emit):
-            yield pa.RecordBatch.from_arrays(
-                [*batch.slice(0, n - 1).take(pa.array(emit)).columns, pa.array(before[emit], mask=~as_before[emit]), pa.array(before_size[emit])],
-                ["gram", "size", "id", "pos", "before", "before_size"])
-        held = batch.slice(n - 1, 1)
-        if n > 1:
-            last = (gram[n - 2], ids[n - 2], int(batch.column(1)[n - 2].as_py()))
+        gram = batch.column(0).to_numpy()
+        first = gram[0] if first is None else first
+        same = gram[1:] == gram[:-1]
+        keep = np.zeros(len(gram), bool)
+        keep[1:] = same
+        keep[:-1] |= same
+        keep |= gram == first
+        tail = int(np.searchsorted(gram, gram[-1]))
+        rest = batch.slice(tail)
+        if tail:
+            yield batch.slice(0, tail).filter(pa.array(keep[:tail]))
+        if rest.num_rows > HELD_ROWS:
+            yield rest.slice(0, rest.num_rows - 2)
+            rest = rest.slice(rest.num_rows - 2)
+        held = rest
     if held is not None:
-        same = last is not None and last[0] == held.column(0)[0].as_py()
-        yield pa.RecordBatch.from_arrays(
-            [*held.columns, pa.array([last[1] if same else None], pa.int64()), pa.array([last[2] if same else 0], pa.int32())],
-            ["gram", "size", "id", "pos", "before", "before_size"])
-
-
-def _least_overlap(a, b, percent: int):
-    """Least intersection of two sets of these sizes at the threshold."""
-    return F.ceil(F.lit(percent) * (a + b) / F.lit(100 + percent))
+        yield held
 
 
 def _verify(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs ``(a, b)`` whose sets reach the threshold; sets are built again for documents in a pair only."""
+    """The pairs ``(a, b)`` whose sets reach the threshold.
+
+    Sets are built again from the texts, for the documents in ``pairs``, which a bitmap of fixed size chooses.
+    """
     wanted = K.ship(docs, K.collect_bitmap(pairs.select(F.explode(F.array("a", "b")).alias("id")), "id"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,7 +168,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFram
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    grams = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", "text").mapInArrow(sets, "id long, grams binary")
+    grams = docs.filter(F.col("doc_id").isNotNull()).mapInArrow(sets, "id long, grams binary")
     left = pairs.join(grams.select(F.col("id").alias("a"), F.col("grams").alias("grams_a")), "a")
     both = left.join(grams.select(F.col("id").alias("b"), F.col("grams").alias("grams_b")), "b")
     return both.select("a", "b", "grams_a", "grams_b").mapInArrow(compare, "a long, b long").distinct()
@@ -211,35 +207,28 @@ def ngram_components(docs: DataFrame, n: int = 4, percent: int = 85, sketch_bits
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     counts = K.ship(docs, gram_counts(docs, n, sketch_bits))
-    base = store(docs.mapInArrow(_prefixes(n, percent, counts), "doc_id long, size long, digest binary, sign binary, prefix binary"), "prefixes")
+    base = store(docs.mapInArrow(_prefixes(n, percent, counts), "doc_id long, size long, digest binary, sign binary, prefix binary, " + ", ".join(f"{o} long" for o in ODD)), "prefixes")
     classes = store(base.filter("size > 0").groupBy("digest").agg(F.min("doc_id").alias("class_id")), "classes")
     reps = base.join(classes.filter("class_id is not null"), (base["digest"] == classes["digest"]) & (base["doc_id"] == F.col("class_id"))).select(
-        F.col("doc_id").alias("id"), "size", "sign", "prefix").dropDuplicates(["id", "prefix"])
+        F.col("doc_id").alias("id"), "size", "sign", "prefix", *ODD).dropDuplicates(["id", "prefix"])
     reps = store(reps, "representatives")
     tasks = _tasks(reps)
     rows = reps.select("id", "size", "prefix").mapInArrow(_explode, "gram long, size int, id long, pos int")
     rows = rows.repartitionByRange(tasks, "gram", "size", "id").sortWithinPartitions("gram", "size", "id")
-    shared = store(rows.mapInArrow(_shared, "gram long, size int, id long, pos int, before long, before_size int"), "shared-grams")
-    chains = (
-        shared.filter(F.col("before").isNotNull() & (F.col("before") != F.col("id")) & (100 * F.col("before_size") >= percent * F.col("size")))
-        .groupBy("id", "before").agg(F.count("*").alias("common"))
-        .groupBy("id").agg(F.max(F.struct("common", -F.col("before"))).alias("best"))
-        .select((-F.col("best.col2")).alias("a"), F.col("id").alias("b"))
-    )
-    near = store(_verify(store(_filtered(chains, reps, percent), "chains"), docs, n, percent), "near")
-    grouped = components(near)
-    placed = shared.select("gram", "size", "id", "pos").join(grouped, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    placed = store(placed, "placed")
+    shared = store(rows.mapInArrow(_shared, "gram long, size int, id long, pos int"), "shared-grams")
+    popular = shared.groupBy("gram").agg(F.count("*").alias("n"))
+    weights = shared.join(popular, "gram").groupBy("id").agg(F.sum("n").alias("weight"))
+    shared = store(shared.join(weights, "id"), "weighted-grams")
+    placed, known = shared.withColumn("component", F.col("id")), None
+    for turn in range(STAR_ROUNDS):
+        stars = store(_filtered(_stars(placed, turn, percent), reps, percent), "star-pairs")
+        near = _verify(stars, docs, n, percent)
+        known = store(near if known is None else known.unionByName(near), "star-links")
+        grouped = components(known)
+        placed = store(shared.join(grouped, "id", "left").withColumn("component", F.coalesce("component", "id")), "placed")
     mixed = placed.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("gram")
-    open_rows = store(placed.join(mixed, "gram"), "open-grams")
-    x = open_rows.select("gram", *[F.col(c).alias(f"{c}_a") for c in ("size", "id", "pos", "component")])
-    y = open_rows.select("gram", *[F.col(c).alias(f"{c}_b") for c in ("size", "id", "pos", "component")])
-    most = F.least("pos_a", "pos_b") + 1 + F.least(F.col("size_a") - F.col("pos_a"), F.col("size_b") - F.col("pos_b")) - 1
-    pairs = x.join(y, "gram").filter(
-        (F.col("component_a") != F.col("component_b")) & (100 * F.col("size_a") >= percent * F.col("size_b"))
-        & ((F.col("size_a") < F.col("size_b")) | ((F.col("size_a") == F.col("size_b")) & (F.col("id_a") < F.col("id_b"))))
-        & (most >= _least_overlap(F.col("size_a"), F.col("size_b"), percent))
-    ).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
+    open_rows = store(placed.join(mixed, "gram").join(reps.select("id", *ODD), "id"), "open-grams")
+    pairs = _open_pairs(open_rows, percent)
     pairs = store(_filtered(pairs, reps, percent), "open-pairs")
     further = _verify(pairs, docs, n, percent)
     bridges = _between(further, grouped)
@@ -251,6 +240,38 @@ def ngram_components(docs: DataFrame, n: int = 4, percent: int = 85, sketch_bits
         F.coalesce("class_id", "doc_id").alias("class_id"))
 
 
+def _open_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components under one gram after the length, positional and parity filters."""
+    sides = [rows.select("gram", *[F.col(c).alias(f"{c}_{side}") for c in ("size", "id", "pos", "component", *ODD)]) for side in "ab"]
+    sizes = F.col("size_a") + F.col("size_b")
+    overlap = F.least("pos_a", "pos_b") + F.least(F.col("size_a") - F.col("pos_a"), F.col("size_b") - F.col("pos_b"))
+    least = F.ceil(F.lit(percent) * sizes / F.lit(100 + percent))
+    differing = sum((F.bit_count(F.col(f"{o}_a").bitwiseXOR(F.col(f"{o}_b"))) for o in ODD), F.lit(0))
+    return sides[0].join(sides[1], "gram").filter(
+        (F.col("component_a") != F.col("component_b")) & (100 * F.col("size_a") >= percent * F.col("size_b"))
+        & ((F.col("size_a") < F.col("size_b")) | ((F.col("size_a") == F.col("size_b")) & (F.col("id_a") < F.col("id_b"))))
+        & (overlap >= least) & (differing <= sizes - 2 * least)
+    ).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
+
+
+def _stars(placed: DataFrame, turn: int, percent: int) -> DataFrame:
+    """Documents with a member of the largest component under one of their grams, if it is not their own.
+
+    Before there are components, the member is the document whose grams are the most common: in a group of near
+    copies that is the one with the fewest changes. Later it is another member every turn. One pair a document.
+    """
+    members = placed.groupBy("gram", "component").agg(
+        F.count("*").alias("n"), F.max("weight").alias("weight"), F.max(F.struct(F.xxhash64("id", F.lit(turn)), "id", "size")).alias("one"))
+    tops = members.groupBy("gram").agg(F.max(F.struct("n", "weight", "component", F.col("one.id").alias("hub"), F.col("one.size").alias("hub_size"))).alias("top"))
+    rows = placed.join(tops.select("gram", "top.component", "top.hub", "top.hub_size").withColumnRenamed("component", "_top"), "gram")
+    close = (100 * F.least("size", "hub_size") >= percent * F.greatest("size", "hub_size")) & (F.col("component") != F.col("_top"))
+    return (
+        rows.filter(close).groupBy("id", "hub").agg(F.count("*").alias("common"))
+        .groupBy("id").agg(F.max(F.struct("common", "hub")).alias("best"))
+        .select(F.col("best.hub").alias("a"), F.col("id").alias("b"))
+    )
+
+
 def _between(pairs: DataFrame, grouped: DataFrame) -> DataFrame:
     """Links between documents as links between their components."""
     named = pairs
