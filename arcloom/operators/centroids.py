@@ -125,7 +125,8 @@ def kmeans_assign(songs: DataFrame, centroids: DataFrame) -> DataFrame:
     least = F.array_min("distances")
     return wide.select(
         *[c for c in songs.columns if c not in ("label_id", "dist")],
-        F.element_at(label_array(label_ids), F.array_position("distances", least).cast("int")).alias("label_id"),
+        F.when(F.col("distances").isNotNull(), F.element_at(
+            label_array(label_ids), F.array_position("distances", least).cast("int"))).alias("label_id"),
         least.alias("dist"),
     )
 

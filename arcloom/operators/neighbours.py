@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from arcloom.functions.hashing import hash_bucket, hash_hex
-from arcloom.operators.centroids import as_matrix
+from arcloom.operators.centroids import as_matrix, has_vector
 from arcloom.sources.workspace import store
 
 MAX_CELLS = 8192
@@ -122,9 +122,8 @@ def _assign(df: DataFrame, pivots: np.ndarray) -> DataFrame:
         *df.columns, F.col("_home.cell").alias("cell"), F.col("_home.radius").alias("radius"))
 
 
-def _probe_column(pivots: np.ndarray, low: np.ndarray, high: np.ndarray, nprobe: int | None):
-    """Cells that a query still has to visit; ``low``/``high`` bound the radii of each cell."""
-    between = np.sqrt(squared_distances(pivots, pivots))
+def _probe_column(pivots: np.ndarray, low: np.ndarray, high: np.ndarray):
+    """Cells that an exact query still has to visit; ``low``/``high`` bound the radii of each cell."""
 
     @F.arrow_udf("array<int>")
     def probes(vectors: pa.Array, home: pa.Array, bound: pa.Array) -> pa.Array:
@@ -136,13 +135,11 @@ def _probe_column(pivots: np.ndarray, low: np.ndarray, high: np.ndarray, nprobe:
         for lo in range(0, len(x), step):
             d = np.sqrt(squared_distances(x[lo:lo + step], pivots))
             own = cells[lo:lo + step]
-            if nprobe is not None:
-                order = np.argsort(d, axis=1, kind="stable")[:, :nprobe]
-                out += [row[row != c].astype(np.int32) for row, c in zip(order, own)]
-                continue
+            mine, at = np.unique(own, return_inverse=True)
+            between = np.sqrt(squared_distances(pivots[mine], pivots))[at]
             d_own = d[np.arange(len(d)), own][:, None]
             with np.errstate(divide="ignore", invalid="ignore"):
-                bisector = np.where(between[own] > 0, (d * d - d_own * d_own) / (2 * between[own]), 0.0)
+                bisector = np.where(between > 0, (d * d - d_own * d_own) / (2 * between), 0.0)
             least = np.maximum(np.maximum(d - high, low - d), bisector)
             wanted = least <= bounds[lo:lo + step][:, None] + SLACK + 1e-7 * (1 + d)
             wanted[np.arange(len(d)), own] = False
@@ -152,6 +149,22 @@ def _probe_column(pivots: np.ndarray, low: np.ndarray, high: np.ndarray, nprobe:
     return probes
 
 
+def _ranked_cells(pivots: np.ndarray, first: int, stop: int):
+    """The cells from the ``first`` nearest to before the ``stop`` nearest."""
+
+    @F.arrow_udf("array<int>")
+    def cells(vectors: pa.Array) -> pa.Array:
+        x = as_matrix(vectors)
+        out = []
+        step = _block_rows(pivots)
+        for lo in range(0, len(x), step):
+            d = squared_distances(x[lo:lo + step], pivots)
+            out += list(np.argsort(d, axis=1, kind="stable")[:, first:stop].astype(np.int32))
+        return pa.array(out, type=pa.list_(pa.int32()))
+
+    return cells
+
+
 def _n_chunks(rows: np.ndarray, chunk_rows: int) -> np.ndarray:
     return np.maximum(1, -(-rows // chunk_rows))
 
@@ -217,10 +230,12 @@ def _best(found: DataFrame, k: int) -> DataFrame:
 
 def nearest(songs: DataFrame, k: int, *, nprobe: int | None = None, cell_rows: int = CELL_ROWS,
             chunk_rows: int = CHUNK_ROWS, seed: str = "pivot") -> DataFrame:
-    """``(src, dst, rank, dist, cosine)``: the ``k`` nearest other songs of every song.
+    """``(src, dst, rank, dist, cosine)``: the ``k`` nearest other songs of every song that has a vector.
 
-    Distances are rounded to six digits and ties go to the lower id. ``nprobe=None`` is exact.
+    Distances are rounded to six digits and ties go to the lower id. ``nprobe=None`` is exact. With ``nprobe`` only
+    the nearest cells are searched, and further ones for songs that hold fewer than ``k`` neighbours.
     """
+    songs = songs.filter(has_vector())
     id_type = songs.schema["id"].dataType.simpleString()
     members, answers, n_distinct = _distinct_vectors(songs, k)
     if not n_distinct:
@@ -242,18 +257,39 @@ def nearest(songs: DataFrame, k: int, *, nprobe: int | None = None, cell_rows: i
     if len(pivots) > 1:
         placed = store(placed, "placed")
     queries = placed.filter("copy = 1").select(F.col("id").alias("rep"), "embedding", "cell")
-    best = _best(_visit(queries.withColumn("target", F.col("cell")), placed, chunks, _n_chunks(homes, chunk_rows), k), k)
-    if len(pivots) > 1:
-        best = store(best, "home_best")
+
+    def visit(rows: DataFrame, loads: np.ndarray) -> DataFrame:
+        return _visit(rows, placed, chunks, _n_chunks(loads, chunk_rows), k)
+
+    def loads_of(away: DataFrame) -> np.ndarray:
+        loads = np.zeros(len(pivots), dtype=np.int64)
+        for row in away.groupBy("target").agg(F.count("*").alias("n")).collect():
+            loads[row["target"]] = row["n"]
+        return loads
+
+    if len(pivots) == 1:
+        return _per_member(members, _best(visit(queries.withColumn("target", F.col("cell")), homes), k), k)
+    if nprobe is None:
+        best = store(_best(visit(queries.withColumn("target", F.col("cell")), homes), k), "home_best")
         bound = best.groupBy("rep").agg(
             F.when(F.count("*") > k, F.max("dist")).otherwise(F.lit(float("inf"))).alias("bound"))
-        probes = _probe_column(pivots, low, high, nprobe)
+        probes = _probe_column(pivots, low, high)
         away = queries.join(bound, "rep").select("rep", "embedding", F.explode(
             probes("embedding", "cell", "bound")).alias("target"))
-        loads = np.zeros(len(pivots), dtype=np.int64)
-        for row in away.groupBy("target").agg(F.count("*").alias("n")).collect():
-            loads[row["target"]] = row["n"]
-        best = _best(best.unionByName(_visit(away, placed, chunks, _n_chunks(loads, chunk_rows), k)), k)
+        return _per_member(members, _best(best.unionByName(visit(away, loads_of(away))), k), k)
+    # Approximate: the nearest cells at once; queries that hold too few songs go on to as many more, and so on.
+    enough = min(k + 1, int(sizes.sum()))
+    best, waiting, probed = None, queries, 0
+    while probed < len(pivots):
+        further = min(len(pivots), max(1, nprobe, 2 * probed))
+        away = waiting.select("rep", "embedding", F.explode(_ranked_cells(pivots, probed, further)("embedding")).alias("target"))
+        found = visit(away, loads_of(away))
+        best = store(_best(found if best is None else best.unionByName(found), k), "probed_best")
+        probed = further
+        short = best.groupBy("rep").agg(F.count("*").alias("n")).filter(F.col("n") < enough)
+        waiting = queries.join(short.select("rep"), "rep", "left_semi").unionByName(queries.join(best.select("rep").distinct(), "rep", "left_anti"))
+        if waiting.isEmpty():
+            break
     return _per_member(members, best, k)
 
 

@@ -2,8 +2,7 @@
 
 State is one row per request; candidates live in bounded arrays inside that row (at most 30 graph,
 60 near and 60 pool songs). A step joins the state with the packed neighbour table, joins the few
-pool draws that are needed, and decides inside the row. Both tables are laid out by their join keys
-once, so a step shuffles nothing but the small state, three times, whatever the size of the catalogue.
+pool draws that are needed, as thin rows, and decides inside the row.
 
 Moods are positions in label order. The ``service`` profile is the web variant of the walk, ``batch``
 the command-line one; they differ in tier sizes, flattening and length.
@@ -19,19 +18,17 @@ from pyspark.sql import functions as F
 from arcloom.functions.hashing import gumbel, hash_hex, uniform
 from arcloom.functions.vectors import as_doubles, cosine_score, tidy
 from arcloom.operators.moods import LOOSE_FLOOR, language_fits, mood_score
+from arcloom.operators.positions import hash_positions
 from arcloom.operators.search import top_moods
-from arcloom.sources.workspace import co_locate, cut_lineage, store
+from arcloom.sources.workspace import store
 
-# Tier sizes, bridge bound, blend weights and the sample a language seed is drawn from.
+# Tier sizes, bridge bound and blend weights.
 GRAPH_K, NEAR_K, POOL_K = 30, 60, 60
 ENOUGH = 3
 BRIDGE_FLOOR = 0.4
 ALPHA_START, ALPHA_SPAN = 0.4, 0.3
-SEED_SAMPLE = 200
-# Layout: pools up to this size are spread over salts, and a step with more requests than this at one song
-# joins the plain table, where adaptive execution can split them.
+# Pools up to this size are spread over salts.
 SMALL_POOL, SALTS = 4096, 32
-HOT_REQUESTS = 100_000
 NEAREST_KEPT = 3 * NEAR_K - 1
 DIGITS = 6
 
@@ -242,20 +239,28 @@ def _with_pool_draws(state: DataFrame, pools: DataFrame, sizes: DataFrame, needs
                 for kind, name in (("pool", "_p"), ("shared", "_q"))]
 
     cols = cols or Columns()
-    draws = cols("draws", all_draws)
-    # Rows without draws get keys that match nothing and spread evenly; nulls would meet in one partition.
-    spread = sized.withColumn("_d", F.explode_outer(draws)).withColumns({
-        "_kind": F.col("_d.kind"), "other": F.coalesce("_d.other", F.lit(-2)),
-        "pos": F.coalesce("_d.pos", F.xxhash64("request_id")), "salt": F.coalesce("_d.salt", F.lit(0)),
-    }).drop("_d", "n_one", "n_two")
+    rest = [c for c in state.columns if c != "request_id"]
+
+    def thin_rows():
+        """The whole state once, without a position, and next to it one small row per draw."""
+        whole = F.struct(*rest)
+        own = F.struct(F.lit("state").alias("kind"), F.lit(-2).alias("other"), F.xxhash64("request_id").alias("pos"), F.lit(0).alias("salt"), whole.alias("whole"))
+        draws = F.transform(all_draws(), lambda d: F.struct(
+            d["kind"].alias("kind"), d["other"].alias("other"), d["pos"].alias("pos"), d["salt"].alias("salt"),
+            F.when(F.lit(False), whole).alias("whole")))
+        return F.concat(F.array(own), draws)
+
+    spread = sized.select("request_id", "mood", "current_vec", "played", F.explode(cols("draws", thin_rows)).alias("_d")).select(
+        "request_id", "mood", F.when(F.col("_d.kind") != "state", F.col("current_vec")).alias("current_vec"),
+        F.when(F.col("_d.kind") != "state", F.col("played")).alias("played"), F.col("_d.kind").alias("_kind"),
+        F.col("_d.other").alias("other"), F.col("_d.pos").alias("pos"), F.col("_d.salt").alias("salt"), F.col("_d.whole").alias("_whole"))
     drawn = pools.select(
         *POOL_KEYS, F.col("id").alias("_id"),
         F.coalesce("language", F.lit("en")).alias("_language"), F.col("scores").alias("_scores"),
         as_doubles("embedding").alias("_vec"))
     met = spread.join(drawn, POOL_KEYS, "left").withColumn("_fits", F.col("_id").isNotNull() & ~F.array_contains("played", F.col("_id")))
-    rest = [c for c in state.columns if c != "request_id"]
     return met.groupBy("request_id").agg(
-        F.first(F.struct(*rest)).alias("_s"), *cols("lists", lists)
+        F.first("_whole", ignorenulls=True).alias("_s"), *cols("lists", lists)
     ).select("request_id", "_s.*", F.slice("_p", 1, p.pool_draw).alias("pool"), F.slice("_q", 1, 2 * GRAPH_K).alias("shared"))
 
 
@@ -444,18 +449,23 @@ def _with_draw(rows: DataFrame, profile: Profile, alpha: Column, seed, *keys, co
 
 def seed_random(requests: DataFrame, pools: DataFrame, sizes: DataFrame, songs: DataFrame, seed="seed") -> DataFrame:
     """``(request_id, id)``: a random song of the first mood's pool; with a language, one of that language
-    among a draw of 200 if there is any. An empty pool gives the first song."""
-    one = sizes.filter("other = -1").select("mood", "pool_n")
-    first = requests.withColumn("mood", F.element_at("arc", 1)).join(one, "mood", "left")
-    spots = _draw_positions(F.coalesce("pool_n", F.lit(0)), F.lit(SEED_SAMPLE), seed, "request_id")
-    drawn = first.select("request_id", "mood", "wanted", F.explode(spots).alias("pos")).join(
-        pools.filter("other = -1").select("mood", "pos", "id", "language"), ["mood", "pos"])
-    fits = language_fits(F.col("wanted"), F.col("language"))
-    chosen = drawn.groupBy("request_id").agg(F.min(F.struct(
-        (~fits).alias("miss"), hash_hex(f"{seed}-pick", "request_id", "id").alias("h"), "id")).alias("m"))
+    if the pool has any. An empty pool gives the first song.
+
+    Pools are numbered per mood and language and per mood, so a draw is one equi-join whatever the pool's size.
+    """
+    one = pools.filter("other = -1").select("mood", "id", F.coalesce("language", F.lit("en")).alias("lang"))
+    by_language = hash_positions(one, f"{seed}-order", ["id"], groups=["mood", "lang"])
+    by_mood = hash_positions(one.withColumn("lang", F.lit("")), f"{seed}-order", ["id"], groups=["mood", "lang"])
+    numbered = store(by_language.unionByName(by_mood), "numbered-pools")
+    counts = numbered.groupBy("mood", "lang").agg(F.first("pos_n").alias("n"))
+    first = requests.withColumns({"mood": F.element_at("arc", 1), "lang": F.coalesce("wanted", F.lit(""))})
+    spoken = first.join(counts, ["mood", "lang"], "left").select("request_id", "mood", F.when(F.col("n") > 0, F.col("lang")).otherwise("").alias("lang"))
+    spot = F.least(F.floor(uniform(f"{seed}-pick", "request_id") * F.col("n")), F.col("n") - 1)
+    chosen = spoken.join(counts, ["mood", "lang"]).withColumn("pos", spot).join(
+        numbered.select("mood", "lang", "pos", "id"), ["mood", "lang", "pos"]).select("request_id", "id")
     lowest = songs.agg(F.min("id")).scalar()
     return requests.select("request_id").join(chosen, "request_id", "left").select(
-        "request_id", F.coalesce("m.id", lowest).alias("id"))
+        "request_id", F.coalesce("id", lowest).alias("id"))
 
 
 def _start(requests: DataFrame, seeds: DataFrame, p: Profile) -> DataFrame:
@@ -508,28 +518,27 @@ def walk_step(state: DataFrame, neighbours: DataFrame, pools: DataFrame, sizes:
 
 
 def generate_playlists(requests: DataFrame, seeds: DataFrame, neighbours: DataFrame, pools: DataFrame,
-                       sizes: DataFrame, profile: str = "batch", seed="walk",
-                       hot_requests: int = HOT_REQUESTS) -> DataFrame:
+                       sizes: DataFrame, profile: str = "batch", seed="walk") -> DataFrame:
     """``(request_id, pos, id, mood, score, source, bridge)``; position 0 is the seed.
 
-    ``requests`` holds ``request_id, arc (positions), temperature, playlist_len, wanted``.
+    ``requests`` holds ``request_id, arc (positions), temperature, playlist_len, wanted``. State, neighbours and pools are
+    stored tables, so Spark knows their sizes and picks each step's joins: few open requests are sent to the
+    neighbour table, many are shuffled, and many at one song are split.
     """
     p = PROFILES[profile]
-    state = cut_lineage(_start(requests, seeds, p))
-    plain = store(neighbours, "neighbours")
-    laid_out = co_locate(plain, "current").hint("merge")
-    pools = co_locate(store(salted_pools(pools), "pools"), *POOL_KEYS).hint("merge")
+    state = store(_start(requests, seeds, p), "walk-start")
+    near = store(neighbours.repartitionByRange("current").sortWithinPartitions("current"), "neighbours")
+    pools = store(salted_pools(pools), "pools")
+    sizes = store(sizes, "pool-sizes")
     cols, done = Columns(), []
     while True:
         going = cols("zone", _next_zone).isNotNull()
-        per_song = state.groupBy("current").agg(F.count_if(~going).alias("over"), F.count_if(going).alias("open"))
-        n_over, n_open, most = per_song.agg(F.sum("over"), F.sum("open"), F.max("open")).first()
+        n_over, n_open = state.agg(F.count_if(~going), F.count_if(going)).first()
         if n_over or not done:
             done.append(state.filter(~going))
         if not n_open:
             break
-        near = laid_out if most <= hot_requests else plain
-        state = cut_lineage(walk_step(state.filter(going), near, pools, sizes, p, seed, cols))
+        state = store(walk_step(state.filter(going), near, pools, sizes, p, seed, cols), "walk-step")
     finished = done[0]
     for part in done[1:]:
         finished = finished.unionByName(part)

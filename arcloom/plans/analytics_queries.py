@@ -168,9 +168,31 @@ def knn_l2(spark, sf):
     return N.knn_l2(fx.vectors(spark, sf), 50).select("src", "dst", "rank", "dist")
 
 
-@query("knn_approx")
+PROBED = """ , pv AS (SELECT row_number() OVER (ORDER BY md5('pivot|' || id), id) - 1 AS cell, emb FROM songs
+   QUALIFY cell < ceil((SELECT count(*) FROM songs) / 100.0)),
+ spot AS (SELECT s.id, p.cell, row_number() OVER (PARTITION BY s.id ORDER BY list_distance(s.emb, p.emb), p.cell) AS r FROM songs s, pv p),
+ pr AS (SELECT src, dst, dist, rank FROM (
+   SELECT q.id AS src, d.id AS dst, round(list_distance(a.emb, b.emb), 6) AS dist,
+    row_number() OVER (PARTITION BY q.id ORDER BY round(list_distance(a.emb, b.emb), 6), d.id) AS rank
+   FROM spot q JOIN spot d ON d.cell = q.cell AND d.r = 1 AND d.id <> q.id JOIN songs a ON a.id = q.id JOIN songs b ON b.id = d.id
+   WHERE q.r <= 4) WHERE rank <= 10)"""
+
+
+def _approx(spark, sf):
+    return N.knn_approx(fx.vectors(spark, sf), 10, nprobe=4, cell_rows=100)
+
+
+@query("knn_approx", PROBED + " SELECT src, dst, rank::INTEGER AS rank, dist FROM pr", ("songs",))
 def knn_approx(spark, sf):
-    return N.knn_approx(fx.vectors(spark, sf), 10, nprobe=4, cell_rows=100).select("src", "dst", "rank", "dist")
+    return _approx(spark, sf).select("src", "dst", "rank", "dist")
+
+
+@query("knn_recall", PROBED + """
+ SELECT round(count(pr.dst) / count(*), 6) AS recall FROM nn LEFT JOIN pr ON pr.src = nn.src AND pr.dst = nn.dst WHERE nn.rank <= 10""", ("nn",))
+def knn_recall(spark, sf):
+    exact = N.knn_l2(fx.vectors(spark, sf), 10).select("src", "dst")
+    found = _approx(spark, sf).select("src", "dst", F.lit(1).alias("hit"))
+    return exact.join(found, ["src", "dst"], "left").agg(F.round(F.count("hit") / F.count("*"), 6).alias("recall"))
 
 
 @query("centroid_similarity", "SELECT i, j, round(sim, 6) + 0.0 AS sim FROM sims", ("sims",))
@@ -649,11 +671,13 @@ def zone_plan(spark, sf):
     return parts[0].unionByName(parts[1]).select("request_id", "zone", "mood", "zone_len", "alpha", "profile")
 
 
-@query("seed_random", """
- , f AS (SELECT r.request_id, r.wanted, p.id, p.n, s.language, row_number() OVER (PARTITION BY r.request_id ORDER BY
-   CASE WHEN r.wanted IS NULL OR s.language = r.wanted THEN 0 ELSE 1 END, md5('seed-pick|' || r.request_id || '|' || p.id), p.id) AS k
-  FROM requests r JOIN pools p ON p.mood = r.spots[1] AND p.n <= 200 JOIN songs s ON s.id = p.id)
- SELECT r.request_id, coalesce(f.id, (SELECT min(id) FROM songs)) AS id FROM requests r LEFT JOIN f ON f.request_id = r.request_id AND f.k = 1""", ("requests", "pools"))
+@query("seed_random", f"""
+ , m AS (SELECT p.mood, p.id, coalesce(s.language, 'en') AS lang FROM pools p JOIN songs s ON s.id = p.id),
+ f AS (SELECT mood, lang, id, row_number() OVER w - 1 AS pos, count(*) OVER (PARTITION BY mood, lang) AS n
+  FROM (SELECT * FROM m UNION ALL SELECT mood, id, '' FROM m) WINDOW w AS (PARTITION BY mood, lang ORDER BY md5('seed-order|' || id), id)),
+ r2 AS (SELECT request_id, spots[1] AS mood, CASE WHEN EXISTS (SELECT 1 FROM m WHERE m.mood = spots[1] AND m.lang = wanted) THEN wanted ELSE '' END AS lang FROM requests)
+ SELECT r.request_id, coalesce(f.id, (SELECT min(id) FROM songs)) AS id FROM r2 r LEFT JOIN f ON f.mood = r.mood AND f.lang = r.lang
+  AND f.pos = least(floor({u01("'seed-pick|' || r.request_id")} * f.n), f.n - 1)""", ("requests", "pools"))
 def seed_random(spark, sf):
     pools, sizes = fx.pools(spark, sf)
     return P.seed_random(fx.placed_requests(spark, sf), pools, sizes, fx.vectors(spark, sf))

@@ -43,19 +43,3 @@ def store(df: DataFrame, name: str) -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def co_locate(df: DataFrame, *keys: str) -> DataFrame:
-    """A copy of a stored table that Spark knows to be partitioned and sorted by ``keys``.
-
-    A table joined in every step of a loop then stays where it is and only the other side moves. Adaptive
-    execution is off for this one write, because plans it has re-shaped do not report their layout.
-    """
-    spark = df.sparkSession
-    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
-    try:
-        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        return cut_lineage(df.repartition(parts, *keys).sortWithinPartitions(*keys))
-    finally:
-        spark.conf.set("spark.sql.adaptive.enabled", adaptive)

@@ -74,7 +74,7 @@ def test_walk_is_repeatable_under_other_partitionings(spark, world):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
     seeds = P.seed_random(requests(spark), world["pools"], world["sizes"], world["songs"])
-    plain = P.generate_playlists(requests(spark), seeds, world["near"], world["pools"], world["sizes"], seed="w", hot_requests=0)
+    plain = P.generate_playlists(requests(spark), seeds, world["near"], world["pools"], world["sizes"], seed="w")
     assert sorted(map(tuple, plain.select("request_id", "pos", "id").collect())) == first
     other = sorted(map(tuple, walk(spark, world, seed="z").select("request_id", "pos", "id").collect()))
     assert other != first

@@ -106,7 +106,9 @@ def test_clean_trim_and_language(spark):
 
 def test_errors_are_cut(spark):
     df = spark.createDataFrame([("E" * 400, "m" * 300), (None, None)], "error_type string, error_message string")
-    got = [r[0] for r in C.capture_errors(df).collect()]
+    whole = [r[0] for r in C.capture_errors(df).collect()]
+    assert whole == ["E" * 400 + ": " + "m" * 300, None]
+    got = [r[0] for r in C.capture_errors(df, 200, 500).collect()]
     assert len(got[0]) == 500 and got[1] is None
 
 
