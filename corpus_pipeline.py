@@ -14,10 +14,20 @@ from arcloom.llm import decontaminate, ngram_join, op10, quality, substring_dedu
 from arcloom.sources.workspace import store
 
 
+def _packed(docs: DataFrame, *used: str) -> DataFrame:
+    """Only the columns that an operator uses, and the others as one, so that no name can clash."""
+    rest = [docs[c] for c in docs.columns if c not in used]
+    return docs.select(*used, F.struct(*rest).alias("_rest") if rest else F.lit(None).alias("_rest"))
+
+
+def _unpacked(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    return rows.select(*[F.col(c) if c in rows.columns and c in ("doc_id", "text", *quality.GROUP) else F.col(f"_rest.`{c}`").alias(c) for c in docs.columns])
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and are no robust outliers of their language and source."""
-    rows = store(quality.base_statistics(docs), "judged-documents")
-    return quality.judge(rows).filter("kept").select(*docs.columns)
+    rows = store(quality.base_statistics(_packed(docs, "text", *quality.GROUP)), "judged-documents")
+    return _unpacked(quality.judge(rows).filter("kept"), docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,10 +44,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the sentences that repeat earlier ones; a document of nothing else goes."""
-    cut = substring_dedup.remove_repeats(docs)
-    left = cut.filter((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_sentences")))
+    cut = substring_dedup.remove_repeats(_packed(docs, "doc_id", "text"))
+    left = _unpacked(cut.filter((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_sentences"))), docs)
     size = {"n_chars": F.length("text").cast("long")} if "n_chars" in docs.columns else {}
-    return left.withColumns(size).select(*docs.columns)
+    return left.withColumns(size)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
