@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import MultilayerPerceptronClassifier
+from pyspark.ml.evaluation import BinaryClassificationEvaluator
+from pyspark.ml.feature import StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,33 +34,43 @@ def model_scores(model, rows: DataFrame) -> DataFrame:
     """Rows with ``features`` scored by the model in column ``score``."""
     vectors = rows.withColumn("_x", array_to_vector("features"))
     return model.transform(vectors).withColumn("score", vector_to_array("probability")[1]).drop(
-        "_x", "rawPrediction", "probability", "prediction")
+        "_x", "_z", "rawPrediction", "probability", "prediction")
 
 
 def train_transition_model(pairs: DataFrame, epochs: int = EPOCHS, patience: int = PATIENCE, hidden=None,
                            steps: int = 1, seed: int = 42):
-    """Multilayer perceptron with early stopping on the validation loss.
+    """Multilayer perceptron on standardised features, with early stopping on the validation loss.
 
     ``pairs`` carries ``features``, ``label`` and ``split``. Each epoch continues from the previous
-    weights for ``steps`` optimiser steps; the best weights win. Returns ``(model, history)``.
+    weights for ``steps`` optimiser steps; the best weights win. Without validation rows the training loss decides.
+    Returns ``(model, history)`` with ``epoch, train_loss, val_loss, val_auc, val_acc``.
     """
-    rows = pairs.select(array_to_vector("features").alias("_x"), F.col("label").cast("double").alias("label"), "split")
-    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+    raw = pairs.select(array_to_vector("features").alias("_x"), F.col("label").cast("double").alias("label"), "split")
+    scaler = StandardScaler(inputCol="_x", outputCol="_z", withMean=True, withStd=True).fit(raw.filter("split = 'train'"))
+    rows = scaler.transform(raw).select("_z", "label", "split").persist(StorageLevel.MEMORY_AND_DISK)
     train, val = rows.filter("split = 'train'"), rows.filter("split = 'val'")
-    dim = rows.first()["_x"].size
-    layers = [dim, *(HIDDEN if hidden is None else hidden), 2]
+    judges = BinaryClassificationEvaluator(labelCol="label", rawPredictionCol="probability")
+    has_val = not val.isEmpty()
+    layers = [rows.first()["_z"].size, *(HIDDEN if hidden is None else hidden), 2]
     best, weights, history, waited = None, None, [], 0
+
+    def measure(model, part):
+        scored = model.transform(part).withColumn("score", vector_to_array("probability")[1])
+        loss, right = scored.agg(F.avg(bce(F.col("label"), F.col("score"))), F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()
+        return float(loss), float(judges.evaluate(scored)), float(right)
+
     try:
         for epoch in range(1, epochs + 1):
             learner = MultilayerPerceptronClassifier(
-                featuresCol="_x", labelCol="label", layers=layers, maxIter=steps, seed=seed, blockSize=128)
+                featuresCol="_z", labelCol="label", layers=layers, maxIter=steps, seed=seed, blockSize=128)
             if weights is not None:
                 learner = learner.setInitialWeights(weights)
             model = learner.fit(train)
             weights = model.weights
-            scored = model.transform(val).withColumn("score", vector_to_array("probability")[1])
-            loss = scored.agg(F.avg(bce(F.col("label"), F.col("score")))).first()[0]
-            history.append((epoch, float(loss)))
+            train_loss = measure(model, train)[0]
+            val_loss, val_auc, val_acc = measure(model, val) if has_val else (None, None, None)
+            history.append((epoch, train_loss, val_loss, val_auc, val_acc))
+            loss = val_loss if has_val else train_loss
             if best is None or loss < best[0]:
                 best, waited = (loss, model), 0
             else:
@@ -67,8 +79,8 @@ def train_transition_model(pairs: DataFrame, epochs: int = EPOCHS, patience: int
                     break
     finally:
         rows.unpersist()
-    frame = pairs.sparkSession.createDataFrame(history, "epoch int, val_loss double")
-    return PipelineModel(stages=[best[1]]), frame
+    frame = pairs.sparkSession.createDataFrame(history, "epoch int, train_loss double, val_loss double, val_auc double, val_acc double")
+    return PipelineModel(stages=[scaler, best[1]]), frame
 
 
 def best_epoch(history: DataFrame) -> DataFrame:

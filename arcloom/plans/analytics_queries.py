@@ -21,6 +21,7 @@ from arcloom.plans.registry import query, u01
 from arcloom.sources.workspace import store
 
 PAIRS = 600
+TRAIN_PAIRS = 3000
 
 
 # --- vectors and clusters --------------------------------------------------------------------------
@@ -157,7 +158,7 @@ def kmeans_fit(spark, sf):
 
 @query("pick_best_k")
 def pick_best_k(spark, sf):
-    best, history = L.pick_best_k(fx.vectors(spark, sf), n_init=1, max_iter=20)
+    best, history = L.pick_best_k(fx.vectors(spark, sf))
     return history.withColumn("best", F.col("k") == best)
 
 
@@ -433,9 +434,12 @@ def pair_stats(spark, sf):
 
 
 def _trained(spark, sf):
-    rows = X.pair_features(_pairs(spark, sf), fx.profiles(spark, sf))
-    split = C.train_val_test_split(rows, "split", ["row_id"])
-    return split, *T.train_transition_model(split, epochs=12, patience=3, steps=5)
+    """A classifier for ``TRAIN_PAIRS`` drawn pairs of each kind: the bound of its labelled rows."""
+    songs = fx.vectors(spark, sf)
+    drawn = R.balance_shuffle(R.positive_pairs(songs, N.knn_l2(songs, R.NEAREST), TRAIN_PAIRS), R.negative_pairs(songs, TRAIN_PAIRS, label="label"))
+    rows = store(X.pair_features(drawn, fx.profiles(spark, sf)), "pair-features")
+    split = store(C.train_val_test_split(rows, "split", ["row_id"]), "split-pairs")
+    return split, *T.train_transition_model(split, steps=5)
 
 
 @query("train_transition_model")

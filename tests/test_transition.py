@@ -13,6 +13,7 @@ from arcloom.operators import pairs as R
 from arcloom.operators import transition as T
 from arcloom.operators.catalogue import train_val_test_split
 from arcloom.sources import artefacts, tables
+from arcloom.sources.workspace import store
 
 
 def preds(spark, rows):
@@ -131,3 +132,25 @@ def test_playlists_round_trip(spark):
     back = tables.write_playlists(df, buckets=4)
     assert sorted(map(tuple, back.select(df.columns).collect())) == sorted(map(tuple, df.collect()))
     assert tables.playlist_json(df.filter("request_id = 1 and pos < 2")).first()["playlist"] == '[{"pos":0,"id":"s0"},{"pos":1,"id":"s1"}]'
+
+
+def test_better_than_chance_on_the_fixture(spark):
+    from arcloom.operators.neighbours import knn_l2
+    from arcloom.plans import fixtures as fx
+
+    sf = "/root/testdata/sf0.001"
+    songs = fx.vectors(spark, sf)
+    pairs = R.balance_shuffle(R.positive_pairs(songs, knn_l2(songs, 3), 3000), R.negative_pairs(songs, 3000, label="label"))
+    rows = store(X.pair_features(pairs, fx.profiles(spark, sf)), "pair-features")
+    split = store(train_val_test_split(rows, "split", ["row_id"]), "split-pairs")
+    model, history = T.train_transition_model(split, epochs=4, patience=4, hidden=[64], steps=10)
+    assert history.columns == ["epoch", "train_loss", "val_loss", "val_auc", "val_acc"]
+    assert T.roc_auc(T.model_scores(model, split.filter("split = 'test'"))).first()["auc"] > 0.5
+
+
+def test_training_without_validation_rows(spark):
+    rows = spark.createDataFrame([([float(i % 2), float(i)], i % 2, "train") for i in range(40)], "features array<double>, label int, split string")
+    model, history = T.train_transition_model(rows, epochs=2, hidden=[4], steps=5)
+    last = history.collect()[-1]
+    assert last["val_loss"] is None and last["val_auc"] is None and last["train_loss"] is not None
+    assert T.model_scores(model, rows).count() == 40
