@@ -17,10 +17,6 @@ def mood_vector(profile: Column, labels: Column) -> Column:
     return F.transform(labels, lambda label: F.coalesce(F.try_element_at(profile, label), F.lit(0.0)))
 
 
-def mood_map(scores: Column, labels: Column) -> Column:
-    return F.map_from_arrays(labels, scores)
-
-
 def ranked_moods(scores: Column) -> Column:
     """``array<struct<score, pos>>`` best first, the earlier label winning ties."""
     tagged = F.transform(scores, lambda s, i: F.struct((-s).alias("neg"), i.alias("pos"), s.alias("score")))

@@ -61,10 +61,10 @@ def pool_sizes(pools: DataFrame) -> DataFrame:
     return pools.groupBy("mood", "other").agg(F.count("*").alias("pool_n"))
 
 
-def bridge_pool(index: DataFrame, mood_a: int, mood_b: int) -> DataFrame:
-    """Songs in the pools of both moods."""
-    return index.filter(F.col("mood") == mood_a).select("id").intersect(
-        index.filter(F.col("mood") == mood_b).select("id"))
+def bridge_pool(index: DataFrame) -> DataFrame:
+    """``(mood, other, id)``: songs in the pools of two moods; a song is in two pools at most."""
+    others = index.select("id", F.col("mood").alias("other"))
+    return index.select("id", "mood").join(others, "id").filter(F.col("mood") != F.col("other")).select("mood", "other", "id")
 
 
 def parse_candidate(cands: DataFrame, dominant: bool) -> DataFrame:

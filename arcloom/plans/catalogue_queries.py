@@ -453,8 +453,7 @@ def mood_pools(spark, sf):
 
 @query("bridge_pool", "SELECT a.mood::INTEGER AS mood, b.mood::INTEGER AS other, a.id FROM idx a JOIN idx b ON a.id = b.id AND a.mood <> b.mood", ("idx",))
 def bridge_pool(spark, sf):
-    rows, _ = fx.pools(spark, sf)
-    return rows.filter("other <> -1").select("mood", "other", "id")
+    return O.bridge_pool(O.mood_index(fx.bare_profiles(spark, sf)))
 
 
 @query("mood_scores", "SELECT id AS song_id, label_id, score FROM moods", ("moods",))

@@ -18,29 +18,3 @@ CATALOG = T.StructType([
     T.StructField("duration_ms", T.LongType()),
     T.StructField("track_genre", T.StringType()),
 ])
-
-SONGS = T.StructType([
-    T.StructField("id", T.StringType(), False),
-    T.StructField("name", T.StringType(), False),
-    T.StructField("artist", T.StringType(), False),
-    T.StructField("album", T.StringType()),
-    T.StructField("year", T.IntegerType()),
-    T.StructField("duration_ms", T.LongType()),
-    T.StructField("spotify_uri", T.StringType()),
-    T.StructField("processed_at", T.TimestampType()),
-    T.StructField("extraction_error", T.StringType()),
-    T.StructField("language", T.StringType()),
-])
-
-FEATURE_TABLE = T.StructType(
-    [T.StructField("song_id", T.StringType(), False)] + [T.StructField(f, T.DoubleType()) for f in FEATURES])
-
-REQUESTS = T.StructType([
-    T.StructField("request_id", T.LongType(), False),
-    T.StructField("seed_id", T.StringType()),
-    T.StructField("seed_query", T.StringType()),
-    T.StructField("arc", T.ArrayType(T.StringType())),
-    T.StructField("temperature", T.DoubleType()),
-    T.StructField("playlist_len", T.IntegerType()),
-    T.StructField("language", T.StringType()),
-])
