@@ -2,78 +2,44 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-try:
-    import ahocorasick
-except ImportError:  # the n-gram join needs no extra package
-    ahocorasick = None
-
 from arcloom.functions.moods import ranked_moods
 
-MAX_SHIPPED_TERMS = 20_000
-MAX_SHIPPED_CHARS = 4_000_000
 GRAM = 3
 
 
-def text_matches(songs: DataFrame, terms: DataFrame, *, max_terms: int = MAX_SHIPPED_TERMS) -> DataFrame:
-    """``(term, id, in_name, in_artist)`` for every song whose name or artist contains the term.
-
-    ``terms`` holds lower-case texts. A list of checked size goes to the scan tasks as one automaton,
-    so each song is read once whatever the number of terms; longer lists use an n-gram join.
-    """
-    wanted = terms.select("term").filter(F.length("term") > 0).distinct()
-    if ahocorasick is not None:
-        size = wanted.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("term")), F.lit(0)).alias("c")).first()
-        if size["n"] <= max_terms and size["c"] <= MAX_SHIPPED_CHARS:
-            return _scan_matches(songs, sorted(r["term"] for r in wanted.collect()))
-    return gram_matches(songs, wanted)
-
-
-def _scan_matches(songs: DataFrame, words: list[str]) -> DataFrame:
-    @F.arrow_udf("array<string>")
-    def found(texts: pa.Array) -> pa.Array:
-        automaton = ahocorasick.Automaton()
-        for word in words:
-            automaton.add_word(word, word)
-        automaton.make_automaton()
-        hits = [sorted({w for _, w in automaton.iter(t)}) if t else [] for t in texts.to_pylist()]
-        return pa.array(hits, type=pa.list_(pa.string()))
-
-    if not words:
-        return songs.select(F.lit("").alias("term"), "id", F.lit(False).alias("in_name"),
-                            F.lit(False).alias("in_artist")).limit(0)
-    tagged = songs.select("id", found(F.lower("name")).alias("n"), found(F.lower("artist")).alias("a"))
-    return tagged.select("id", "n", "a", F.explode(F.array_union("n", "a")).alias("term")).select(
-        "term", "id", F.array_contains("n", F.col("term")).alias("in_name"),
-        F.array_contains("a", F.col("term")).alias("in_artist"))
-
-
 def _grams(text, size: int):
     starts = F.sequence(F.lit(1), F.length(text) - size + 1)
     some = F.transform(starts, lambda i: F.substr(text, i, F.lit(size)))
     return F.when(F.length(text) >= size, F.array_distinct(some)).otherwise(F.array().cast("array<string>"))
 
 
-def gram_matches(songs: DataFrame, terms: DataFrame) -> DataFrame:
-    """The same result by an equi-join on the rarest n-gram of each term."""
-    low = songs.select("id", F.coalesce(F.lower("name"), F.lit("")).alias("n"),
-                       F.coalesce(F.lower("artist"), F.lit("")).alias("a"))
-    sizes = range(1, GRAM + 1)
-    song_grams = low.withColumn(
-        "gram", F.explode(F.array_union(F.flatten(F.array(*[_grams(F.col("n"), s) for s in sizes])),
-                                        F.flatten(F.array(*[_grams(F.col("a"), s) for s in sizes])))))
+def text_matches(songs: DataFrame, terms: DataFrame) -> DataFrame:
+    """``(term, id, in_name, in_artist)`` for every song whose name or artist contains the term.
+
+    ``terms`` holds lower-case texts. Distinct texts meet the terms on the rarest n-gram of each term, out of the
+    n-grams that some term needs; a hit is verified and then joined back to the songs by its text.
+    """
+    wanted = terms.select("term").filter(F.length("term") > 0).distinct()
+    low = songs.select("id", F.lower("name").alias("name"), F.lower("artist").alias("artist"))
+    texts = low.select(F.explode(F.array("name", "artist")).alias("text")).filter(F.length("text") > 0).distinct()
     own = F.when(F.length("term") == 1, _grams(F.col("term"), 1)).when(
         F.length("term") == 2, _grams(F.col("term"), 2)).otherwise(_grams(F.col("term"), GRAM))
-    term_grams = terms.select("term", F.explode(own).alias("gram"))
-    counts = song_grams.groupBy("gram").agg(F.count("*").alias("n_songs"))
+    term_grams = wanted.select("term", F.explode(own).alias("gram"))
+    every = F.flatten(F.array(*[_grams(F.col("text"), size) for size in range(1, GRAM + 1)]))
+    text_grams = texts.select("text", F.explode(every).alias("gram")).join(term_grams.select("gram").distinct(), "gram", "left_semi")
+    counts = text_grams.groupBy("gram").agg(F.count("*").alias("n_texts"))
     rarest = term_grams.join(counts, "gram", "left").groupBy("term").agg(
-        F.min(F.struct(F.coalesce("n_songs", F.lit(0)), "gram")).alias("r")).select("term", F.col("r.gram").alias("gram"))
-    return song_grams.join(rarest, "gram").select(
-        "term", "id", F.contains("n", "term").alias("in_name"), F.contains("a", "term").alias("in_artist")
-    ).filter("in_name or in_artist")
+        F.min(F.struct(F.coalesce("n_texts", F.lit(0)), "gram")).alias("r")).select("term", F.col("r.gram").alias("gram"))
+    found = text_grams.join(rarest, "gram").filter(F.contains("text", "term")).select("term", "text")
+    sides = [
+        low.join(found, F.col(side) == F.col("text")).select(
+            "term", "id", F.lit(side == "name").alias("in_name"), F.lit(side == "artist").alias("in_artist"))
+        for side in ("name", "artist")]
+    return sides[0].unionByName(sides[1]).groupBy("term", "id").agg(
+        F.max("in_name").alias("in_name"), F.max("in_artist").alias("in_artist"))
 
 
 def search_text(queries: DataFrame, songs: DataFrame, profiles: DataFrame, n: int = 10) -> DataFrame:
