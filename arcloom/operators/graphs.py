@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arcloom.functions.vectors import l2_distance, tidy
-from arcloom.operators.neighbours import knn_l2
+from arcloom.operators.neighbours import nearest
 from arcloom.sources.workspace import cut_lineage, store
 
 # Similarity thresholds, neighbour count, pruning bound, mood weight and path length.
@@ -99,12 +99,13 @@ def mood_graph_adjacency(labels: DataFrame, edges: DataFrame) -> DataFrame:
         "label_id", "label", F.coalesce("text", F.lit("none")).alias("connections"))
 
 
-def scored_neighbours(songs: DataFrame, k: int = TOP_K, scorer=None, **sizes) -> DataFrame:
+def scored_neighbours(songs: DataFrame, k: int = TOP_K, scorer=None, **search) -> DataFrame:
     """``(src, dst, rank, dist, score)`` for the ``k`` nearest songs; cosine unless a scorer is given.
 
-    The neighbour search already holds both vectors, so the cosine costs no further join.
+    The neighbour search already holds both vectors, so the cosine costs no further join. ``nprobe`` makes it approximate,
+    the choice for catalogues of millions; ``queries`` restricts it to some songs.
     """
-    knn = knn_l2(songs, k, **sizes)
+    knn = nearest(songs, k, **search)
     if scorer is None:
         return knn.withColumnRenamed("cosine", "score")
     return scorer(knn.drop("cosine").withColumnsRenamed({"src": "a", "dst": "b"})).withColumnsRenamed(

@@ -228,13 +228,15 @@ def _best(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= k + 1).drop("_r")
 
 
-def nearest(songs: DataFrame, k: int, *, nprobe: int | None = None, cell_rows: int = CELL_ROWS,
+def nearest(songs: DataFrame, k: int, *, queries: DataFrame | None = None, nprobe: int | None = None, cell_rows: int = CELL_ROWS,
             chunk_rows: int = CHUNK_ROWS, seed: str = "pivot") -> DataFrame:
     """``(src, dst, rank, dist, cosine)``: the ``k`` nearest other songs of every song that has a vector.
 
     Distances are rounded to six digits and ties go to the lower id. ``nprobe=None`` is exact. With ``nprobe`` only
-    the nearest cells are searched, and further ones for songs that hold fewer than ``k`` neighbours.
+    the nearest cells are searched, and further ones for songs that hold fewer than ``k`` neighbours. ``queries``
+    with a column ``id`` restricts ``src`` to those songs; only they are searched for.
     """
+    asked = queries
     songs = songs.filter(has_vector())
     id_type = songs.schema["id"].dataType.simpleString()
     members, answers, n_distinct = _distinct_vectors(songs, k)
@@ -257,6 +259,9 @@ def nearest(songs: DataFrame, k: int, *, nprobe: int | None = None, cell_rows: i
     if len(pivots) > 1:
         placed = store(placed, "placed")
     queries = placed.filter("copy = 1").select(F.col("id").alias("rep"), "embedding", "cell")
+    if asked is not None:
+        members = store(members.join(asked.select("id").distinct(), "id", "left_semi"), "asked")
+        queries = queries.join(members.select("rep").distinct(), "rep", "left_semi")
 
     def visit(rows: DataFrame, loads: np.ndarray) -> DataFrame:
         return _visit(rows, placed, chunks, _n_chunks(loads, chunk_rows), k)

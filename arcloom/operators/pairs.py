@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from arcloom.functions.hashing import uniform
 from arcloom.operators.catalogue import random_order
+from arcloom.operators.neighbours import nearest
 from arcloom.operators.positions import hash_positions
+from arcloom.sources.workspace import store
 
 NEAREST = 3
 
@@ -19,18 +21,22 @@ def _draws(songs: DataFrame, rows: int, n_songs, seed, names) -> DataFrame:
         F.least(F.floor(uniform(f"{seed}-{n}", "draw") * n_songs), n_songs - 1).alias(n) for n in names])
 
 
-def positive_pairs(songs: DataFrame, knn: DataFrame, n: int, seed="positive") -> DataFrame:
-    """``n`` pairs ``(draw, a, b)``: songs drawn with replacement, each with one of its 3 nearest."""
+def positive_pairs(songs: DataFrame, knn: DataFrame | None, n: int, seed="positive") -> DataFrame:
+    """``n`` pairs ``(draw, a, b)``: songs drawn with replacement, each with one of its 3 nearest.
+
+    Without ``knn`` the neighbours are searched for the drawn songs only.
+    """
     numbered = hash_positions(songs.select("id"), f"{seed}-order", ["id"])
     total = songs.agg(F.count("*")).scalar()
+    drawn = _draws(songs, n, total, seed, ["pos"]).join(numbered.select("pos", F.col("id").alias("a")), "pos").select("draw", "a")
+    if knn is None:
+        drawn = store(drawn, "drawn-songs")
+        knn = nearest(songs, NEAREST, queries=drawn.select(F.col("a").alias("id")))
     near = knn.filter(F.col("rank") <= NEAREST)
     options = near.groupBy(F.col("src").alias("a")).agg(
         F.array_sort(F.collect_list(F.struct("rank", "dst"))).alias("near"))
     pick = F.floor(uniform(f"{seed}-pick", "draw") * F.size("near")) + 1
-    return (
-        _draws(songs, n, total, seed, ["pos"]).join(numbered.select("pos", F.col("id").alias("a")), "pos")
-        .join(options, "a").select("draw", "a", F.element_at("near", pick.cast("int"))["dst"].alias("b"))
-    )
+    return drawn.join(options, "a").select("draw", "a", F.element_at("near", pick.cast("int"))["dst"].alias("b"))
 
 
 def negative_pairs(assigned: DataFrame, n: int, seed="negative", label="label_id") -> DataFrame:

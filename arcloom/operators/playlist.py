@@ -293,11 +293,11 @@ def candidates_ann(state: DataFrame, neighbours: DataFrame, profile: str = "batc
                    _near_tier(F.col("near"), F.col("mood"), F.col("wanted"), PROFILES[profile]))
 
 
-def candidates_global(state: DataFrame, neighbours: DataFrame, pools: DataFrame, sizes: DataFrame, seed="global",
+def candidates_global(state: DataFrame, spots: DataFrame, pools: DataFrame, sizes: DataFrame, seed="global",
                       profile: str = "batch") -> DataFrame:
-    """Tier 3: a random draw from the pool of the wanted mood."""
+    """Tier 3: a random draw from the pool of the wanted mood; ``spots`` has ``current`` and ``current_vec``."""
     p = PROFILES[profile]
-    placed = state.join(neighbours.select("current", "current_vec"), "current", "left")
+    placed = state.join(spots.select("current", "current_vec"), "current", "left")
     drawn = _with_pool_draws(_with_next(placed), salted_pools(pools), sizes, F.lit(True), F.lit(False), p, seed)
     return _spread(drawn, _pool_tier(F.col("pool"), F.col("mood"), F.col("wanted"), p))
 

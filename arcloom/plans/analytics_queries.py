@@ -396,8 +396,7 @@ NEGATIVE = f""" , byc AS (SELECT id, label, row_number() OVER (ORDER BY label, m
 
 @query("positive_pairs", POSITIVE + " SELECT * FROM pp", ("nn",))
 def positive_pairs(spark, sf):
-    songs = fx.vectors(spark, sf)
-    return R.positive_pairs(songs, N.knn_l2(songs, R.NEAREST), PAIRS)
+    return R.positive_pairs(fx.vectors(spark, sf), None, PAIRS)
 
 
 @query("negative_pairs", NEGATIVE + " SELECT * FROM np", ("songs",))
@@ -436,7 +435,7 @@ def pair_stats(spark, sf):
 def _trained(spark, sf):
     """A classifier for ``TRAIN_PAIRS`` drawn pairs of each kind: the bound of its labelled rows."""
     songs = fx.vectors(spark, sf)
-    drawn = R.balance_shuffle(R.positive_pairs(songs, N.knn_l2(songs, R.NEAREST), TRAIN_PAIRS), R.negative_pairs(songs, TRAIN_PAIRS, label="label"))
+    drawn = R.balance_shuffle(R.positive_pairs(songs, None, TRAIN_PAIRS), R.negative_pairs(songs, TRAIN_PAIRS, label="label"))
     rows = store(X.pair_features(drawn, fx.profiles(spark, sf)), "pair-features")
     split = store(C.train_val_test_split(rows, "split", ["row_id"]), "split-pairs")
     return split, *T.train_transition_model(split, steps=5)
@@ -538,7 +537,8 @@ def candidates_ann(spark, sf):
  FROM pool p JOIN songs a ON a.id = p.request_id JOIN songs b ON b.id = p.id""", ("near", "pools"))
 def candidates_global(spark, sf):
     pools, sizes = fx.pools(spark, sf)
-    return _cands(P.candidates_global(fx.states(spark, sf), fx.neighbours(spark, sf), pools, sizes))
+    spots = fx.vectors(spark, sf).select(F.col("id").alias("current"), F.col("embedding").cast("array<double>").alias("current_vec"))
+    return _cands(P.candidates_global(fx.states(spark, sf), spots, pools, sizes))
 
 
 @query("candidates_tiered", TIERS.format(seed="tier-pool") + """

@@ -66,3 +66,14 @@ def test_one_update_per_key(spark):
     new = spark.createDataFrame([(1, "x", 1), (1, "y", 2), (9, "z", 3)], "id long, v string, w int")
     got = sorted(map(tuple, tables.update_metadata(old, new, "id", [F.desc("w")]).collect()))
     assert got == [(1, "y", 2), (2, "b", None)]
+
+
+def test_neighbours_of_some_songs_only(spark):
+    rng = np.random.default_rng(7)
+    x = np.concatenate([rng.normal(size=(150, 6)), np.repeat(rng.normal(size=(1, 6)), 20, axis=0)])
+    songs = frame(spark, x, [0] * 170)
+    some = spark.createDataFrame([(i,) for i in (3, 3, 60, 155, 169, 999)], "id long")
+    for search in ({}, {"cell_rows": 20}, {"cell_rows": 20, "nprobe": 30}):
+        whole = knn_l2(songs, 4).filter(F.col("src").isin(3, 60, 155, 169))
+        part = knn_l2(songs, 4, queries=some, **search)
+        assert sorted(map(tuple, part.select("src", "dst", "rank").collect())) == sorted(map(tuple, whole.select("src", "dst", "rank").collect()))
