@@ -34,7 +34,7 @@ VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
 CHUNK = 1 << 15
 OVERLAP = 1 << 11
-CACHED_PIECES = 1 << 17
+CACHED_PIECES = 1 << 16
 BATCH_BYTES = 4 << 20
 
 

@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 _RANDOM = np.random.Generator(np.random.PCG64(20240229))
 _TABLE = _RANDOM.integers(1, 2**64 - 1, 256, dtype=np.uint64) | np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -31,7 +31,7 @@ LOWER = np.array([b + 32 if 0x41 <= b <= 0x5A else b for b in range(256)], dtype
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2**64, at least ``n`` of each."""
     if "up" not in _POWERS or len(_POWERS["up"]) < n:
-        size = 1 << max(SLICE_BYTES.bit_length(), n.bit_length())
+        size = max(SLICE_BYTES + 1, 1 << n.bit_length() if n > SLICE_BYTES + 1 else 0)
         for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 2**64))):
             out = np.full(size, np.uint64(base))
             out[0] = 1
@@ -50,15 +50,16 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def slices(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """``(first row, end row, bytes, offsets)`` of consecutive rows; null texts are empty."""
+    """``(first row, end row, bytes, offsets)`` of consecutive rows, without a copy; null texts are empty."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    if texts.null_count:
+        texts = pc.fill_null(texts, "")
     n = len(texts)
     if not n:
         return
     _, off, data = texts.buffers()
-    off = np.frombuffer(off, np.int64)[texts.offset : texts.offset + n + 1]
+    off = np.frombuffer(off, np.int64 if texts.type == pa.large_string() else np.int32)[texts.offset : texts.offset + n + 1].astype(np.int64)
     data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     lo = 0
     while lo < n:
@@ -162,7 +163,7 @@ def collect_sketch(parts: DataFrame, dtype, join) -> np.ndarray:
     return np.concatenate([np.frombuffer(bytes(r["counts"]), dtype) for r in rows]) if rows else np.zeros(0, dtype)
 
 
-BITMAP_BITS = 1 << 24
+BITMAP_BITS = 1 << 23
 
 
 def collect_bitmap(keys: DataFrame, column: str, bits: int = BITMAP_BITS) -> np.ndarray:

@@ -43,7 +43,7 @@ SIGNATURE = 128
 ODD_WORDS = 8
 ODD = [f"odd{i}" for i in range(ODD_WORDS)]
 SKETCH_BITS = 20
-STAR_ROUNDS = 2
+STAR_ROUNDS = 1
 HELD_ROWS = 10_000
 PREFIX_ROWS_PER_TASK = 1_000_000
 
