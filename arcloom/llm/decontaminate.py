@@ -168,7 +168,8 @@ def contamination(docs: DataFrame, items: DataFrame, length: int = LENGTH) -> Da
         runs.select("key", "item_key").distinct().join(ids, "item_key").select("key", "item_id").distinct()
         .groupBy("key").agg(F.sort_array(F.collect_list("item_id")).alias("item_ids"))
     )
-    result = hits.join(lists, "key", "left")
+    # Stored, so that the join with it is of two plain tables and Spark can split a text that very many rows share.
+    result = store(hits.join(lists, "key", "left"), "hit-texts")
     return base.select("doc_id", "key", "n_words").join(result, "key", "left").select(
         "doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
         F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"),
