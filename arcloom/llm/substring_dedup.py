@@ -1,10 +1,13 @@
 """Substring deduplication by sliding spans of sentences.
 
 A sentence ends after a word that ends in ``. ! ?`` or the ideographic full stop, closing quotes and brackets aside,
-and at the end of a line. A sentence of more than ``LONG`` words is cut further after words chosen by their hash, so that
-a passage copied into other surroundings is cut at the same words. From every sentence on, the *span* is the
-shortest run of at least ``sentences`` sentences with at least ``words`` words. Spans are compared by the 64-bit hash of
-their words, ``A-Z`` lower-cased, white space aside.
+and at the end of a line. Inside a sentence, every ``LONG`` words in a row are cut after the one with the least hash, the
+last of equals, so a sentence in the sense of this module has at most ``LONG`` words. Whether a cut is made depends on
+these words alone: a passage copied into other surroundings is cut at the same words, but for less than ``LONG`` words at
+either end. The *spans* are the shortest runs of at least ``sentences`` sentences with at least ``words`` words from every
+sentence on, and those up to every sentence. With the defaults, a passage of ``3 * LONG + WORDS - 1 = 39`` words or more
+holds the same span in every copy, and all but less than ``LONG`` words at either end are covered. Spans are compared by the
+64-bit hash of their words, ``A-Z`` lower-cased, white space aside.
 
 All spans of all documents are dealt by ranges of ``(hash, doc_id, text hash, position)`` and sorted, so that a span
 that a third of all documents share is spread over many tasks. The first of each hash, in that order, stays; the
@@ -31,12 +34,25 @@ from arcloom.sources.workspace import store
 
 SENTENCES = 2
 WORDS = 16
-LONG = 24
+LONG = 8
 _CLOSING = np.isin(np.arange(256), list(b"\"')]}"))
 _STOP = np.isin(np.arange(256), list(b".!?"))
 _WIDE_STOP = (0xE3, 0x80, 0x82)
 
 
+def _least(hashes: np.ndarray, sentence: np.ndarray) -> np.ndarray:
+    """The word with the least hash, the last of equals, of every ``LONG`` words inside one sentence."""
+    n = len(hashes) - LONG + 1
+    if n < 1:
+        return np.zeros(0, np.int64)
+    least, at = hashes[:n].copy(), np.arange(n)
+    for j in range(1, LONG):
+        smaller = hashes[j : j + n] <= least
+        np.copyto(least, hashes[j : j + n], where=smaller)
+        at[smaller] = np.flatnonzero(smaller) + j
+    return at[sentence[:n] == sentence[LONG - 1 :]]
+
+
 def segment(data: np.ndarray, off: np.ndarray):
     """Words and sentences of a slice: word starts, stops, hashes, first word per text, and the first word of every
     sentence with the first sentence of every text (each with one more at the end)."""
@@ -54,9 +70,7 @@ def segment(data: np.ndarray, off: np.ndarray):
     lines = np.concatenate([[0], np.cumsum(data == 0x0A)])
     ends[:-1] |= lines[starts[1:]] > lines[stops[:-1]]
     ends[first[1:][first[1:] > 0] - 1] = True
-    sentence = np.concatenate([[0], np.cumsum(ends)[:-1]])
-    long = np.bincount(sentence) > LONG
-    ends |= long[sentence] & ((hashes >> np.uint64(20)) & np.uint64(7) == 0)
+    ends[_least(hashes, np.concatenate([[0], np.cumsum(ends)[:-1]]))] = True
     begin = np.concatenate([[0], np.flatnonzero(ends) + 1])
     return starts, stops, hashes, first, begin, np.searchsorted(begin, first)
 
@@ -68,9 +82,12 @@ def spans_of(hashes: np.ndarray, first: np.ndarray, begin: np.ndarray, text: np.
         none = np.zeros(0, np.int64)
         return none, none, none, np.zeros(0, np.uint64)
     owner = np.repeat(np.arange(len(text) - 1), np.diff(text))
-    stop = np.maximum(np.arange(n) + sentences, np.searchsorted(begin, begin[:-1] + words))
+    each = np.arange(n)
+    stop = np.maximum(each + sentences, np.searchsorted(begin, begin[:-1] + words))
+    start = np.minimum(each + 1 - sentences, np.searchsorted(begin, begin[1:] - words, side="right") - 1)
+    down_to = (start >= text[owner]) & (stop[start] != each + 1)
     ok = stop <= text[owner + 1]
-    at, stop, owner = np.flatnonzero(ok), stop[ok], owner[ok]
+    at, stop, owner = np.concatenate([each[ok], start[down_to]]), np.concatenate([stop[ok], each[down_to] + 1]), np.concatenate([owner[ok], owner[down_to]])
     up, down = K._powers(len(hashes) + 1)
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * up[: len(hashes)], dtype=np.uint64)])
     lo, hi = begin[at], begin[stop]
