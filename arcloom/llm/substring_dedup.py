@@ -15,7 +15,8 @@ sentences that any other one covers are removed. A task cannot see whether its f
 task before; those rows, one per task, are settled by a join with the last row of every task.
 
 Cases: null stays null and has no sentences. Texts without a span stay as they are, empty ones too. Repeats inside one
-text count. Rows with the same ``doc_id`` and text are one document and get the same result. Ties are broken by ``doc_id``
+text count. Rows with the same ``doc_id``, null or not, and text are one document: they get the same result, and spans that
+differ in nothing are one and no repeat of each other. Ties are broken by ``doc_id``
 (null first), then text hash. Other columns stay; a column ``n_sentences`` or ``n_removed`` of the input is replaced.
 """
 
@@ -25,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -112,9 +114,17 @@ def _spans(sentences: int, words: int):
 _SPAN = "hash long, doc {doc}, text_hash long, begin int, stop int"
 
 
+def _as_before(column: pa.Array) -> np.ndarray:
+    """For every value but the first: does it equal the one before it? Null equals null."""
+    after, before = column.slice(1), column.slice(0, len(column) - 1)
+    both = pc.and_(after.is_null(), before.is_null())
+    return pc.or_(pc.fill_null(pc.equal(after, before), False), both).to_numpy(zero_copy_only=False)
+
+
 def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of sorted spans those that follow an equal one, as ``repeat``; the first span of the task as ``open``, its last as ``end``."""
-    last, final = None, None
+    """Of sorted spans those that follow an equal one of another place, as ``repeat``; the first span of the task as ``open``,
+    its last as ``end``. Rows of one place, which repeated documents have, are all the first or all a repeat."""
+    final, status = None, False
 
     def tagged(rows: pa.RecordBatch, kind: str) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([*rows.columns, pa.array([kind] * rows.num_rows, pa.string())], [*rows.schema.names, "kind"])
@@ -122,13 +132,18 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        value = batch.column(0).to_numpy()
-        again = np.empty(len(value), bool)
-        again[0], again[1:] = last == value[0], value[1:] == value[:-1]
-        if last is None:
+        if final is None:
             yield tagged(batch.slice(0, 1), "open")
-        yield tagged(batch.filter(pa.array(again)), "repeat")
-        last, final = value[-1], batch.slice(batch.num_rows - 1, 1)
+            final = batch.slice(0, 1)
+        # Row 0 is the last row of the batch before.
+        columns = [pa.concat_arrays([final.column(j), batch.column(j)]) for j in range(4)]
+        run = np.concatenate([[True], ~_as_before(columns[0])])
+        moved = np.concatenate([[status], ~np.logical_and.reduce([_as_before(c) for c in columns])])
+        places = np.cumsum(moved & ~(run & (np.arange(len(run)) > 0)))
+        at = np.maximum.accumulate(np.where(run, np.arange(len(run)), 0))
+        again = places > np.where(at > 0, places[at], 0)
+        yield tagged(batch.filter(pa.array(again[1:])), "repeat")
+        final, status = batch.slice(batch.num_rows - 1, 1), again[-1]
     if final is not None:
         yield tagged(final, "end")
 
