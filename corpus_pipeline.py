@@ -14,6 +14,10 @@ from arcloom.llm import decontaminate, ngram_join, op10, quality, substring_dedu
 from arcloom.sources.workspace import store
 
 
+#: Near duplicates: words in a shingle, and the least similarity in hundredths.
+NEAR_WORDS, NEAR_PERCENT = 5, 80
+
+
 def _packed(docs: DataFrame, *used: str) -> DataFrame:
     """Only the columns that an operator uses, and the others as one, so that no name can clash."""
     rest = [docs[c] for c in docs.columns if c not in used]
@@ -33,9 +37,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of linked documents; of rows with one id one.
 
+    Linked are documents whose sets of word 5-grams have a Jaccard similarity of 0.8 or more; ``op1`` has its own contract.
+
     Rows without an id are in no group and stay.
     """
-    found = store(ngram_join.ngram_components(docs), "document-groups")
+    found = store(ngram_join.ngram_components(docs, NEAR_WORDS, NEAR_PERCENT), "document-groups")
     gone = found.filter("doc_id <> component_id").select("doc_id").distinct()
     named = docs.filter(F.col("doc_id").isNotNull()).join(gone, "doc_id", "left_anti")
     one = named.withColumn("_row", F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id"))).filter("_row = 1")
