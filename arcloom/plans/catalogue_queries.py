@@ -138,7 +138,7 @@ def playlist_json(spark, sf):
 @query("model_save_load")
 def model_save_load(spark, sf):
     songs = fx.vectors(spark, sf)
-    model, _ = kmeans_fit(songs, 8, n_init=1)
+    model, _ = kmeans_fit(songs, 8)
     loaded = artefacts.load_kmeans(artefacts.save_model(model, spark, "kmeans"))
     scaler = artefacts.save_scaler(X.scaler_fit(songs))
     dims = scaler.count()
