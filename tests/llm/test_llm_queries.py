@@ -8,7 +8,7 @@ import __spark_entry__ as entry
 from arcloom.llm import quality
 from arcloom.llm.queries import ORACLES, QUERIES
 from arcloom.sources.workspace import store
-from tests.llm import test_decontaminate, test_ngram_join, test_quality, test_substring_dedup
+from tests.llm import test_decontaminate, test_pipeline_near, test_quality, test_substring_dedup
 from tests.oracle_check import compare
 
 SF = "/root/testdata/sf0.001"
@@ -47,8 +47,7 @@ def test_pipeline_stage_by_stage(spark):
     assert texts[1] == {d: t for d, t in texts[0].items() if verdict[d]}
     assert not any(test_quality.brute(t)[-1] for t in texts[1].values())
     # 2: the smallest id of each group.
-    groups = test_ngram_join.brute(sorted(texts[1].items()))
-    assert texts[2] == {d: texts[1][d] for d, _, top in groups if d == top}
+    assert texts[2] == {d: texts[1][d] for d in test_pipeline_near.kept(sorted(texts[1].items()))}
     # 3: repeated sentences go.
     cut = test_substring_dedup.brute(sorted(texts[2].items()))
     assert texts[3] == {d: t for d, (t, n, lost) in cut.items() if not lost or lost < n}

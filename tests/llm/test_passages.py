@@ -1,57 +1,13 @@
-"""Span removal: passages placed at random, and a plain Python version with dictionaries of word tuples."""
+"""Span removal of passages placed at random, and of odd rows next to whole tables."""
 
 import random
 
 from arcloom.llm.substring_dedup import LONG, remove_repeats
-from tests.llm.test_substring_dedup import LOWER, hash_of, split_words
+from tests.llm.test_substring_dedup import brute
 
 SF = "/root/testdata/sf0.01"
 
 
-def sentences_of(text):
-    words, groups, now = split_words(text), [], []
-    for i, (a, b) in enumerate(words):
-        now.append((a, b))
-        bare = text[a:b]
-        for _ in range(3):
-            if len(bare) > 1 and bare[-1] in "\"')]}":
-                bare = bare[:-1]
-        following = words[i + 1][0] if i + 1 < len(words) else len(text)
-        if bare[-1] in ".!?。" or i + 1 == len(words) or "\n" in text[b:following]:
-            groups.append(now)
-            now = []
-    out = []
-    for g in groups:
-        hashes = [hash_of(text[a:b]) for a, b in g]
-        cuts = {max(range(i, i + LONG), key=lambda j: (-hashes[j], j)) for i in range(len(g) - LONG + 1)} | {len(g) - 1}
-        lo = 0
-        for c in sorted(cuts):
-            out.append(g[lo : c + 1])
-            lo = c + 1
-    return out
-
-
-def brute(docs, sentences=2, least=16):
-    seen, result = {}, {}
-    for doc, text in sorted({(d, t) for d, t in docs if t is not None}):
-        groups, lost, spans = sentences_of(text), set(), set()
-
-        def enough(i, j):
-            return j - i >= sentences and sum(map(len, groups[i:j])) >= least
-
-        for i in range(len(groups)):
-            spans |= {(i, j) for j in range(i, min(len(groups), i + least) + 1) if enough(i, j) and not enough(i, j - 1)}
-            spans |= {(j, i + 1) for j in range(max(0, i - least), i + 1) if enough(j, i + 1) and not enough(j + 1, i + 1)}
-        for i, j in sorted(spans):
-            key = tuple(text[a:b].translate(LOWER) for g in groups[i:j] for a, b in g)
-            if seen.setdefault(key, (doc, text, i)) != (doc, text, i):
-                lost |= set(range(i, j))
-        edges = [g[0][0] for g in groups] + [len(text)]
-        kept = text[: edges[0]] + "".join(text[edges[i] : edges[i + 1]] for i in range(len(groups)) if i not in lost) if len(lost) < len(groups) or not lost else ""
-        result[doc] = (kept, len(groups), len(lost))
-    return result
-
-
 def removed(spark, rows):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     return {r["doc_id"]: (r["text"], r["n_sentences"], r["n_removed"]) for r in remove_repeats(docs).collect()}
