@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from arcloom.functions.vectors import l2_distance, tidy
 from arcloom.operators.neighbours import nearest
+from arcloom.operators.vector_index import knn_approx
 from arcloom.sources.workspace import cut_lineage, store
 
 # Similarity thresholds, neighbour count, pruning bound, mood weight and path length.
@@ -99,13 +100,16 @@ def mood_graph_adjacency(labels: DataFrame, edges: DataFrame) -> DataFrame:
         "label_id", "label", F.coalesce("text", F.lit("none")).alias("connections"))
 
 
-def scored_neighbours(songs: DataFrame, k: int = TOP_K, scorer=None, **search) -> DataFrame:
+def scored_neighbours(songs: DataFrame, k: int = TOP_K, scorer=None, method: str = "exact", **search) -> DataFrame:
     """``(src, dst, rank, dist, score)`` for the ``k`` nearest songs; cosine unless a scorer is given.
 
-    The neighbour search already holds both vectors, so the cosine costs no further join. ``nprobe`` makes it approximate,
-    the choice for catalogues of millions; ``queries`` restricts it to some songs.
+    The neighbour search already holds both vectors, so the cosine costs no further join. ``method`` is ``exact``, whose work is
+    quadratic where the vectors have no structure, or ``approximate``, the stored index with calibrated probes and the choice for
+    catalogues of millions; ``queries`` restricts either to some songs.
     """
-    knn = nearest(songs, k, **search)
+    if method not in ("exact", "approximate"):
+        raise ValueError(f"no search method {method!r}")
+    knn = (knn_approx if method == "approximate" else nearest)(songs, k, **search)
     if scorer is None:
         return knn.withColumnRenamed("cosine", "score")
     return scorer(knn.drop("cosine").withColumnsRenamed({"src": "a", "dst": "b"})).withColumnsRenamed(

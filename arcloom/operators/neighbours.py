@@ -1,4 +1,4 @@
-"""k-nearest-neighbour self-join under L2, exact or approximate.
+"""Exact k-nearest-neighbour self-join under L2.
 
 1. Equal vectors are collapsed. A query can only meet the ``k + 1`` lowest ids of a vector, so the
    data side keeps just those; members get the result of their representative. However many copies
@@ -7,9 +7,8 @@
    so cells have similar sizes; a cell above ``chunk_rows`` is further cut by hash.
 3. Queries meet data chunk by chunk in bounded groups. A numpy kernel keeps the local ``k + 1`` best
    of each query, and only those rows are shuffled and ranked.
-4. The first round visits the home cell. Exact mode then visits every other cell whose lower bound
-   (triangle inequality and bisector) does not exceed the distance found so far. Approximate mode
-   visits the ``nprobe`` nearest cells and stops.
+4. The first round visits the home cell, the second every other cell whose lower bound (triangle inequality and
+   bisector) does not exceed the distance found so far.
 """
 
 from __future__ import annotations
@@ -149,22 +148,6 @@ def _probe_column(pivots: np.ndarray, low: np.ndarray, high: np.ndarray):
     return probes
 
 
-def _ranked_cells(pivots: np.ndarray, first: int, stop: int):
-    """The cells from the ``first`` nearest to before the ``stop`` nearest."""
-
-    @F.arrow_udf("array<int>")
-    def cells(vectors: pa.Array) -> pa.Array:
-        x = as_matrix(vectors)
-        out = []
-        step = _block_rows(pivots)
-        for lo in range(0, len(x), step):
-            d = squared_distances(x[lo:lo + step], pivots)
-            out += list(np.argsort(d, axis=1, kind="stable")[:, first:stop].astype(np.int32))
-        return pa.array(out, type=pa.list_(pa.int32()))
-
-    return cells
-
-
 def _n_chunks(rows: np.ndarray, chunk_rows: int) -> np.ndarray:
     return np.maximum(1, -(-rows // chunk_rows))
 
@@ -175,7 +158,6 @@ def _visit(queries: DataFrame, data: DataFrame, chunks: np.ndarray, loads: np.nd
     ``chunks`` and ``loads`` say into how many parts the data and the queries of each cell are cut by
     hash, so a group holds about one chunk of either side.
     """
-    id_type = queries.schema["rep"].dataType.simpleString()
     left = _with_lookup(_with_lookup(queries, "target", chunks, "n_data"), "target", loads, "n_query").select(
         "rep", F.col("embedding").alias("q_vec"), "target",
         (hash_bucket(hash_hex("query", "rep"), 7) % F.col("n_query")).cast("int").alias("q_chunk"),
@@ -184,8 +166,13 @@ def _visit(queries: DataFrame, data: DataFrame, chunks: np.ndarray, loads: np.nd
                          "d_cell", loads, "n_query").select(
         "id", "d_vec", F.col("d_cell").alias("target"), F.col("chunk").alias("d_chunk"),
         F.explode(F.sequence(F.lit(0), F.col("n_query") - 1)).alias("q_chunk"))
+    return _matched(left, right, k + 1, (chunks * loads).sum())
+
+
+def _matched(left: DataFrame, right: DataFrame, limit: int, groups=None) -> DataFrame:
+    """``(rep, id, dist, cosine)``: the ``limit`` best rows of ``right (id, d_vec)`` in its group for each of ``left (rep, q_vec)``."""
     keys = ["target", "d_chunk", "q_chunk"]
-    limit = k + 1
+    rep_type, id_type = left.schema["rep"].dataType.simpleString(), right.schema["id"].dataType.simpleString()
 
     def kernel(left_rows: pa.Table, right_rows: pa.Table) -> pa.Table:
         if not left_rows.num_rows or not right_rows.num_rows:
@@ -206,12 +193,28 @@ def _visit(queries: DataFrame, data: DataFrame, chunks: np.ndarray, loads: np.nd
         return pa.concat_tables(parts)
 
     # The work per byte is high, so the partitions must not be merged by size: their number is given.
-    spark = queries.sparkSession
+    spark = left.sparkSession
     width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
-    parts = int(min(width, (chunks * loads).sum()))
+    parts = int(width if groups is None else min(width, groups))
     left, right = left.repartition(parts, *keys), right.repartition(parts, *keys)
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(
-        kernel, f"rep {id_type}, id {id_type}, dist double, cosine double")
+        kernel, f"rep {rep_type}, id {id_type}, dist double, cosine double")
+
+
+def match_chunks(queries: DataFrame, data: DataFrame, limit: int, chunk_rows: int) -> DataFrame:
+    """The ``limit`` best rows of ``data (id, embedding, target)`` for each of ``queries (rep, embedding, target)`` with its target.
+
+    Either side is counted by target and cut by hash into chunks of about ``chunk_rows``; the counts are joined, not broadcast.
+    """
+    sides = queries.groupBy("target").agg(F.count("*").alias("n_query")).join(data.groupBy("target").agg(F.count("*").alias("n_data")), "target")
+    sides = store(sides.select("target", *[F.ceil(F.col(c) / chunk_rows).cast("int").alias(c) for c in ("n_query", "n_data")]), "match-chunks")
+    left = queries.join(sides, "target").select(
+        "rep", F.col("embedding").alias("q_vec"), "target", (hash_bucket(hash_hex("query", "rep"), 7) % F.col("n_query")).cast("int").alias("q_chunk"),
+        F.explode(F.sequence(F.lit(0), F.col("n_data") - 1)).alias("d_chunk"))
+    right = data.join(sides, "target").select(
+        "id", F.col("embedding").alias("d_vec"), "target", (hash_bucket(hash_hex("chunk", "id"), 7) % F.col("n_data")).cast("int").alias("d_chunk"),
+        F.explode(F.sequence(F.lit(0), F.col("n_query") - 1)).alias("q_chunk"))
+    return _matched(left, right, limit)
 
 
 def _with_lookup(df: DataFrame, cell: str, values: np.ndarray, out: str) -> DataFrame:
@@ -228,13 +231,12 @@ def _best(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= k + 1).drop("_r")
 
 
-def nearest(songs: DataFrame, k: int, *, queries: DataFrame | None = None, nprobe: int | None = None, cell_rows: int = CELL_ROWS,
+def nearest(songs: DataFrame, k: int, *, queries: DataFrame | None = None, cell_rows: int = CELL_ROWS,
             chunk_rows: int = CHUNK_ROWS, seed: str = "pivot") -> DataFrame:
     """``(src, dst, rank, dist, cosine)``: the ``k`` nearest other songs of every song that has a vector.
 
-    Distances are rounded to six digits and ties go to the lower id. ``nprobe=None`` is exact. With ``nprobe`` only
-    the nearest cells are searched, and further ones for songs that hold fewer than ``k`` neighbours. ``queries``
-    with a column ``id`` restricts ``src`` to those songs; only they are searched for.
+    Distances are rounded to six digits and ties go to the lower id. ``queries`` with a column ``id`` restricts ``src`` to those
+    songs; only they are searched for. ``vector_index`` has the approximate search.
     """
     asked = queries
     songs = songs.filter(has_vector())
@@ -274,28 +276,13 @@ def nearest(songs: DataFrame, k: int, *, queries: DataFrame | None = None, nprob
 
     if len(pivots) == 1:
         return _per_member(members, _best(visit(queries.withColumn("target", F.col("cell")), homes), k), k)
-    if nprobe is None:
-        best = store(_best(visit(queries.withColumn("target", F.col("cell")), homes), k), "home_best")
-        bound = best.groupBy("rep").agg(
-            F.when(F.count("*") > k, F.max("dist")).otherwise(F.lit(float("inf"))).alias("bound"))
-        probes = _probe_column(pivots, low, high)
-        away = queries.join(bound, "rep").select("rep", "embedding", F.explode(
-            probes("embedding", "cell", "bound")).alias("target"))
-        return _per_member(members, _best(best.unionByName(visit(away, loads_of(away))), k), k)
-    # Approximate: the nearest cells at once; queries that hold too few songs go on to as many more, and so on.
-    enough = min(k + 1, int(sizes.sum()))
-    best, waiting, probed = None, queries, 0
-    while probed < len(pivots):
-        further = min(len(pivots), max(1, nprobe, 2 * probed))
-        away = waiting.select("rep", "embedding", F.explode(_ranked_cells(pivots, probed, further)("embedding")).alias("target"))
-        found = visit(away, loads_of(away))
-        best = store(_best(found if best is None else best.unionByName(found), k), "probed_best")
-        probed = further
-        short = best.groupBy("rep").agg(F.count("*").alias("n")).filter(F.col("n") < enough)
-        waiting = queries.join(short.select("rep"), "rep", "left_semi").unionByName(queries.join(best.select("rep").distinct(), "rep", "left_anti"))
-        if waiting.isEmpty():
-            break
-    return _per_member(members, best, k)
+    best = store(_best(visit(queries.withColumn("target", F.col("cell")), homes), k), "home_best")
+    bound = best.groupBy("rep").agg(
+        F.when(F.count("*") > k, F.max("dist")).otherwise(F.lit(float("inf"))).alias("bound"))
+    probes = _probe_column(pivots, low, high)
+    away = queries.join(bound, "rep").select("rep", "embedding", F.explode(
+        probes("embedding", "cell", "bound")).alias("target"))
+    return _per_member(members, _best(best.unionByName(visit(away, loads_of(away))), k), k)
 
 
 def _per_member(members: DataFrame, best: DataFrame, k: int) -> DataFrame:
@@ -314,8 +301,3 @@ def _per_member(members: DataFrame, best: DataFrame, k: int) -> DataFrame:
 def knn_l2(songs: DataFrame, k: int, **sizes) -> DataFrame:
     """Exact ``k`` nearest neighbours by L2, the song itself excluded by id."""
     return nearest(songs, k, **sizes)
-
-
-def knn_approx(songs: DataFrame, k: int, nprobe: int = 4, **sizes) -> DataFrame:
-    """Approximate neighbours: only the ``nprobe`` nearest cells are searched."""
-    return nearest(songs, k, nprobe=nprobe, **sizes)

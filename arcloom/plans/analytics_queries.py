@@ -12,6 +12,7 @@ from arcloom.operators import clustering as L
 from arcloom.operators import features as X
 from arcloom.operators import graphs as G
 from arcloom.operators import neighbours as N
+from arcloom.operators import vector_index as V
 from arcloom.operators import pairs as R
 from arcloom.operators import playlist as P
 from arcloom.operators import transition as T
@@ -169,30 +170,48 @@ def knn_l2(spark, sf):
     return N.knn_l2(fx.vectors(spark, sf), 50).select("src", "dst", "rank", "dist")
 
 
-PROBED = """ , pv AS (SELECT row_number() OVER (ORDER BY md5('pivot|' || id), id) - 1 AS cell, emb FROM songs
-   QUALIFY cell < ceil((SELECT count(*) FROM songs) / 100.0)),
- spot AS (SELECT s.id, p.cell, row_number() OVER (PARTITION BY s.id ORDER BY list_distance(s.emb, p.emb), p.cell) AS r FROM songs s, pv p),
+PROBED = f""" , total AS (SELECT ceil(sqrt(ceil(count(*) / 50.0))) AS coarse FROM songs),
+ p1 AS (SELECT row_number() OVER (ORDER BY md5('pivot|' || id), id) - 1 AS c, id, emb FROM songs QUALIFY c < (SELECT coarse FROM total)),
+ far AS MATERIALIZED (SELECT s.id, p.c, row_number() OVER (PARTITION BY s.id ORDER BY list_distance(s.emb, p.emb), p.c) AS r FROM songs s, p1 p),
+ p2 AS MATERIALIZED (SELECT s.id AS cell, s.emb, f.c FROM songs s JOIN far f ON f.id = s.id AND f.r = 1
+   WHERE s.id IN (SELECT id FROM p1) OR {u01("'cell|' || s.id")} < 0.02),
+ home AS MATERIALIZED (SELECT s.id, f.c, arg_min(p.cell, (list_distance(s.emb, p.emb), p.cell)) AS cell
+   FROM songs s JOIN far f ON f.id = s.id AND f.r = 1 JOIN p2 p ON p.c = f.c GROUP BY s.id, f.c),
+ block AS (SELECT id FROM songs ORDER BY md5('block|' || id), id LIMIT 256),
+ pairs AS MATERIALIZED (SELECT n.src, n.dst, f.r AS coarse_place FROM nn n JOIN home h ON h.id = n.dst JOIN far f ON f.id = n.src AND f.c = h.c
+   WHERE n.rank <= 10 AND n.src IN (SELECT id FROM block)),
+ first_probe AS MATERIALIZED (SELECT min(coarse_place) AS coarse FROM (
+   SELECT coarse_place, sum(count(*)) OVER (ORDER BY coarse_place) AS n FROM pairs GROUP BY coarse_place) WHERE n >= 0.96::DOUBLE * (SELECT count(*) FROM pairs) - 1e-9),
+ spot AS MATERIALIZED (SELECT s.id, p.cell, row_number() OVER (PARTITION BY s.id ORDER BY round(list_distance(s.emb, p.emb), 6), p.cell) AS r
+   FROM songs s JOIN far f ON f.id = s.id AND f.r <= (SELECT coarse FROM first_probe) JOIN p2 p ON p.c = f.c),
+ places AS MATERIALIZED (SELECT q.src, q.dst, o.r FROM pairs q JOIN home h ON h.id = q.dst LEFT JOIN spot o ON o.id = q.src AND o.cell = h.cell),
+ probe AS MATERIALIZED (SELECT (SELECT coarse FROM first_probe) AS coarse, min(r) AS cells FROM (
+   SELECT r, sum(count(*)) OVER (ORDER BY r) AS n FROM places WHERE r IS NOT NULL GROUP BY r) WHERE n >= 0.92::DOUBLE * (SELECT count(*) FROM pairs) - 1e-9),
  pr AS (SELECT src, dst, dist, rank FROM (
    SELECT q.id AS src, d.id AS dst, round(list_distance(a.emb, b.emb), 6) AS dist,
     row_number() OVER (PARTITION BY q.id ORDER BY round(list_distance(a.emb, b.emb), 6), d.id) AS rank
-   FROM spot q JOIN spot d ON d.cell = q.cell AND d.r = 1 AND d.id <> q.id JOIN songs a ON a.id = q.id JOIN songs b ON b.id = d.id
-   WHERE q.r <= 4) WHERE rank <= 10)"""
+   FROM spot q JOIN home d ON d.cell = q.cell AND d.id <> q.id JOIN songs a ON a.id = q.id JOIN songs b ON b.id = d.id
+   WHERE q.r <= (SELECT cells FROM probe)) WHERE rank <= 10)"""
 
 
-def _approx(spark, sf):
-    return N.knn_approx(fx.vectors(spark, sf), 10, nprobe=4, cell_rows=100)
+@query("knn_calibration", PROBED + """
+ SELECT coarse::INTEGER AS coarse, cells::INTEGER AS cells, round((SELECT count(*) FROM places WHERE r <= cells) / (SELECT count(*) FROM places), 6) AS block_recall FROM probe""",
+       ("nn",))
+def knn_calibration(spark, sf):
+    probes = V.calibrate(spark, V.build_index(fx.vectors(spark, sf), 10, cell_rows=50))
+    return spark.createDataFrame([(probes.coarse, probes.cells, round(probes.recall, 6))], "coarse int, cells int, block_recall double")
 
 
-@query("knn_approx", PROBED + " SELECT src, dst, rank::INTEGER AS rank, dist FROM pr", ("songs",))
+@query("knn_approx", PROBED + " SELECT src, dst, rank::INTEGER AS rank, dist FROM pr", ("nn",))
 def knn_approx(spark, sf):
-    return _approx(spark, sf).select("src", "dst", "rank", "dist")
+    return V.knn_approx(fx.vectors(spark, sf), 10, cell_rows=50).select("src", "dst", "rank", "dist")
 
 
 @query("knn_recall", PROBED + """
  SELECT round(count(pr.dst) / count(*), 6) AS recall FROM nn LEFT JOIN pr ON pr.src = nn.src AND pr.dst = nn.dst WHERE nn.rank <= 10""", ("nn",))
 def knn_recall(spark, sf):
     exact = N.knn_l2(fx.vectors(spark, sf), 10).select("src", "dst")
-    found = _approx(spark, sf).select("src", "dst", F.lit(1).alias("hit"))
+    found = knn_approx(spark, sf).select("src", "dst", F.lit(1).alias("hit"))
     return exact.join(found, ["src", "dst"], "left").agg(F.round(F.count("hit") / F.count("*"), 6).alias("recall"))
 
 

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from arcloom.operators import centroids as K
 from arcloom.operators import clustering as L
 from arcloom.operators import pairs as R
-from arcloom.operators.neighbours import knn_approx, knn_l2
+from arcloom.operators.neighbours import knn_l2
+from arcloom.operators.vector_index import Probes, knn_approx
 from arcloom.sources import tables
 
 
@@ -47,7 +48,7 @@ def test_negative_pairs_always_hit(spark):
 def test_approximate_neighbours_of_tiny_groups(spark):
     rng = np.random.default_rng(5)
     x = np.repeat(rng.normal(size=(40, 8)) * 50, 5, axis=0) + rng.normal(size=(200, 8)) * 0.01
-    got = knn_approx(frame(spark, x, [0] * 200), 10, nprobe=1, cell_rows=5).groupBy("src").count().collect()
+    got = knn_approx(frame(spark, x, [0] * 200), 10, cell_rows=5, probes=Probes(1, 1, 0.0)).groupBy("src").count().collect()
     assert len(got) == 200 and all(r["count"] == 10 for r in got)
 
 
@@ -73,7 +74,7 @@ def test_neighbours_of_some_songs_only(spark):
     x = np.concatenate([rng.normal(size=(150, 6)), np.repeat(rng.normal(size=(1, 6)), 20, axis=0)])
     songs = frame(spark, x, [0] * 170)
     some = spark.createDataFrame([(i,) for i in (3, 3, 60, 155, 169, 999)], "id long")
-    for search in ({}, {"cell_rows": 20}, {"cell_rows": 20, "nprobe": 30}):
+    for search in ({}, {"cell_rows": 20}):
         whole = knn_l2(songs, 4).filter(F.col("src").isin(3, 60, 155, 169))
         part = knn_l2(songs, 4, queries=some, **search)
         assert sorted(map(tuple, part.select("src", "dst", "rank").collect())) == sorted(map(tuple, whole.select("src", "dst", "rank").collect()))
