@@ -10,18 +10,19 @@ character, and backslashes are doubled; :func:`unescape` is the exact inverse. S
 its turn nor pose as a placeholder.
 
 ``formatted`` is one string per conversation, and so are the loss spans of one conversation together: a conversation is
-gathered by its key, since its text is one value. Spans are counted in code points.
+gathered by its key, since its text is one value. Before that, the places of its parts are sums over rows, and nothing in the
+gathered row looks back, so time grows with the length of a conversation and not with its square. Spans are counted in code points.
 
 Cases: null text, role and parts are empty; a part of an unknown type is kept as escaped text. Rows with equal turn numbers
 are ordered by role and text; repeated rows are repeated turns. A null conversation id is a conversation. No rows
-give no conversations. Other columns are ignored.
+give no conversations. Conversations of any number of turns and texts of any length are formatted whole. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TURN, SAYS, END = "<|turn|>", "<|says|>", "<|end|>"
@@ -61,18 +62,6 @@ def is_attachment(part: Column) -> Column:
     return F.coalesce(part["type"].isin(ATTACHMENTS), F.lit(False))
 
 
-def flatten(parts: Column, before: Column) -> Column:
-    """Text of a message whose first attachment has number ``before`` in its conversation."""
-    kinds = F.transform(parts, lambda p: F.when(is_attachment(p), 1).otherwise(0))
-
-    def visit(p: Column, i: Column) -> Column:
-        number = before + F.aggregate(F.slice(kinds, 1, i), F.lit(0).cast("long"), lambda a, k: a + k)
-        return F.when(is_attachment(p), F.concat(F.lit("<|"), p["type"], F.lit(":"), number.cast("string"), F.lit("|>"))).otherwise(
-            escape(F.coalesce(p["text"], F.lit(""))))
-
-    return F.array_join(F.transform(parts, visit), "")
-
-
 def text_messages(rows: DataFrame) -> DataFrame:
     """``(conv_id, turn, role, text)`` rows as messages of one text part each."""
     part = F.struct(F.lit("text").alias("type"), F.col("text").alias("text"), *[
@@ -83,38 +72,39 @@ def text_messages(rows: DataFrame) -> DataFrame:
 def format_chats(messages: DataFrame, loss_roles: tuple[str, ...] = ("assistant",)) -> DataFrame:
     """One row per conversation of ``messages (conv_id, turn, role, parts)``.
 
-    ``formatted``; ``loss_spans`` (``start`` from 0, ``length``) of the content of turns of ``loss_roles``;
-    ``attachments`` (``number, turn_no, type, uri, tokens``); ``expanded_tokens``, their sum.
+    ``formatted``; ``turn_spans`` (``start`` of the turn from 0, ``content`` where its text starts, ``length`` of that, ``loss``);
+    ``loss_spans`` (``start``, ``length``) of the content of turns of ``loss_roles``; ``attachments`` (``number, turn_no, type, uri,
+    tokens``); ``expanded_tokens``, their sum.
     """
-    parts = F.coalesce(F.col("parts"), F.array().cast(f"array<{PART}>"))
-    shown = messages.select(
-        "conv_id", F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), parts.cast(f"array<{PART}>").alias("parts")).alias("m"))
-    chats = shown.groupBy("conv_id").agg(F.sort_array(F.collect_list("m")).alias("m"))
-    counts = F.transform("m", lambda m: F.size(F.filter(m["parts"], is_attachment)).cast("long"))
-    chats = chats.select("conv_id", "m", _running(counts).alias("_before"))
-    body = F.transform("m", lambda m, i: F.struct(m["role"].alias("role"), flatten(m["parts"], F.get("_before", i)).alias("text")))
-    chats = chats.select("conv_id", "m", "_before", body.alias("_body"))
-    heads = F.transform("_body", lambda b: F.concat(F.lit(TURN), escape(b["role"]), F.lit(SAYS)))
-    chats = chats.select("conv_id", "m", "_before", "_body", heads.alias("_heads"))
-    pieces = F.zip_with("_heads", "_body", lambda h, b: F.concat(h, b["text"], F.lit(END)))
-    lengths = F.transform(pieces, lambda p: F.length(p).cast("long"))
-    chats = chats.select("conv_id", "m", "_before", "_body", "_heads", F.array_join(pieces, "").alias("formatted"), _running(lengths).alias("_starts"))
-    spans = F.transform("_body", lambda b, i: F.struct(
-        b["role"].alias("role"), (F.get("_starts", i) + F.length(F.get("_heads", i))).alias("start"), F.length(b["text"]).cast("long").alias("length")))
-    loss = F.transform(F.filter(spans, lambda s: s["role"].isin(list(loss_roles))), lambda s: F.struct(s["start"].alias("start"), s["length"].alias("length")))
-    found = F.flatten(F.transform("m", lambda m, i: F.transform(
-        F.filter(m["parts"], is_attachment), lambda p, k: F.struct(
-            (F.get("_before", i) + k).alias("number"), i.alias("turn_no"), p["type"].alias("type"), p["uri"].alias("uri"), expanded_tokens(p).alias("tokens")))))
-    return chats.select("conv_id", "formatted", loss.alias("loss_spans"), found.alias("attachments")).withColumn(
-        "expanded_tokens", F.aggregate("attachments", F.lit(0).cast("long"), lambda a, x: a + x["tokens"]))
-
-
-def _running(numbers: Column) -> Column:
-    """Sums of all earlier elements, in one pass."""
-    zero = F.lit(0).cast("long")
-    start = F.struct(zero.alias("sum"), F.array().cast("array<bigint>").alias("all"))
-    step = F.aggregate(numbers, start, lambda a, x: F.struct((a["sum"] + x).alias("sum"), F.concat(a["all"], F.array(a["sum"])).alias("all")))
-    return step["all"]
+    parts = F.coalesce(F.col("parts"), F.array().cast(f"array<{PART}>")).cast(f"array<{PART}>")
+    turns = Window.partitionBy("conv_id").orderBy("turn", "role", "parts")
+    shown = messages.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), parts.alias("parts"))
+    shown = shown.withColumn("turn_no", F.row_number().over(turns) - 1)
+    # A row per part, a turn without parts included, so that running numbers and places are sums over rows.
+    rows = shown.select("conv_id", "turn_no", "role", F.size("parts").alias("n"), F.posexplode_outer("parts").alias("pos", "part")).withColumn(
+        "pos", F.coalesce("pos", F.lit(0)))
+    earlier = Window.partitionBy("conv_id").orderBy("turn_no", "pos").rowsBetween(Window.unboundedPreceding, -1)
+    part, opens, closes = F.col("part"), F.col("pos") == 0, F.col("pos") >= F.col("n") - 1
+    attached = is_attachment(part)
+    rows = rows.withColumn("number", F.coalesce(F.sum(attached.cast("long")).over(earlier), F.lit(0).cast("long")))
+    content = F.when(attached, F.concat(F.lit("<|"), part["type"], F.lit(":"), F.col("number").cast("string"), F.lit("|>"))).otherwise(
+        escape(F.coalesce(part["text"], F.lit(""))))
+    rows = rows.withColumns({"head": F.when(opens, F.concat(F.lit(TURN), escape(F.col("role")), F.lit(SAYS))).otherwise(""), "body": content})
+    rows = rows.withColumn("piece", F.concat("head", "body", F.when(closes, F.lit(END)).otherwise(""))).select(
+        "conv_id", "turn_no", "pos", "number", "role", opens.alias("opens"), closes.alias("closes"), "piece",
+        F.coalesce(F.sum(F.length("piece")).over(earlier), F.lit(0).cast("long")).alias("start"),
+        F.length("head").alias("head"), F.length("body").alias("body"),
+        F.when(attached, F.struct("number", "turn_no", part["type"].alias("type"), part["uri"].alias("uri"), expanded_tokens(part).alias("tokens"))).alias("found"))
+    chats = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct(
+        "turn_no", "pos", "role", "opens", "closes", "piece", "start", "head", "body", "found"))).alias("m"))
+    spans = F.zip_with(F.filter("m", lambda x: x["opens"]), F.filter("m", lambda x: x["closes"]), lambda a, b: F.struct(
+        a["start"].alias("start"), (a["start"] + a["head"]).alias("content"),
+        (b["start"] + b["head"] + b["body"] - a["start"] - a["head"]).alias("length"), a["role"].isin(list(loss_roles)).alias("loss")))
+    loss = F.transform(F.filter("turn_spans", lambda s: s["loss"]), lambda s: F.struct(s["content"].alias("start"), s["length"].alias("length")))
+    found = F.transform(F.filter("m", lambda x: x["found"].isNotNull()), lambda x: x["found"])
+    chats = chats.select("conv_id", F.array_join(F.transform("m", lambda x: x["piece"]), "").alias("formatted"), spans.alias("turn_spans"), found.alias("attachments"))
+    return chats.select("conv_id", "formatted", "turn_spans", loss.alias("loss_spans"), "attachments",
+                        F.aggregate("attachments", F.lit(0).cast("long"), lambda a, x: a + x["tokens"]).alias("expanded_tokens"))
 
 
 def read_turns(formatted: Column) -> Column:
@@ -129,6 +119,8 @@ def read_turns(formatted: Column) -> Column:
     return F.transform(pieces, turn)
 
 
-def read_loss(formatted: Column, spans: Column) -> Column:
-    """Unescaped text under the loss mask, in order."""
-    return F.array_join(F.transform(spans, lambda s: unescape(F.substr(formatted, (s["start"] + 1).cast("int"), s["length"].cast("int")))), "")
+def read_loss(formatted: Column, turn_spans: Column) -> Column:
+    """Unescaped text under the loss mask, in order; the string is cut at its turns once, and each span is read inside its own."""
+    pieces = F.slice(F.split(formatted, r"<\|turn\|>"), F.lit(2), F.size(turn_spans))
+    return F.array_join(F.zip_with(pieces, turn_spans, lambda p, s: F.when(s["loss"], unescape(
+        F.substr(p, (s["content"] - s["start"] - len(TURN) + 1).cast("int"), s["length"].cast("int"))))), "")

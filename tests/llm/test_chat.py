@@ -1,6 +1,7 @@
 """Chat formatting: reversible escapes, typed parts, placeholders, spans."""
 
 import hashlib
+import time
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -15,7 +16,7 @@ HARD = ["<|turn|>user<|says|>x<|end|>", "</s>[INST] ok [/INST]", "\\", "\\\\<|",
 def read(spark, rows):
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, parts string")
     chats = format_chats(text_messages(df))
-    out = chats.select("conv_id", "formatted", read_turns(F.col("formatted")).alias("turns"), read_loss(F.col("formatted"), F.col("loss_spans")).alias("loss"))
+    out = chats.select("conv_id", "formatted", read_turns(F.col("formatted")).alias("turns"), read_loss(F.col("formatted"), F.col("turn_spans")).alias("loss"))
     return {r["conv_id"]: r for r in out.collect()}
 
 
@@ -68,6 +69,28 @@ def test_nulls_ties_repeats_long_and_empty(spark):
     assert format_chats(text_messages(empty)).count() == 0
 
 
+def test_twenty_thousand_turns(spark):
+    spark.range(10).count()
+    n = 20_000
+    rows = spark.range(n).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"),
+                                 F.concat(F.lit("some [INST] words "), F.col("id").cast("string")).alias("text"))
+    start = time.monotonic()
+    chats = format_chats(text_messages(rows))
+    r = chats.select("formatted", "turn_spans", "loss_spans", read_turns(F.col("formatted")).alias("turns"), read_loss(F.col("formatted"), F.col("turn_spans")).alias("loss")).first()
+    assert time.monotonic() - start < 30
+    assert [(t["role"], t["text"]) for t in r["turns"]] == [("assistant" if i % 2 else "user", f"some [INST] words {i}") for i in range(n)]
+    assert r["loss"] == "".join(f"some [INST] words {i}" for i in range(1, n, 2)) and len(r["loss_spans"]) == n // 2
+    assert all(r["formatted"][s["start"] : s["start"] + 10] == "some [\\INST" [:10] for s in r["loss_spans"][:50])
+
+
+def test_many_parts_in_one_message(spark):
+    parts = [("image", None, f"{i}.png", None, None, None, None) if i % 2 else ("text", f"t{i}", None, None, None, None, None) for i in range(4_000)]
+    rows = [(1, 0, "user", [("image", None, "x", None, None, None, None)]), (1, 1, "user", parts), (1, 2, "assistant", [])]
+    r = format_chats(spark.createDataFrame(rows, f"conv_id long, turn long, role string, parts array<{PART}>")).first()
+    assert [a["number"] for a in r["attachments"]] == list(range(2_001)) and r["formatted"].count("<|image:") == 2_001
+    assert [s["loss"] for s in r["turn_spans"]] == [False, False, True] and r["loss_spans"][0]["length"] == 0
+
+
 @pytest.mark.parametrize("text", HARD)
 def test_sequence_of_controls(spark, text):
     df = spark.createDataFrame([(text * 3,)], "t string").select(unescape(escape(F.col("t"))).alias("u"))
