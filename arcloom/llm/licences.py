@@ -3,13 +3,14 @@
 A text is normalised to its words, lower-cased for ``A-Z`` and parted by single spaces, where a word is a run of ASCII
 letters, digits and non-ASCII bytes; one automaton finds all phrases at word boundaries in one pass. A hit on the tag phrase
 sends the parser to the expression behind each ``SPDX-License-Identifier:`` of the text: identifiers, ``AND``, ``OR``,
-``WITH`` and parentheses, in that order of strength from loose to tight (``OR``, ``AND``, ``WITH``). Its value is the set
-of identifiers and the sets of them that would satisfy it, of which the smallest gives its weight; a broken
-expression keeps the identifiers before the fault.
+``WITH`` and parentheses, in that order of strength from loose to tight (``OR``, ``AND``, ``WITH``). The parser gives the
+identifiers and the expression in postfix order, from which the number of identifiers that it needs, its weight, and whether a set
+of identifiers satisfies it follow in one pass; a broken expression keeps the part before the fault.
 
 ``score`` is 0 without a find; each distinct label and each expression brings it closer to 1.
 
-Cases: null is the empty text. Phrases may overlap. Repeated rows get equal results; other columns are ignored.
+Cases: null is the empty text. Phrases may overlap. Texts, expressions and numbers of hits of any size take time and memory in
+proportion to the text. Repeated rows get equal results; other columns are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -50,20 +51,18 @@ TOKEN = re.compile(r"\(|\)|[A-Za-z0-9.+:-]+")
 STRENGTH = {"OR": 1, "AND": 2, "WITH": 3}
 
 
-def evaluate(expression: str) -> tuple[list[str], list[frozenset]]:
-    """Identifiers in order, and the alternatives that satisfy the expression, by the shunting-yard algorithm."""
-    output: list[list[frozenset]] = []
+def parse(expression: str) -> tuple[list[str], list[str]]:
+    """Identifiers in order, and the expression in postfix order, by the shunting-yard algorithm; both grow with the expression."""
+    output: list[str] = []
     waiting: list[str] = []
     names: list[str] = []
+    values = 0
 
     def apply(op: str) -> None:
-        right, left = output.pop(), output.pop()
-        if op == "OR":
-            output.append(list(dict.fromkeys(left + right)))
-        elif op == "AND":
-            output.append(list(dict.fromkeys(a | b for a in left for b in right)))
-        else:
-            output.append([frozenset(f"{x} with {y}" for x in a for y in b) for a in left for b in right])
+        nonlocal values
+        if values > 1:
+            output.append(op)
+            values -= 1
 
     expects_name = True
     for token in TOKEN.findall(expression):
@@ -75,7 +74,8 @@ def evaluate(expression: str) -> tuple[list[str], list[frozenset]]:
                 break
             else:
                 names.append(token.lower())
-                output.append([frozenset([token.lower()])])
+                output.append(token.lower())
+                values += 1
                 expects_name = False
         elif token == ")":
             while waiting and waiting[-1] != "(":
@@ -90,10 +90,44 @@ def evaluate(expression: str) -> tuple[list[str], list[frozenset]]:
             expects_name = True
         else:
             break
+    if expects_name and waiting and waiting[-1] != "(":
+        waiting.pop()
     for op in reversed(waiting):
-        if op != "(" and len(output) > 1 and not (expects_name and op is waiting[-1]):
+        if op != "(":
             apply(op)
-    return names, output[-1] if output else []
+    return names, output
+
+
+def _folded(postfix: list[str], name, steps: dict):
+    """The value of a postfix expression, bottom-up; none for an empty one. Identifiers are lower-cased, operators are not."""
+    values = []
+    for token in postfix:
+        if token in STRENGTH:
+            right, left = values.pop(), values.pop()
+            values.append(steps[token](left, right))
+        else:
+            values.append(name(token))
+    return values[-1] if values else None
+
+
+def least_identifiers(postfix: list[str]) -> int | None:
+    """How many identifiers satisfy the expression: the lesser side of ``OR``, both of ``AND``; ``x WITH y`` is one.
+
+    An identifier that both sides of an ``AND`` need counts twice: finding the true least set would take exponential time.
+    """
+    return _folded(postfix, lambda _: 1, {"OR": min, "AND": int.__add__, "WITH": lambda a, b: a})
+
+
+def satisfied(postfix: list[str], allowed) -> bool:
+    """Does the expression hold with these identifiers? ``x with y`` is an identifier of its own."""
+    def both(a, b):
+        return f"{a} with {b}"
+
+    def known(x) -> bool:
+        return x if isinstance(x, bool) else x in allowed
+
+    value = _folded(postfix, str, {"OR": lambda a, b: known(a) or known(b), "AND": lambda a, b: known(a) and known(b), "WITH": both})
+    return value is not None and known(value)
 
 
 def _automaton():
@@ -125,11 +159,13 @@ def normalised(data: np.ndarray, off: np.ndarray) -> tuple[list[str], np.ndarray
 
 def scan_text(words: str, text: pa.Scalar) -> tuple:
     """``(n_base, first, last, base labels, labels, expressions, score)`` of a normalised text and its original."""
-    base, labels, places, expressions = set(), set(), [], []
+    base, labels, expressions = set(), set(), []
+    n_base, first, last = 0, len(words), -1
     tagged = False
     for end, phrase in _MACHINE[0].iter(words):
         if phrase in BASE_PHRASES:
-            places.append(words.count(" ", 0, end - len(phrase)) - 1)
+            start = end - len(phrase)
+            n_base, first, last = n_base + 1, min(first, start), max(last, start)
             base.add(BASE_PHRASES[phrase])
         elif phrase in NOTICES:
             labels.add(NOTICES[phrase])
@@ -138,14 +174,16 @@ def scan_text(words: str, text: pa.Scalar) -> tuple:
     weight = 0.0
     if tagged:
         for found in TAG_PATTERN.findall(text.as_py()):
-            names, ways = evaluate(found)
+            names, postfix = parse(found)
             if names:
                 labels.update(names)
                 expressions.append(found.strip())
-                weight += 1.0 / min(len(w) for w in ways) if ways else 0.5
+                weight += 1.0 / least_identifiers(postfix)
     labels |= base
     score = 1.0 - 0.5 ** (len(labels) + weight)
-    return len(places), min(places, default=None), max(places, default=None), sorted(base), sorted(labels), expressions, score
+    # Words are numbered at the first and the last hit only, so many hits cost no more than one.
+    ends = [words.count(" ", 0, at) - 1 if n_base else None for at in (first, last)]
+    return n_base, *ends, sorted(base), sorted(labels), expressions, score
 
 
 SCAN = "n_words long, n_base long, first_word long, last_word long, base_labels array<string>, labels array<string>, expressions array<string>, score double"
