@@ -21,13 +21,16 @@ sequences leave in parts of a few MB. An empty table gives no rows. Other column
 from __future__ import annotations
 
 import heapq
+import json
 import os
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,15 +44,25 @@ END = 2
 GROUP = 256
 #: Of a model whose hidden size is 2048: attention adds L / (6 * 2048) to the cost of a token.
 LINEAR, QUADRATIC = 1.0, 1 / 12288
-CACHED_WORDS, CACHED_BYTES = 1 << 19, 64
+CACHED_WORDS, CACHED_BYTES = 1 << 20, 64
 BLOCK = 1 << 20
 PART_BYTES = 4 << 20
+#: Characters below it have no combining marks among them; the dotted capital I alone has a lower case of two characters.
+SIMPLE = "\u0180"
+#: How the merges see bytes: printable ones as themselves, others in order from 256 on.
+_SHOWN = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+_VISIBLE = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 _COLUMNS = ["doc_id", "start", "length", "doc_tokens", "ids", "sequence_id", "offset"]
 
 
 class Words:
-    """Packed ids of words; the vocabulary is loaded once per Python worker."""
+    """Packed ids of words; the vocabulary is loaded once per Python worker.
+
+    Printable words of characters below ``SIMPLE`` are lower-cased and cut by the file's own pattern, and each piece goes straight to
+    the merges, if the file says that this is all it does to them (no such character composes with another); other words
+    pass through the whole tokenizer, many at once, parted by a special token.
+    """
 
     loaded: dict[str, Words] = {}
 
@@ -57,7 +70,17 @@ class Words:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer, self.known, self.pieces = Tokenizer.from_file(path), {}, {}
+        self.merges = self.tokenizer.model.tokenize
+        steps = json.loads(self.tokenizer.to_str())
+        special = [t for t in steps["added_tokens"] if t["special"] and not (t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"])]
+        self.mark = special[0] if special else None
+        self.added = re.compile("|".join([re.escape(t["content"]) for t in steps["added_tokens"]]) or "(?!)", re.IGNORECASE)
+        kinds = [n["type"] for n in (steps["normalizer"] or {}).get("normalizers", [])]
+        split, *rest = (steps["pre_tokenizer"] or {}).get("pretokenizers", [{}])
+        plain = kinds == ["NFC", "Replace", "Lowercase"] and split.get("behavior") == "Removed" and split.get("invert") and [
+            (r["type"], r["add_prefix_space"], r["use_regex"]) for r in rest] == [("ByteLevel", False, False)]
+        self.cut = regex.compile(split["pattern"]["Regex"]).findall if plain else None
 
     @classmethod
     def of(cls, path: str) -> Words:
@@ -65,22 +88,51 @@ class Words:
             cls.loaded[path] = cls(path)
         return cls.loaded[path]
 
-    def _encoded(self, words: list[bytes]) -> list[bytes]:
-        done = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in done]
+    def _piece(self, piece: str) -> bytes:
+        seen = piece if piece.isascii() else piece.encode().decode("latin-1").translate(_VISIBLE)
+        ids = array("I", [t.id for t in self.merges(seen)]).tobytes()
+        if len(piece) <= CACHED_BYTES:
+            self.pieces[piece] = ids
+        return ids
+
+    def _whole(self, words: list[str]) -> list[bytes]:
+        """Ids of words by the whole tokenizer; those that hold an added token one by one."""
+        if self.mark is None or any(map(self.added.search, words)):
+            return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        out = []
+        for lo in range(0, len(words), 256):
+            text = self.mark["content"].join(words[lo : lo + 256])
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            out += [part.tobytes() for part in np.split(ids, np.flatnonzero(ids == self.mark["id"]))]
+            # Every part but the first of a block starts with the mark.
+            out[lo + 1 :] = [part[4:] for part in out[lo + 1 :]]
+        return out
+
+    def _fresh(self, words: list[bytes]) -> dict[bytes, bytes]:
+        out, others, pieces, simple = {}, [], self.pieces, self.cut is not None
+        for word in words:
+            text = word.decode()
+            if not simple or not text.isprintable() or not (text.isascii() or max(text) < SIMPLE and "İ" not in text) or "<|" in text:
+                others.append((word, text))
+            else:
+                out[word] = b"".join([pieces.get(p) or self._piece(p) for p in self.cut(text.lower())])
+        out.update(zip([w for w, _ in others], self._whole([t for _, t in others])))
+        return out
 
     def ids(self, texts: list[list[bytes]]) -> list[bytes]:
         """Packed ids of texts that are given as their words."""
-        if len(self.known) >= CACHED_WORDS:
-            self.known.clear()
-        fresh = sorted(set().union(*texts).difference(self.known))
-        brief = [w for w in fresh if len(w) <= CACHED_BYTES]
-        self.known.update(zip(brief, self._encoded(brief)))
-        if len(brief) == len(fresh):
-            return [b"".join(map(self.known.__getitem__, t)) for t in texts]
-        long = [w for w in fresh if len(w) > CACHED_BYTES]
-        once = dict(zip(long, self._encoded(long)))
-        return [b"".join([once[w] if w in once else self.known[w] for w in t]) for t in texts]
+        for cache in (self.known, self.pieces):
+            if len(cache) >= CACHED_WORDS:
+                cache.clear()
+        # Most words of a slice recur in it: the large cache is asked once for each.
+        distinct = list(set().union(*texts))
+        local = dict(zip(distinct, map(self.known.get, distinct)))
+        missing = [w for w, ids in local.items() if ids is None]
+        if missing:
+            fresh = self._fresh(missing)
+            local.update(fresh)
+            self.known.update((w, ids) for w, ids in fresh.items() if len(w) <= CACHED_BYTES)
+        return [b"".join(map(local.__getitem__, t)) for t in texts]
 
     def whole(self, text: bytes) -> bytes:
         out, at = [], 0
