@@ -9,20 +9,20 @@ buckets only merge counts, and any common order gives the same links.
 Prefix rows that share a gram are candidates:
 
 1. Prefixes are dealt by ranges of ``(gram, size, id)``, which splits a gram of any frequency over many tasks, and
-   grams of a single document are left out. In ``STAR_ROUNDS`` rounds each document is paired with a member of the
-   largest component under one of its grams. What is verified gives components that already hold most of every
-   group of near copies.
+   grams of a single document are left out. Each document is paired with the one under its grams whose grams are the
+   most common. What is verified gives components that already hold most of every group of near copies.
 2. Grams whose documents all lie in one component are done. Under the others, pairs of different components are
-   joined if they pass the length filter, the positional filter and the suffix filter: a bound of the symmetric
-   difference from below, first by the parities of ``64 * ODD_WORDS`` bucket counts inside the join, then by the
-   counts of ``SIGNATURE`` buckets. What is left is verified once per pair, and the components are final.
+   joined if they pass the length filter, the positional filter, a bound of the symmetric difference by the parities of
+   ``64 * ODD_WORDS`` bucket counts inside the join, and the suffix filter: the difference of what lies behind the first
+   common gram, bounded from below by counts in ``SIGNATURE`` buckets. What is left, and was no star, is verified, so each pair is
+   verified once, and the components are final.
 
 Pairs inside a component are never emitted, so a group of ``g`` near copies costs ``g`` rows and not ``g * g``; a pair
 of different components that passes the filters is always verified, so no link between components is lost.
 
 Cases: a null or empty text has no gram and no links. A text of fewer than ``n`` words is one gram. Rows that share
 a ``doc_id`` share its links; a null ``doc_id`` is returned with the component of its class. Empty tables give
-empty results; other columns are ignored.
+empty results; other columns are ignored. Texts of any length are taken whole, slice by slice; a set is as large as its text.
 """
 
 from __future__ import annotations
@@ -43,7 +43,6 @@ SIGNATURE = 128
 ODD_WORDS = 8
 ODD = [f"odd{i}" for i in range(ODD_WORDS)]
 SKETCH_BITS = 20
-STAR_ROUNDS = 1
 HELD_ROWS = 10_000
 PREFIX_ROWS_PER_TASK = 1_000_000
 
@@ -174,30 +173,53 @@ def _verify(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFram
     return both.select("a", "b", "grams_a", "grams_b").mapInArrow(compare, "a long, b long").distinct()
 
 
-def _distance(left: pa.Array, right: pa.Array) -> np.ndarray:
-    x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(-1, SIGNATURE).astype(np.int16) for c in (left, right))
-    return np.abs(x - y).sum(1)
+def _signs(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, SIGNATURE).astype(np.int32)
 
 
-def _suffix_filter(percent: int):
-    """Pairs whose signatures leave the threshold possible: the symmetric difference has a known bound."""
+def _prefix_counts(prefixes: pa.Array, upto: np.ndarray) -> np.ndarray:
+    """Bucket counts of the first ``upto`` grams of each prefix."""
+    grams = [np.frombuffer(p.as_buffer(), np.uint64)[:n] for p, n in zip(prefixes, upto.tolist())]
+    buckets = (np.concatenate(grams) >> np.uint64(57)).astype(np.int64)
+    rows = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
+    return np.bincount(rows * SIGNATURE + buckets, minlength=len(grams) * SIGNATURE).reshape(-1, SIGNATURE)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sizes = batch.column("size_a").to_numpy() + batch.column("size_b").to_numpy()
-            most = sizes - 2 * -(-percent * sizes // (100 + percent))
-            ok = _distance(batch.column("sign_a"), batch.column("sign_b")) <= most if len(sizes) else np.zeros(0, bool)
-            yield batch.select(["a", "b"]).filter(pa.array(ok))
 
-    return run
+def suffix_bound(batch: pa.RecordBatch, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """A lower bound of the symmetric difference behind the first common gram, and the most that the threshold allows there.
+
+    The sets behind that gram are counted in ``SIGNATURE`` buckets: those of the whole set less those of the grams up to it.
+    Buckets that are full in either set say nothing. Position -1 stands for the whole sets.
+    """
+    size, upto, counts, full = [], [], [], []
+    for side in "ab":
+        size.append(batch.column(f"size_{side}").to_numpy())
+        upto.append(batch.column(f"pos_{side}").to_numpy() + 1)
+        whole = _signs(batch.column(f"sign_{side}"))
+        counts.append(whole - _prefix_counts(batch.column(f"prefix_{side}"), upto[-1]))
+        full.append(whole == 255)
+    least = -(-percent * (size[0] + size[1]) // (100 + percent))
+    most = size[0] - upto[0] + size[1] - upto[1] - 2 * (least - (upto[0] > 0))
+    apart = np.abs(counts[0] - counts[1])
+    apart[full[0] | full[1]] = 0
+    return apart.sum(1), most
 
 
 def _filtered(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Pairs after the suffix filter."""
-    signed = reps.select("id", "size", "sign")
-    left = signed.select(F.col("id").alias("a"), F.col("size").alias("size_a"), F.col("sign").alias("sign_a"))
-    right = signed.select(F.col("id").alias("b"), F.col("size").alias("size_b"), F.col("sign").alias("sign_b"))
-    return pairs.join(left, "a").join(right, "b").mapInArrow(_suffix_filter(percent), "a long, b long").distinct()
+    """Pairs ``(a, b, pos_a, pos_b)``, one row each, after the suffix filter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2000):
+                part = batch.slice(at, 2000)
+                apart, most = suffix_bound(part, percent)
+                yield part.select(["a", "b"]).filter(pa.array(apart <= most))
+
+    joined = pairs
+    for side in "ab":
+        joined = joined.join(reps.select(*[F.col(c).alias(f"{n}_{side}" if c != "id" else side) for c, n in (
+            ("id", ""), ("size", "size"), ("sign", "sign"), ("prefix", "prefix"))]), side)
+    return joined.mapInArrow(run, "a long, b long")
 
 
 def ngram_components(docs: DataFrame, n: int = 4, percent: int = 85, sketch_bits: int = SKETCH_BITS) -> DataFrame:
@@ -219,22 +241,24 @@ def ngram_components(docs: DataFrame, n: int = 4, percent: int = 85, sketch_bits
     popular = shared.groupBy("gram").agg(F.count("*").alias("n"))
     weights = shared.join(popular, "gram").groupBy("id").agg(F.sum("n").alias("weight"))
     shared = store(shared.join(weights, "id"), "weighted-grams")
-    placed, known = shared.withColumn("component", F.col("id")), None
-    for turn in range(STAR_ROUNDS):
-        stars = store(_filtered(_stars(placed, turn, percent), reps, percent), "star-pairs")
-        near = _verify(stars, docs, n, percent)
-        known = store(near if known is None else known.unionByName(near), "star-links")
-        grouped = components(known)
-        placed = store(shared.join(grouped, "id", "left").withColumn("component", F.coalesce("component", "id")), "placed")
+    placed = shared.withColumn("component", F.col("id"))
+    stars = store(_filtered(_stars(placed, percent), reps, percent), "star-pairs")
+    grouped = components(store(_verify(stars, docs, n, percent), "star-links"))
+    placed = store(shared.join(grouped, "id", "left").withColumn("component", F.coalesce("component", "id")), "placed")
     mixed = placed.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("gram")
     open_rows = store(placed.join(mixed, "gram").join(reps.select("id", *ODD), "id"), "open-grams")
     pairs = _open_pairs(open_rows, percent)
+    # What was verified as a star, with or without success, is not verified again.
+    tested = stars.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"))
+    pairs = pairs.join(tested, (F.least("a", "b") == F.col("lo")) & (F.greatest("a", "b") == F.col("hi")), "left_anti")
     pairs = store(_filtered(pairs, reps, percent), "open-pairs")
     further = _verify(pairs, docs, n, percent)
     bridges = _between(further, grouped)
     tops = components(bridges)
-    named = grouped.join(tops, grouped["component"] == tops["id"], "full").select(
-        F.coalesce(grouped["id"], tops["id"]).alias("class_id"), F.coalesce(tops["component"], grouped["component"]).alias("component"))
+    # A left join, which can be split where one component holds very many documents; then the documents that only bridges link.
+    moved = tops.select(F.col("id").alias("component"), F.col("component").alias("top"))
+    named = grouped.join(moved, "component", "left").select(F.col("id").alias("class_id"), F.coalesce("top", "component").alias("component")).unionByName(
+        tops.join(grouped.select("id"), "id", "left_anti").select(F.col("id").alias("class_id"), "component"))
     return base.join(classes, "digest", "left").join(named, "class_id", "left").select(
         "doc_id", F.col("size").alias("n_shingles"), F.coalesce("component", "class_id", "doc_id").alias("component_id"),
         F.coalesce("class_id", "doc_id").alias("class_id"))
@@ -251,25 +275,18 @@ def _open_pairs(rows: DataFrame, percent: int) -> DataFrame:
         (F.col("component_a") != F.col("component_b")) & (100 * F.col("size_a") >= percent * F.col("size_b"))
         & ((F.col("size_a") < F.col("size_b")) | ((F.col("size_a") == F.col("size_b")) & (F.col("id_a") < F.col("id_b"))))
         & (overlap >= least) & (differing <= sizes - 2 * least)
-    ).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
-
-
-def _stars(placed: DataFrame, turn: int, percent: int) -> DataFrame:
-    """Documents with a member of the largest component under one of their grams, if it is not their own.
-
-    Before there are components, the member is the document whose grams are the most common: in a group of near
-    copies that is the one with the fewest changes. Later it is another member every turn. One pair a document.
-    """
-    members = placed.groupBy("gram", "component").agg(
-        F.count("*").alias("n"), F.max("weight").alias("weight"), F.max(F.struct(F.xxhash64("id", F.lit(turn)), "id", "size")).alias("one"))
-    tops = members.groupBy("gram").agg(F.max(F.struct("n", "weight", "component", F.col("one.id").alias("hub"), F.col("one.size").alias("hub_size"))).alias("top"))
-    rows = placed.join(tops.select("gram", "top.component", "top.hub", "top.hub_size").withColumnRenamed("component", "_top"), "gram")
-    close = (100 * F.least("size", "hub_size") >= percent * F.greatest("size", "hub_size")) & (F.col("component") != F.col("_top"))
-    return (
-        rows.filter(close).groupBy("id", "hub").agg(F.count("*").alias("common"))
-        .groupBy("id").agg(F.max(F.struct("common", "hub")).alias("best"))
-        .select(F.col("best.hub").alias("a"), F.col("id").alias("b"))
-    )
+    ).groupBy(F.col("id_a").alias("a"), F.col("id_b").alias("b")).agg(F.min("pos_a").alias("pos_a"), F.min("pos_b").alias("pos_b"))
+
+
+def _stars(placed: DataFrame, percent: int) -> DataFrame:
+    """Documents with one under one of their grams whose grams are the most common: in a group of near copies that is
+    the one with the fewest changes. One pair a document, each pair once, of the whole sets."""
+    members = placed.groupBy("gram").agg(F.max(F.struct("weight", F.col("id").alias("hub"), F.col("size").alias("hub_size"))).alias("top"))
+    rows = placed.join(members.select("gram", "top.hub", "top.hub_size"), "gram")
+    close = (100 * F.least("size", "hub_size") >= percent * F.greatest("size", "hub_size")) & (F.col("id") != F.col("hub"))
+    best = rows.filter(close).groupBy("id", "hub").agg(F.count("*").alias("common")).groupBy("id").agg(F.max(F.struct("common", "hub")).alias("best"))
+    return best.select(F.least("best.hub", "id").alias("a"), F.greatest("best.hub", "id").alias("b")).distinct().withColumns(
+        {"pos_a": F.lit(-1), "pos_b": F.lit(-1)})
 
 
 def _between(pairs: DataFrame, grouped: DataFrame) -> DataFrame:
