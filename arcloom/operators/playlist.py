@@ -10,6 +10,7 @@ the command-line one; they differ in tier sizes, flattening and length.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -209,8 +210,11 @@ def salted_pools(pools: DataFrame) -> DataFrame:
 
 
 def _with_pool_draws(state: DataFrame, pools: DataFrame, sizes: DataFrame, needs_pool: Column, needs_shared: Column,
-                     p: Profile, seed, cols: Columns | None = None) -> DataFrame:
-    """State rows plus ``pool`` and ``shared``: candidates drawn for the rows that need them."""
+                     p: Profile, seed, cols: Columns | None = None, scorer=None) -> DataFrame:
+    """State rows plus ``pool`` and ``shared``: candidates drawn for the rows that need them.
+
+    ``scorer`` takes the two vector columns, which then hold song states; without one the direct score is the cosine.
+    """
     one = sizes.filter("other = -1").select("mood", F.col("pool_n").alias("n_one"))
     two = sizes.filter("other <> -1").select("mood", F.col("other").alias("next_mood"), F.col("pool_n").alias("n_two"))
     sized = state.join(one, "mood", "left").join(two, ["mood", "next_mood"], "left")
@@ -233,7 +237,7 @@ def _with_pool_draws(state: DataFrame, pools: DataFrame, sizes: DataFrame, needs
     def lists():
         entry = F.struct(
             hash_hex(f"{seed}-cut", "request_id", "_id").alias("h"), F.col("_id").alias("id"),
-            F.lit(None).cast("double").alias("graph"), cosine_score(F.col("current_vec"), F.col("_vec")).alias("direct"),
+            F.lit(None).cast("double").alias("graph"), (F.col("_direct") if scorer else cosine_score(F.col("current_vec"), F.col("_vec"))).alias("direct"),
             F.col("_language").alias("language"), F.col("_scores").alias("scores"))
         return [F.array_sort(F.collect_list(F.when(F.col("_fits") & (F.col("_kind") == kind), entry))).alias(name)
                 for kind, name in (("pool", "_p"), ("shared", "_q"))]
@@ -259,6 +263,8 @@ def _with_pool_draws(state: DataFrame, pools: DataFrame, sizes: DataFrame, needs
         F.coalesce("language", F.lit("en")).alias("_language"), F.col("scores").alias("_scores"),
         as_doubles("embedding").alias("_vec"))
     met = spread.join(drawn, POOL_KEYS, "left").withColumn("_fits", F.col("_id").isNotNull() & ~F.array_contains("played", F.col("_id")))
+    if scorer:
+        met = met.withColumn("_direct", scorer(F.col("current_vec"), F.col("_vec")))
     return met.groupBy("request_id").agg(
         F.first("_whole", ignorenulls=True).alias("_s"), *cols("lists", lists)
     ).select("request_id", "_s.*", F.slice("_p", 1, p.pool_draw).alias("pool"), F.slice("_q", 1, 2 * GRAPH_K).alias("shared"))
@@ -307,7 +313,7 @@ def _with_next(state: DataFrame) -> DataFrame:
 
 
 def _with_candidates(state: DataFrame, neighbours: DataFrame, pools: DataFrame, sizes: DataFrame, bridge: Column,
-                     p: Profile, seed, cols: Columns | None = None) -> DataFrame:
+                     p: Profile, seed, cols: Columns | None = None, scorer=None) -> DataFrame:
     """State rows plus ``cands``, and ``bridged`` where they come from the bridge rule."""
     cols = cols or Columns()
     near, mood, wanted = F.col("near"), F.col("mood"), F.col("wanted")
@@ -321,7 +327,7 @@ def _with_candidates(state: DataFrame, neighbours: DataFrame, pools: DataFrame,
     local = local.withColumn("_local", merged).drop("near", "_graph", "_near").withColumn(
         "_bridge", F.when(~no_bridge, F.col("_bridge")))
     shared = bridge & F.col("_bridge").isNull() & F.lit(bool(p.bridge_fetch))
-    drawn = _with_pool_draws(local, pools, sizes, (F.size("_local") < ENOUGH) & F.col("_bridge").isNull(), shared, p, seed, cols)
+    drawn = _with_pool_draws(local, pools, sizes, (F.size("_local") < ENOUGH) & F.col("_bridge").isNull(), shared, p, seed, cols, scorer)
     late = cols("late", lambda: _shared_tier(F.col("shared"), mood, F.col("next_mood")))
     tiers = cols("tiers", lambda: F.when(F.size("_local") >= ENOUGH, F.col("_local")).otherwise(
         _merge(F.col("_local"), _pool_tier(F.col("pool"), mood, wanted, p))))
@@ -358,10 +364,19 @@ def merge_candidates(first: DataFrame, second: DataFrame) -> DataFrame:
 
 # --- scoring and drawing -------------------------------------------------------------------------
 
-def score_candidates(cands: DataFrame, profile: str = "batch") -> DataFrame:
-    """``transition``: the stored graph score where the profile prefers it, else the direct score."""
-    score = F.coalesce("graph_score", "direct") if PROFILES[profile].stored_score else F.col("direct")
-    return cands.withColumn("transition", score)
+def score_candidates(cands: DataFrame, profile: str = "batch", scorer: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """``transition``: the stored graph score where the profile prefers it, else the direct score.
+
+    With a ``scorer`` of pairs ``(a, b)`` the direct score of ``cands (current, id, ...)`` is computed, for those candidates
+    only whose stored score does not count.
+    """
+    stored = F.col("graph_score") if PROFILES[profile].stored_score else F.lit(None).cast("double")
+    if scorer is None:
+        return cands.withColumn("transition", F.coalesce(stored, F.col("direct")))
+    known = cands.filter(stored.isNotNull()).withColumn("transition", stored)
+    scored = scorer(cands.filter(stored.isNull()).withColumnsRenamed({"current": "a", "id": "b"})).withColumnsRenamed(
+        {"a": "current", "b": "id", "score": "transition"})
+    return known.unionByName(scored.select(*known.columns))
 
 
 def blend(transition: Column, mood: Column, alpha: Column) -> Column:
@@ -468,7 +483,8 @@ def seed_random(requests: DataFrame, pools: DataFrame, sizes: DataFrame, songs:
         "request_id", F.coalesce("id", lowest).alias("id"))
 
 
-def _start(requests: DataFrame, seeds: DataFrame, p: Profile) -> DataFrame:
+def walk_start(requests: DataFrame, seeds: DataFrame, p: Profile) -> DataFrame:
+    """State of every request at its seed song ``(request_id, id)``, before the first step."""
     n = F.size("arc")
     total = F.col("playlist_len") - 1 + p.extra_song
     base = F.floor(total / n).cast("int")
@@ -490,7 +506,7 @@ def _next_zone() -> Column:
 
 
 def walk_step(state: DataFrame, neighbours: DataFrame, pools: DataFrame, sizes: DataFrame, p: Profile,
-              seed, cols: Columns | None = None) -> DataFrame:
+              seed, cols: Columns | None = None, scorer=None) -> DataFrame:
     """Advance every request by one song, or to the next zone where nothing fits; ``pools`` are salted.
 
     The zone and the number of songs played key the random draws, so the plan's text and its generated
@@ -503,7 +519,7 @@ def walk_step(state: DataFrame, neighbours: DataFrame, pools: DataFrame, sizes:
         "mood": F.element_at("arc", F.col("zone") + 1),
         "next_mood": F.try_element_at(F.col("arc"), (F.col("zone") + 2).cast("int"))})
     bridge = F.col("next_mood").isNotNull() & (F.col("filled") == F.element_at("lens", F.col("zone") + 1) - 1)
-    rows = _with_candidates(placed, neighbours, pools, sizes, bridge, p, seed, cols)
+    rows = _with_candidates(placed, neighbours, pools, sizes, bridge, p, seed, cols, scorer)
     alpha = F.lit(ALPHA_START) + F.lit(ALPHA_SPAN) * F.col("zone") / F.greatest(F.size("arc") - 1, F.lit(1))
     drawn = _with_draw(rows, p, alpha, f"{seed}-draw", "request_id", "zone", F.size("played"), cols=cols)
     got = F.col("drawn").isNotNull()
@@ -518,15 +534,19 @@ def walk_step(state: DataFrame, neighbours: DataFrame, pools: DataFrame, sizes:
 
 
 def generate_playlists(requests: DataFrame, seeds: DataFrame, neighbours: DataFrame, pools: DataFrame,
-                       sizes: DataFrame, profile: str = "batch", seed="walk") -> DataFrame:
+                       sizes: DataFrame, profile: str = "batch", seed="walk", scorer=None) -> DataFrame:
     """``(request_id, pos, id, mood, score, source, bridge)``; position 0 is the seed.
 
+    Direct scores are cosines. For those of the classifier, ``neighbours`` come from lists that it has scored, their vectors and those of
+    ``pools`` are song states, and ``scorer`` is a ``scoring.state_scorer`` for the songs that are drawn on the way; the
+    ``service`` profile then never uses a stored score.
+
     ``requests`` holds ``request_id, arc (positions), temperature, playlist_len, wanted``. State, neighbours and pools are
     stored tables, so Spark knows their sizes and picks each step's joins: few open requests are sent to the
     neighbour table, many are shuffled, and many at one song are split.
     """
     p = PROFILES[profile]
-    state = store(_start(requests, seeds, p), "walk-start")
+    state = store(walk_start(requests, seeds, p), "walk-start")
     near = store(neighbours.repartitionByRange("current").sortWithinPartitions("current"), "neighbours")
     pools = store(salted_pools(pools), "pools")
     sizes = store(sizes, "pool-sizes")
@@ -538,7 +558,7 @@ def generate_playlists(requests: DataFrame, seeds: DataFrame, neighbours: DataFr
             done.append(state.filter(~going))
         if not n_open:
             break
-        state = store(walk_step(state.filter(going), near, pools, sizes, p, seed, cols), "walk-step")
+        state = store(walk_step(state.filter(going), near, pools, sizes, p, seed, cols, scorer), "walk-step")
     finished = done[0]
     for part in done[1:]:
         finished = finished.unionByName(part)

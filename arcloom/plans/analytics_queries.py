@@ -15,10 +15,12 @@ from arcloom.operators import neighbours as N
 from arcloom.operators import vector_index as V
 from arcloom.operators import pairs as R
 from arcloom.operators import playlist as P
+from arcloom.operators import scoring as S
 from arcloom.operators import transition as T
 from arcloom.plans import fixtures as fx
-from arcloom.operators.moods import pool_sizes
+from arcloom.operators.moods import mood_pools, pool_sizes
 from arcloom.plans.registry import query, u01
+from arcloom.sources.artefacts import load_transition_model, save_model
 from arcloom.sources.workspace import store
 
 PAIRS = 600
@@ -451,8 +453,23 @@ def pair_stats(spark, sf):
     return R.pair_stats(X.pair_features(_pairs(spark, sf), fx.profiles(spark, sf)))
 
 
+_FITTED: dict = {}
+
+
 def _trained(spark, sf):
-    """A classifier for ``TRAIN_PAIRS`` drawn pairs of each kind: the bound of its labelled rows."""
+    """A classifier for ``TRAIN_PAIRS`` drawn pairs of each kind: the bound of its labelled rows.
+
+    It is fitted once per application and table, saved, and loaded again by whoever needs it.
+    """
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _FITTED:
+        split, model, history = _fit(spark, sf)
+        _FITTED[key] = split, save_model(model, spark, "transition-model"), store(history, "history")
+    split, path, history = _FITTED[key]
+    return split, load_transition_model(path), history
+
+
+def _fit(spark, sf):
     songs = fx.vectors(spark, sf)
     drawn = R.balance_shuffle(R.positive_pairs(songs, None, TRAIN_PAIRS), R.negative_pairs(songs, TRAIN_PAIRS, label="label"))
     rows = store(X.pair_features(drawn, fx.profiles(spark, sf)), "pair-features")
@@ -624,6 +641,35 @@ def score_candidates(spark, sf):
         "request_id", "id", tidy(F.col("kept"), 8).alias("transition"), tidy(F.col("transition"), 8).alias("recomputed"))
 
 
+DIMS, MOODS = 64, 10
+#: Fixed weights of a logistic score over all pair features, so that SQL can say it too.
+LINEAR = [((37 * i) % 11 - 5) / 10 for i in range(2 * DIMS + 3 + 2 * MOODS)]
+LINEAR_BIAS = 0.25
+LINEAR_SQL = """ , mv AS (SELECT id, list(score ORDER BY label_id) AS v FROM moods GROUP BY id),
+ lw AS (SELECT [((37 * i) % 11 - 5) / 10.0 FOR i IN range(0, 151)]::DOUBLE[] AS w)"""
+
+
+def _linear_score(a, b):
+    return f"""1 / (1 + exp(-({LINEAR_BIAS}::DOUBLE + list_dot_product((SELECT w FROM lw), list_concat({a}.emb, {b}.emb,
+  [{b}.tempo - {a}.tempo, {b}.energy - {a}.energy, {b}.valence - {a}.valence], m{a}.v, m{b}.v)))))"""
+
+
+def _network():
+    return S.linear_network(DIMS, LINEAR, LINEAR_BIAS)
+
+
+@query("score_candidates_model", CANDS + LINEAR_SQL + f"""
+ , p AS (SELECT c.*, {_linear_score("a", "b")} AS model FROM c JOIN songs a ON a.id = c.request_id JOIN songs b ON b.id = c.id JOIN mv ma ON ma.id = a.id JOIN mv mb ON mb.id = b.id)
+ SELECT request_id, id, round(coalesce(graph_score, model), 8) + 0.0 AS transition, round(model, 8) + 0.0 AS recomputed FROM p""", ("nn", "moods"))
+def score_candidates_model(spark, sf):
+    songs = store(fx.profiles(spark, sf), "profiles")
+    scorer = S.pair_scorer(songs, _network())
+    cands = store(_scored(spark, sf).withColumn("current", F.col("request_id")), "candidates")
+    kept = P.score_candidates(cands, "batch", scorer).withColumnRenamed("transition", "kept")
+    return P.score_candidates(kept, "service", scorer).select(
+        "request_id", "id", tidy(F.col("kept"), 8).alias("transition"), tidy(F.col("transition"), 8).alias("recomputed"))
+
+
 @query("exclude_played", " SELECT src AS request_id, dst AS id FROM nn WHERE rank BETWEEN 4 AND 20", ("nn",))
 def exclude_played(spark, sf):
     near = N.knn_l2(fx.vectors(spark, sf), 20).select(F.col("src").alias("request_id"), F.col("dst").alias("id"), "rank")
@@ -706,6 +752,73 @@ def seed_random(spark, sf):
     return P.seed_random(fx.placed_requests(spark, sf), pools, sizes, fx.vectors(spark, sf))
 
 
+STEP_SQL = TIERS.format(seed="walk-pool").replace("FROM near", "FROM steps_near") + """
+ , cg AS (SELECT s.request_id, count(g.id) AS c FROM states s LEFT JOIN g USING (request_id) GROUP BY 1),
+ local AS (SELECT request_id, id, 'graph' AS source, mood_score, graph_score FROM g UNION ALL
+  SELECT n.request_id, n.id, 'near', n.mood_score, NULL FROM n JOIN cg ON cg.request_id = n.request_id AND cg.c < 3
+  WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.request_id = n.request_id AND g.id = n.id)),
+ cl AS (SELECT s.request_id, count(l.id) AS c FROM states s LEFT JOIN local l USING (request_id) GROUP BY 1),
+ cands AS (SELECT * FROM local UNION ALL SELECT p.request_id, p.id, 'pool', p.mood_score, NULL FROM pool p JOIN cl ON cl.request_id = p.request_id AND cl.c < 3
+  WHERE NOT EXISTS (SELECT 1 FROM local l WHERE l.request_id = p.request_id AND l.id = p.id)),
+ scored AS (SELECT c.request_id, c.id, c.source, 0.6::DOUBLE * {transition} + 0.4::DOUBLE * c.mood_score AS score FROM cands c
+  JOIN songs a ON a.id = c.request_id JOIN songs b ON b.id = c.id JOIN mv ma ON ma.id = a.id JOIN mv mb ON mb.id = b.id),
+ listed AS (SELECT request_id, list_sort(list(score)) AS all_, median(score) AS med, count(*) AS n FROM scored GROUP BY 1),
+ flat AS (SELECT s.*, {flat} AS heat_score FROM scored s JOIN listed l USING (request_id)),
+ keyed AS (SELECT *, round(heat_score / {heat} - ln(-ln(greatest({u}, 1e-12))), 9) AS key FROM flat)
+ SELECT request_id, id, source, round(score, 8) + 0.0 AS score, '{profile}' AS profile FROM keyed
+ QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY key DESC, id DESC) = 1"""
+
+
+def _step_sql(profile: str) -> str:
+    model = _linear_score("a", "b")
+    text = STEP_SQL
+    if profile == "service":
+        # The order of distance instead of mood, fewer songs looked at, and the graph cut before the mood filter.
+        text = text.replace("ORDER BY mood_score DESC, id) AS nth FROM loose WHERE graph_score IS NOT NULL QUALIFY nth <= 30", "ORDER BY rank) AS nth FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY rank) AS e FROM steps_near WHERE graph_score IS NOT NULL QUALIFY e <= 30) WHERE mood_score > 0.15 AND (wanted IS NULL OR wanted = language)")
+        text = text.replace("ORDER BY mood_score DESC, id) AS nth FROM loose QUALIFY nth <= 60", "ORDER BY rank) AS nth FROM loose WHERE rank < 70 QUALIFY nth <= 60")
+        text = text.replace("ORDER BY m.score DESC, d.id) AS nth", "ORDER BY d.cut) AS nth").replace("d.cut <= 180", "d.cut <= 60")
+    values = {
+        "transition": f"coalesce(c.graph_score, {model})" if profile == "batch" else model, "profile": profile,
+        "flat": "CASE WHEN l.med > 0 THEN least(s.score, 1.5::DOUBLE * l.med) ELSE s.score END" if profile == "batch"
+        else "CASE WHEN l.n > 1 AND l.all_[l.n] > 2 * l.all_[l.n - 1] THEN sqrt(greatest(s.score, 0)) ELSE s.score END",
+        "heat": "(0.3::DOUBLE + 1e-8::DOUBLE)" if profile == "batch" else "0.3::DOUBLE",
+        "u": u01("'walk-draw|' || request_id || '|0|1|' || id")}
+    for name, value in values.items():
+        text = text.replace("{" + name + "}", value)
+    return text
+
+
+STEPS_NEAR = LINEAR_SQL + f""" , steps_near AS (SELECT n.* EXCLUDE (graph_score), CASE WHEN n.rank <= 50 AND x.model >= 0.3::DOUBLE THEN round(x.model, 4) END AS graph_score FROM near n JOIN (
+  SELECT n.request_id, n.id, {_linear_score("a", "b")} AS model FROM near n JOIN songs a ON a.id = n.request_id JOIN songs b ON b.id = n.id
+  JOIN mv ma ON ma.id = a.id JOIN mv mb ON mb.id = b.id) x ON x.request_id = n.request_id AND x.id = n.id)"""
+
+
+def _walk_tables(spark, sf, network):
+    """Neighbours scored by a network, pools of song states, and the scorer of songs that are drawn."""
+    songs = store(fx.profiles(spark, sf), "profiles")
+    states = songs.withColumn("embedding", S.state_of())
+    lists = G.scored_neighbours(songs.select("id", "embedding"), P.NEAREST_KEPT, S.pair_scorer(songs, network))
+    pools = store(mood_pools(states.select("id", "embedding", "language", "scores", "mood_ids")), "pools")
+    return P.neighbour_table(lists, states), pools, store(pool_sizes(pools), "pool-sizes"), S.state_scorer(spark, network)
+
+
+@query("walk_step", STEPS_NEAR + f" SELECT * FROM ({_step_sql('batch').replace(' , loose', 'WITH loose', 1)}) UNION ALL SELECT * FROM ({_step_sql('service').replace(' , loose', 'WITH loose', 1)})",
+       ("near", "pools"))
+def walk_step(spark, sf):
+    """Every song's first step towards the next two moods on the wheel, scored by a fixed network, in both profiles."""
+    near, pools, sizes, scorer = _walk_tables(spark, sf, _network())
+    near, pools = store(near, "neighbours"), store(P.salted_pools(pools), "salted-pools")
+    asked = fx.states(spark, sf).select("request_id", "current", F.array("mood", "next_mood").alias("arc"), F.lit(0.3).alias("temperature"),
+                                        F.lit(8).alias("playlist_len"), "wanted")
+    parts = []
+    for profile in P.PROFILES.values():
+        start = P.walk_start(asked.drop("current"), asked.select("request_id", F.col("current").alias("id")), profile)
+        step = P.walk_step(start, near, pools, sizes, profile, "walk", scorer=scorer).filter(F.size("picks") > 0)
+        pick = F.element_at("picks", 1)
+        parts.append(step.select("request_id", pick["id"].alias("id"), pick["source"].alias("source"), tidy(pick["score"], 8).alias("score"), F.lit(profile.name).alias("profile")))
+    return parts[0].unionByName(parts[1])
+
+
 def _walk(spark, sf, profile="batch"):
     pools, _ = fx.pools(spark, sf)
     asked = fx.placed_requests(spark, sf)
