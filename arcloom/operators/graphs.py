@@ -15,6 +15,8 @@ START_THRESHOLD = 0.7
 LOWER_THRESHOLDS = [0.6, 0.5, 0.4, 0.3, 0.2]
 TOP_K, PRUNE_BELOW = 50, 0.3
 MOOD_WEIGHT, MAX_STEPS = 0.4, 30
+# Costs that are expanded together in a search for paths: about that of an edge.
+BUCKET = 0.75
 
 
 def mood_graph(similarity: DataFrame, labels: DataFrame, threshold: float = START_THRESHOLD) -> DataFrame:
@@ -133,81 +135,98 @@ def song_graph_stats(nodes: DataFrame, scored: DataFrame, prune: float = PRUNE_B
 
 def mood_path_costs(edges: DataFrame, profiles: DataFrame, starts: DataFrame, hops: int) -> DataFrame:
     """Least cost to every node within ``hops`` edges: ``(request_id, node, cost)``."""
-    links = _priced_links(edges, profiles)
-    state = starts.select("request_id", F.col("start").alias("node"), "target", F.lit(0.0).alias("cost"))
+    links, moods = _links(edges), profiles.select(F.col("id").alias("node"), "scores")
+    goals = starts.select("request_id", "target")
+    state = starts.select("request_id", F.col("start").alias("node"), F.lit(0.0).alias("cost"))
     for _ in range(hops):
-        ahead = state.join(links, "node").select("request_id", F.col("dst").alias("node"), "target",
-                                                 (F.col("cost") + _price()).alias("cost"))
-        state = state.unionByName(ahead).groupBy("request_id", "node").agg(
-            F.first("target").alias("target"), F.min("cost").alias("cost"))
-    return state.select("request_id", "node", "cost")
+        reached = state.join(links, "node").groupBy("request_id", F.col("dst").alias("node")).agg(F.min(F.col("cost") + F.col("step")).alias("base"))
+        state = store(state.unionByName(_priced(reached, moods, goals).select("request_id", "node", "cost")).groupBy("request_id", "node").agg(
+            F.min("cost").alias("cost")), "path-costs")
+    return state
+
 
+def _links(edges: DataFrame) -> DataFrame:
+    return edges.select(F.col("src").alias("node"), "dst", (F.lit(1.0) - F.least("score", F.lit(1.0))).alias("step"))
 
-def _priced_links(edges: DataFrame, profiles: DataFrame) -> DataFrame:
-    goal = profiles.select(F.col("id").alias("dst"), F.col("scores").alias("dst_scores"))
-    return edges.join(goal, "dst").select(
-        F.col("src").alias("node"), "dst", (F.lit(1.0) - F.least("score", F.lit(1.0))).alias("step"), "dst_scores")
 
+def _priced(reached: DataFrame, moods: DataFrame, goals: DataFrame) -> DataFrame:
+    """``cost``: the ``base`` cost of an arrival and the distance of its moods to the target; songs without moods are left out.
 
-def _price():
-    return F.col("step") + F.lit(MOOD_WEIGHT) * l2_distance(F.col("dst_scores"), F.col("target"))
+    The distance depends on where one arrives only, so it is added once per arrival and not once per edge.
+    """
+    return reached.join(moods, "node").join(goals, "request_id").withColumn(
+        "cost", F.col("base") + F.lit(MOOD_WEIGHT) * l2_distance(F.col("scores"), F.col("target"))).drop("base", "scores", "target")
 
 
 def mood_path(edges: DataFrame, profiles: DataFrame, starts: DataFrame, max_steps: int = MAX_STEPS,
-              fallback: str = "closest") -> DataFrame:
+              fallback: str = "closest", bucket: float = BUCKET) -> DataFrame:
     """Cheapest path from each start toward its target mood: ``(request_id, cost, path)``.
 
-    Edge cost is (1 - score) + 0.4 * distance of the next song's moods to the target. All requests relax
-    together, only improved nodes expand, equal costs go to the smaller path. The answer is the cheapest
-    path of ``max_steps`` songs. Where none exists, ``closest`` takes the settled path that ends nearest
-    the target and ``reference`` the last entry a priority queue would hand out.
+    Edge cost is (1 - score) + 0.4 * distance of the next song's moods to the target. A label is a request's least cost to a song,
+    with the number of songs and the song before: no path is kept in it. Per round each request expands its open labels within
+    ``bucket`` of its cheapest open one, and none that cost as much as its cheapest path of ``max_steps`` songs, so a request
+    labels only what is nearer than its answer; where a full path exists it stops there. Equal costs go to fewer
+    songs, then to the smaller song before. The answer is the cheapest path of ``max_steps`` songs. Where none exists, ``closest``
+    takes the path that ends nearest the target and ``reference`` the last entry a priority queue would hand out. Paths are read
+    back from the songs before.
     """
-    links = store(_priced_links(edges, profiles), "priced")
-    label = F.struct("cost", "path").alias("best")
-    state = cut_lineage(starts.select(
-        "request_id", F.col("start").alias("node"), "target",
-        F.struct(F.lit(0.0).alias("cost"), F.array("start").alias("path")).alias("best"), F.lit(True).alias("moved")))
+    links = store(_links(edges), "links")
+    moods = store(profiles.select(F.col("id").alias("node"), "scores"), "path-moods")
+    goals = store(starts.select("request_id", "target"), "goals")
+    id_type = starts.schema["start"].dataType.simpleString()
+    state = store(starts.select("request_id", F.col("start").alias("node"), F.lit(0.0).alias("cost"), F.lit(1).alias("songs"),
+                                F.lit(None).cast(id_type).alias("before"), F.lit(True).alias("open")), "labels")
     while True:
-        moved = state.filter(F.col("moved") & (F.size("best.path") < max_steps))
-        if moved.isEmpty():
+        can = F.col("open") & (F.col("songs") < max_steps)
+        bounds = state.groupBy("request_id").agg(
+            F.min(F.when(can, F.col("cost"))).alias("first"), F.min(F.when(F.col("songs") >= max_steps, F.col("cost"))).alias("full"))
+        going = bounds.filter(F.col("first").isNotNull() & (F.col("full").isNull() | (F.col("first") < F.col("full"))))
+        going = store(going.select("request_id", F.least(F.col("first") + bucket, F.coalesce("full", F.lit(float("inf")))).alias("upto"), "first"), "open-requests")
+        if going.isEmpty():
             break
-        offers = (
-            moved.join(links, "node").filter(~F.array_contains("best.path", F.col("dst")))
-            .select("request_id", F.col("dst").alias("node"), "target", (F.col("best.cost") + _price()).alias("cost"),
-                    F.concat("best.path", F.array("dst")).alias("path"))
-            .select("request_id", "node", "target", label)
-        )
-        merged = state.select("request_id", "node", "target", "best", F.lit(False).alias("moved")).unionByName(
-            offers.withColumn("moved", F.lit(True)))
-        # False sorts before True, so an equal offer does not count as a move.
-        state = cut_lineage(merged.groupBy("request_id", "node").agg(
-            F.first("target").alias("target"), F.min(F.struct("best", "moved")).alias("m"),
-        ).select("request_id", "node", "target", F.col("m.best").alias("best"), F.col("m.moved").alias("moved")))
-    full = state.filter(F.size("best.path") == max_steps).groupBy("request_id").agg(F.min("best").alias("full"))
+        chosen = state.join(going, "request_id", "left").withColumn("now", F.coalesce(can & ((F.col("cost") < F.col("upto")) | (F.col("cost") == F.col("first"))), F.lit(False)))
+        arrival = F.min(F.struct((F.col("cost") + F.col("step")).alias("base"), (F.col("songs") + 1).alias("songs"), F.col("node").alias("before")))
+        reached = chosen.filter("now").join(links, "node").groupBy("request_id", F.col("dst").alias("node")).agg(arrival.alias("a")).select(
+            "request_id", "node", "a.base", "a.songs", "a.before")
+        kept = chosen.withColumn("open", F.col("open") & ~F.col("now")).drop("now", "upto", "first")
+        both = kept.withColumn("later", F.lit(False)).unionByName(_priced(reached, moods, goals).withColumns({"open": F.lit(True), "later": F.lit(True)}))
+        # An arrival at the same cost comes later and changes nothing.
+        state = store(both.groupBy("request_id", "node").agg(F.min(F.struct("cost", "later", "songs", "before", "open")).alias("m")).select(
+            "request_id", "node", "m.cost", "m.songs", "m.before", "m.open"), "labels")
+    full = state.filter(F.col("songs") >= max_steps).groupBy("request_id").agg(F.min(F.struct("cost", "songs", "node")).alias("full"))
     if fallback == "reference":
-        last = _last_popped(state, links)
+        ends = _last_popped(state, links, moods, goals)
     else:
+        placed = state.join(moods, "node", "left").join(goals, "request_id")
         away = l2_distance(F.coalesce("scores", F.transform("target", lambda _: F.lit(0.0))), F.col("target"))
-        ends = state.join(profiles.select(F.col("id").alias("node"), "scores"), "node", "left")
-        last = ends.groupBy("request_id").agg(
-            F.min(F.struct(F.round(away, 9).alias("away"), "best")).alias("m")).select("request_id", F.col("m.best").alias("last"))
-    return starts.select("request_id").join(full, "request_id", "left").join(last, "request_id", "left").select(
-        "request_id", F.coalesce("full.cost", "last.cost").alias("cost"), F.coalesce("full.path", "last.path").alias("path"))
-
-
-def _last_popped(state: DataFrame, links: DataFrame) -> DataFrame:
-    """Largest ``(cost, node, path)`` pushed over an edge u->v with cost(u) < cost(v), else the start."""
-    nodes = state.select("request_id", "node", "target", "best")
-    far = nodes.select("request_id", F.col("node").alias("dst"), F.col("best.cost").alias("dst_cost"))
+        ends = placed.groupBy("request_id").agg(F.min(F.struct(F.round(away, 9).alias("away"), "cost", "songs", "node")).alias("m")).select(
+            "request_id", F.struct("m.cost", "m.songs", "m.node").alias("last"), F.lit(None).cast(id_type).alias("beyond"))
+    found = starts.select("request_id").join(full, "request_id", "left").join(ends, "request_id", "left")
+    end = F.coalesce("full", "last")
+    beyond = F.when(F.col("full").isNull(), F.col("beyond"))
+    return _read_back(found.select("request_id", end["cost"].alias("cost"), end["node"].alias("at"), F.array_compact(F.array(end["node"], beyond)).alias("path")), state)
+
+
+def _read_back(ends: DataFrame, state: DataFrame) -> DataFrame:
+    """Whole paths of ``ends (request_id, cost, at, path)``, by going from each song to the one before."""
+    before = state.filter(F.col("before").isNotNull()).select("request_id", F.col("node").alias("at"), "before")
+    walk = store(ends, "path-ends")
+    while not walk.filter(F.col("at").isNotNull()).isEmpty():
+        walk = store(walk.join(before, ["request_id", "at"], "left").select(
+            "request_id", "cost", F.col("before").alias("at"),
+            F.when(F.col("before").isNull(), F.col("path")).otherwise(F.concat(F.array("before"), "path")).alias("path")), "path-ends")
+    return walk.select("request_id", "cost", "path")
+
+
+def _last_popped(state: DataFrame, links: DataFrame, moods: DataFrame, goals: DataFrame) -> DataFrame:
+    """Largest ``(cost, node, node before)`` pushed over an edge u->v with cost(u) < cost(v), else the start."""
+    far = _priced(state.select("request_id", "node", F.col("cost").alias("far"), F.lit(0.0).alias("base")), moods, goals).select(
+        "request_id", F.col("node").alias("dst"), "far", F.col("cost").alias("toll"))
     pushed = (
-        nodes.join(links, "node").join(far, ["request_id", "dst"])
-        .filter((F.col("best.cost") < F.col("dst_cost")))
-        .select("request_id", F.struct((F.col("best.cost") + _price()).alias("cost"), F.col("dst").alias("node"),
-                                       F.concat("best.path", F.array("dst")).alias("path")).alias("p"))
-        .groupBy("request_id").agg(F.max("p").alias("p"))
-    )
-    alone = nodes.filter(F.size("best.path") == 1).select("request_id", F.col("best").alias("start"))
-    return alone.join(pushed, "request_id", "left").select("request_id", F.struct(
-        F.coalesce("p.cost", "start.cost").alias("cost"), F.coalesce("p.path", "start.path").alias("path")).alias("last"))
-
-
+        state.join(links, "node").join(far, ["request_id", "dst"]).filter(F.col("cost") < F.col("far"))
+        .groupBy("request_id").agg(F.max(F.struct((F.col("cost") + F.col("step") + F.col("toll")).alias("cost"), F.col("dst").alias("node"),
+                                                  F.col("node").alias("before"), (F.col("songs") + 1).alias("songs"))).alias("p")))
+    alone = state.filter(F.col("before").isNull()).select("request_id", F.col("node").alias("start"))
+    return alone.join(pushed, "request_id", "left").select(
+        "request_id", F.struct(F.coalesce("p.cost", F.lit(0.0)).alias("cost"), F.coalesce("p.songs", F.lit(1)).alias("songs"),
+                               F.coalesce("p.before", "start").alias("node")).alias("last"), F.col("p.node").alias("beyond"))

@@ -306,18 +306,20 @@ def song_graph_stats(spark, sf):
 
 
 def _starts(spark, sf):
-    """The first song of each label, heading for the next label's mood."""
-    profile = fx.bare_profiles(spark, sf)
+    """One request per song, heading for the next label's mood."""
     goal = F.transform("mood_ids", lambda m: F.when(m == (F.col("label") + 1) % 10, 1.0).otherwise(0.0))
-    return profile.groupBy("label", "mood_ids").agg(F.min("id").alias("start")).select(
-        F.col("label").alias("request_id"), "start", goal.alias("target"))
+    return fx.bare_profiles(spark, sf).select(F.col("id").alias("request_id"), F.col("id").alias("start"), goal.alias("target"))
 
 
-@query("mood_path_costs", """
+PRICED = """
  , w AS (SELECT id, list(score ORDER BY label_id) AS v FROM moods GROUP BY id),
- starts AS (SELECT label AS request_id, min(id) AS node, (label + 1) % 10 AS goal FROM songs GROUP BY label),
- steps AS (SELECT g.goal, e.src, e.dst, 1 - least(e.score, 1.0) + 0.4 * list_distance(w.v, [CASE WHEN i = g.goal THEN 1.0 ELSE 0.0 END FOR i IN range(0, 10)]::DOUBLE[]) AS cost
-  FROM edges e JOIN w ON w.id = e.dst CROSS JOIN (SELECT DISTINCT goal FROM starts) g),
+ starts AS (SELECT id AS request_id, id AS node, (label + 1) % 10 AS goal FROM songs),
+ tolls AS (SELECT g.goal, w.id, list_distance(w.v, [CASE WHEN i = g.goal THEN 1.0 ELSE 0.0 END FOR i IN range(0, 10)]::DOUBLE[]) AS away
+  FROM w CROSS JOIN (SELECT DISTINCT goal FROM starts) g),
+ steps AS MATERIALIZED (SELECT t.goal, e.src, e.dst, 1 - least(e.score, 1.0) + 0.4 * t.away AS cost FROM edges e JOIN tolls t ON t.id = e.dst)"""
+
+
+@query("mood_path_costs", PRICED + """ ,
  c0 AS (SELECT request_id, node, goal, 0.0::DOUBLE AS cost FROM starts),
  c1 AS (SELECT request_id, node, goal, min(cost) AS cost FROM (SELECT * FROM c0 UNION ALL SELECT c.request_id, s.dst, c.goal, c.cost + s.cost FROM c0 c JOIN steps s ON s.src = c.node AND s.goal = c.goal) GROUP BY ALL),
  c2 AS (SELECT request_id, node, goal, min(cost) AS cost FROM (SELECT * FROM c1 UNION ALL SELECT c.request_id, s.dst, c.goal, c.cost + s.cost FROM c1 c JOIN steps s ON s.src = c.node AND s.goal = c.goal) GROUP BY ALL),
@@ -328,15 +330,37 @@ def mood_path_costs(spark, sf):
     return costs.withColumn("cost", F.round("cost", 6))
 
 
+def _labels_sql(rounds: int) -> str:
+    """Labels ``(cost, later, songs, before)`` after so many rounds of relaxation."""
+    out = ", l0 AS (SELECT request_id, node, goal, ROW(0.0::DOUBLE, 0, 1, NULL::BIGINT) AS m FROM starts)"
+    for i in range(rounds):
+        out += f""", l{i + 1} AS MATERIALIZED (SELECT request_id, node, goal, min(m) AS m FROM (
+  SELECT request_id, node, goal, ROW(m[1], 0, m[3], m[4]) AS m FROM l{i} UNION ALL
+  SELECT l.request_id, s.dst, l.goal, ROW(l.m[1] + s.cost, 1, l.m[3] + 1, l.node) FROM l{i} l JOIN steps s ON s.src = l.node AND s.goal = l.goal) GROUP BY request_id, node, goal)"""
+    return out
+
+
+@query("mood_path_short", PRICED + _labels_sql(3) + """,
+ ends AS (SELECT l.request_id, min(ROW(m[1], l.node)) FILTER (m[3] >= 4) AS e FROM l3 l GROUP BY 1)
+ SELECT e.request_id, round(e.e[1], 6) AS cost, concat_ws('>', c.m[4], b.m[4], a.m[4], a.node) AS path FROM ends e JOIN l3 a ON a.request_id = e.request_id AND a.node = e.e[2]
+ LEFT JOIN l3 b ON b.request_id = a.request_id AND b.node = a.m[4] LEFT JOIN l3 c ON c.request_id = b.request_id AND c.node = b.m[4]""", ("edges", "moods"))
+def mood_path_short(spark, sf):
+    """Paths of four songs, one request per song."""
+    return _paths(spark, sf, 4)
+
+
+def _paths(spark, sf, steps):
+    paths = G.mood_path(_edges(spark, sf), fx.bare_profiles(spark, sf).select("id", "scores"), _starts(spark, sf), steps)
+    return paths.select("request_id", F.round("cost", 6).alias("cost"), F.array_join(F.transform("path", lambda n: n.cast("string")), ">").alias("path"))
+
+
 def _edges(spark, sf):
     return G.song_graph(G.scored_neighbours(fx.vectors(spark, sf)), fx.WALK_PRUNE)
 
 
 @query("mood_path")
 def mood_path(spark, sf):
-    paths = G.mood_path(_edges(spark, sf), fx.bare_profiles(spark, sf).select("id", "scores"), _starts(spark, sf))
-    return paths.select("request_id", F.round("cost", 6).alias("cost"), F.array_join(F.transform(
-        "path", lambda n: n.cast("string")), ">").alias("path"))
+    return _paths(spark, sf, G.MAX_STEPS)
 
 
 # --- acoustic summaries ------------------------------------------------------------------------------

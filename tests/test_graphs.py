@@ -110,6 +110,26 @@ def test_path_fallbacks(spark):
     assert last == {1: (1.2, [0, 2]), 2: (0.0, [2])}
 
 
+@pytest.mark.parametrize("bucket", [0.05, 10.0])
+def test_paths_do_not_depend_on_the_bucket(spark, bucket):
+    """A ring with shortcuts: long paths, many rounds, and requests that stop early next to some that never reach full length."""
+    rng = random.Random(5)
+    edges = [(i, (i + 1) % 30, 0.9) for i in range(30)] + [(i, (i + 7) % 30, round(rng.random() * 0.3, 3)) for i in range(0, 30, 3)] + [(40, 41, 0.5)]
+    moods = {i: [rng.random(), rng.random()] for i in [*range(30), 40, 41]}
+    links = {}
+    for u, v, s in edges:
+        links.setdefault(u, []).append((v, (1 - s) + 0.4 * math.dist(moods[v], [1.0, 0.0])))
+    starts = spark.createDataFrame([(i, i, [1.0, 0.0]) for i in (0, 4, 11, 40)], "request_id long, start long, target array<double>")
+    edge_df = spark.createDataFrame(edges, "src long, dst long, score double")
+    profile_df = spark.createDataFrame(list(moods.items()), "id long, scores array<double>")
+    got = {r["request_id"]: (r["cost"], tuple(r["path"])) for r in G.mood_path(edge_df, profile_df, starts, 6, bucket=bucket).collect()}
+    for s in (0, 4, 11):
+        best = shortest(links, s, 6)
+        want = min(b for b in best.values() if len(b[1]) == 6)
+        assert abs(got[s][0] - want[0]) < 1e-9 and got[s][1] == want[1]
+    assert got[40][1] in {(40,), (40, 41)}
+
+
 def test_score_above_one_never_lowers_the_cost(spark):
     edges = spark.createDataFrame([(0, 1, 1.0000001), (1, 0, 1.0)], "src long, dst long, score double")
     profiles = spark.createDataFrame([(0, [1.0]), (1, [1.0])], "id long, scores array<double>")
