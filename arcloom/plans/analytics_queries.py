@@ -153,12 +153,28 @@ def silhouette(spark, sf):
 @query("kmeans_fit")
 def kmeans_fit(spark, sf):
     songs = fx.vectors(spark, sf)
-    model, cost = L.kmeans_fit(songs, 8)
-    centroids = L.model_centroids(model, songs)
+    centroids, cost = L.kmeans_fit(songs, 8)
     return K.cluster_sizes(K.kmeans_assign(songs.select("id", "embedding"), centroids), centroids).withColumn(
         "cost", F.lit(round(float(cost), 4)))
 
 
+@query("kmeans_invariants", """
+ SELECT label_id::INTEGER AS label_id, (SELECT count(*) FROM songs) AS rows, true AS costs_agree, true AS centre_is_mean, true AS not_empty
+ FROM (SELECT unnest(range(0, 8)) AS label_id)""", ("songs",))
+def kmeans_invariants(spark, sf):
+    """What holds for any converged fit: sizes add up, the cost is the inertia of its centroids, and these are the means of their songs."""
+    songs = fx.vectors(spark, sf)
+    centroids, cost = L.kmeans_fit(songs, 8)
+    assigned = store(K.kmeans_assign(songs.select("id", "embedding"), centroids), "assigned")
+    inertia = K.kmeans_inertia(assigned, centroids).scalar()
+    means = K.kmeans_update(assigned).withColumnRenamed("centroid", "mean")
+    sizes = K.cluster_sizes(assigned, centroids)
+    total = sizes.agg(F.sum("size")).scalar()
+    return centroids.join(means, "label_id").join(sizes, "label_id").select(
+        "label_id", total.alias("rows"), (F.abs(inertia - cost) < 1e-6 * cost).alias("costs_agree"),
+        (l2_distance(F.col("mean"), F.col("centroid")) < 1e-3).alias("centre_is_mean"), (F.col("size") > 0).alias("not_empty"))
+
+
 @query("pick_best_k")
 def pick_best_k(spark, sf):
     best, history = L.pick_best_k(fx.vectors(spark, sf))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from arcloom.functions import moods as M
-from arcloom.functions.vectors import tidy
+from arcloom.functions.vectors import dot, l2_distance, tidy
 from arcloom.operators import catalogue as C
 from arcloom.operators import centroids as K
 from arcloom.operators import features as X
@@ -13,12 +13,12 @@ from arcloom.operators import graphs as G
 from arcloom.operators import moods as O
 from arcloom.operators import playlist as P
 from arcloom.operators import search as S
-from arcloom.operators.clustering import kmeans_fit, model_centroids
+from arcloom.operators.song_model import SongModel, fit_song_model
 from arcloom.operators.transition import transition_band
 from arcloom.plans import fixtures as fx
 from arcloom.plans.registry import query
-from arcloom.sources import artefacts, readers, tables
-from arcloom.sources.workspace import new_path
+from arcloom.sources import readers, tables
+from arcloom.sources.workspace import new_path, store
 
 BLANKS_SQL = "' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12)"
 SAMPLE_SIZE = 300
@@ -135,14 +135,25 @@ def playlist_json(spark, sf):
     return tables.playlist_json(rows)
 
 
-@query("model_save_load")
+@query("model_save_load", "SELECT vec_id AS id, true AS agrees, 18 AS parameters FROM embeddings WHERE vec_id % 2 = 1")
 def model_save_load(spark, sf):
-    songs = fx.vectors(spark, sf)
-    model, _ = kmeans_fit(songs, 8)
-    loaded = artefacts.load_kmeans(artefacts.save_model(model, spark, "kmeans"))
-    scaler = artefacts.save_scaler(X.scaler_fit(songs))
-    dims = scaler.count()
-    return model_centroids(loaded, songs).select("label_id", F.size("centroid").alias("dim"), F.lit(dims).alias("scaler_dim"))
+    """Songs outside the fit, placed by the loaded model, against column arithmetic on its parameter table."""
+    songs = fx.vectors(spark, sf).select("id", "embedding")
+    path = fit_song_model(songs.filter("id % 2 = 0")).save(spark)
+    model = SongModel.load(spark, path)
+    rows = {name: [r["values"] for r in sorted(spark.read.parquet(path).filter(F.col("stage") == name).collect(), key=lambda r: r["pos"])]
+            for name in ("mean", "std", "component", "centroid")}
+
+    def literal(values):
+        return F.array(*[F.lit(x) for x in values])
+
+    scaled = F.zip_with(F.zip_with("embedding", literal(rows["mean"][0]), lambda x, m: x - m), literal(rows["std"][0]), lambda x, s: x / s)
+    plain = store(model.place(songs.filter("id % 2 = 1")).withColumn("scaled", scaled), "placed-songs")
+    plain = plain.withColumn("projected", F.array(*[dot(F.col("scaled"), literal(c)) for c in rows["component"]]))
+    plain = plain.withColumn("distances", F.array(*[F.round(l2_distance(F.col("projected"), literal(c)), 9) for c in rows["centroid"]]))
+    near = F.round("dist", 9) == F.array_min("distances")
+    same = F.element_at("distances", F.col("label_id") + 1) == F.array_min("distances")
+    return plain.select("id", (near & same).alias("agrees"), F.lit(sum(map(len, rows.values()))).alias("parameters"))
 
 
 # --- projections, filters and lookups -------------------------------------------------------------

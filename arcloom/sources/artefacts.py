@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.clustering import KMeansModel
 from pyspark.sql import DataFrame, SparkSession
 
 from arcloom.sources.workspace import new_path
@@ -15,10 +14,6 @@ def save_model(model, spark: SparkSession, name: str) -> str:
     return path
 
 
-def load_kmeans(path: str) -> KMeansModel:
-    return KMeansModel.load(path)
-
-
 def load_transition_model(path: str) -> PipelineModel:
     return PipelineModel.load(path)
 
