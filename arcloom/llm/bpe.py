@@ -11,7 +11,8 @@ neighbours share no boundary (a single run of one character class longer than th
 Decoding puts the raw bytes of the ids together; a character may be split between ids.
 
 Cases: null is the empty text and gives no ids. Special tokens are ordinary text. Repeated rows are encoded each;
-long equal texts once. All columns of the input stay; ``ids`` (little-endian unsigned 32-bit) is added.
+long equal texts once. All columns of the input stay; ``ids`` (little-endian unsigned 32-bit) is added, in place of a column of
+that name. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -75,6 +76,12 @@ class Codec:
     def encode(self, text: str) -> bytes:
         return b"".join(map(self.pieces.__getitem__, self.find(text)))
 
+    def encode_start(self, text: str, keep: int | None) -> bytes:
+        """Ids of the pre-tokens that begin before ``keep``; what follows is there for the pattern to look at."""
+        if keep is None:
+            return self.encode(text)
+        return b"".join([self.pieces[m.group()] for m in self.scan(text) if m.start() < keep])
+
     def decode(self, packed: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(packed, "<u4").tolist()))
 
@@ -146,6 +153,7 @@ def encode(docs: DataFrame, path: str = VOCABULARY, pattern: str = PATTERN, chun
     """``docs`` with ``ids``, the packed token ids of ``text``."""
     if not 0 < overlap <= chunk:
         raise ValueError("the overlap has to be within a chunk")
+    docs = docs.drop("ids")
     size = F.length(F.coalesce("text", F.lit("")))
     short = _encoded(docs.filter(size <= chunk), path, pattern)
     long = docs.filter(size > chunk)
@@ -161,15 +169,16 @@ def encode(docs: DataFrame, path: str = VOCABULARY, pattern: str = PATTERN, chun
     whole = starts.filter(F.col("start").isNull()).select("key").distinct()
     after = starts.select("key", (F.col("no") - 1).alias("no"), (F.col("start") + chunk).alias("stop"))
     cuts = starts.join(after, ["key", "no"], "left").join(whole, "key", "left_anti")
-    piece = F.substring("text", F.col("start") + 1, F.coalesce(F.col("stop") - F.col("start"), F.lit(chunk + overlap)))
-    pieces = chunks.join(cuts.select("key", "no", "start", "stop"), ["key", "no"]).select("key", "no", piece.alias("text"))
+    # A piece comes with the rest of its chunk, since the pattern may look past the piece's end.
+    piece = F.struct(F.substring("text", F.col("start") + 1, F.lit(chunk + overlap)).alias("text"), (F.col("stop") - F.col("start")).alias("keep"))
+    pieces = chunks.join(cuts.select("key", "no", "start", "stop"), ["key", "no"]).select("key", "no", piece.alias("piece"))
     stitched = (
-        _encoded(pieces, path, pattern).select("key", "no", "ids").groupBy("key")
+        _mapped(pieces, "piece", "ids", pa.binary(), lambda p: Codec.of(path, pattern).encode_start(p["text"], p["keep"]))
+        .select("key", "no", "ids").groupBy("key")
         .agg(F.sort_array(F.collect_list(F.struct("no", "ids"))).alias("parts"))
         .select("key", F.col("parts.ids").alias("parts"))
     )
     joined = _mapped(stitched, "parts", "ids", pa.binary(), b"".join).select("key", "ids")
     rest = _encoded(keyed.join(whole, "key", "left_semi").dropDuplicates(["key"]), path, pattern).select("key", "ids")
     done = joined.unionByName(rest)
-    return short.unionByName(
-        long.withColumn("_key", F.md5("text")).join(done, F.col("_key") == done["key"]).select(*[long[c] for c in docs.columns], "ids"))
+    return short.unionByName(long.join(done, F.md5(long["text"]) == done["key"]).select(*[long[c] for c in docs.columns], done["ids"]))

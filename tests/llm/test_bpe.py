@@ -48,6 +48,21 @@ def test_query_on_whole_table(spark, library):
         assert r["decoded_sha256"] == hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest()
 
 
+@pytest.mark.parametrize("chunk, overlap", [(10, 4), (16, 16), (7, 3), (1 << 15, 1 << 11)])
+def test_tokens_of_several_white_spaces(spark, tmp_path, chunk, overlap):
+    """A vocabulary in which the pattern's look past white space changes the ids."""
+    ranks = {bytes([b]): b for b in range(256)} | {b"\n\n": 256, b"  ": 257, b"\n\n\n": 258, b" a": 259}
+    path = tmp_path / "own.tiktoken"
+    path.write_bytes(b"".join(base64.b64encode(t) + b" " + str(i).encode() + b"\n" for t, i in ranks.items()))
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    texts = ["a\n\na\n\n\nbb  a   a\n \n" * 40, "abc\n\n" * 60, "\n\n\n\na" * 90, "ab a  " * 77]
+    docs = spark.createDataFrame([(i, t, "x", "y") for i, t in enumerate(texts)], "doc_id long, text string, _key string, ids string")
+    out = encode(docs, path=str(path), chunk=chunk, overlap=overlap)
+    assert sorted(out.columns) == ["_key", "doc_id", "ids", "text"]
+    for r in out.collect():
+        assert np.frombuffer(bytes(r["ids"]), "<u4").tolist() == own.encode_ordinary(texts[r["doc_id"]])
+
+
 def test_empty_table_and_bad_overlap(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert encode(docs).count() == 0
