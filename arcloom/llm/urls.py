@@ -5,11 +5,12 @@ path of the rule; the longest fitting rule decides. URLs that a rule decides are
 fitted on at most about ``TRAIN_ROWS`` of the distinct labelled URLs, chosen by a hash (all of them, if they are
 fewer), and judge every other URL. Features: length, path depth, digit ratio, character entropy, number of parameters,
 labels, hyphens, and suffix statistics: the smoothed share of blocked URLs under the last label, the last two labels and
-the first path segment, counted over all labelled URLs.
+the first path segment, counted over all labelled URLs; for a URL that the trees are fitted on, over those of other folds, since
+its own label would tell the trees what to say.
 
 Cases: a null URL or one without ``://`` has empty host and path, no rule, and is judged by the trees. Without labelled
 URLs, all are allowed; with one class alone, all get that class. Repeated rows get equal results. Other columns stay; columns
-with the names of the results are replaced.
+with the names of the results are replaced. URLs of any length are read whole. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ MAX_RULES = 500
 TRAIN_ROWS = 20_000
 TREES, DEPTH, SEED = 10, 4, 7
 PRIOR = 5.0
+#: Parts of the labelled URLs, by hash; the suffix shares of a training row come from the other parts.
+FOLDS = 5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -91,13 +94,33 @@ def lexical(urls: DataFrame) -> DataFrame:
     })
 
 
-def _with_statistics(urls: DataFrame, labelled: DataFrame) -> DataFrame:
-    """Adds the smoothed share of blocked labelled URLs per suffix."""
+def _fold() -> Column:
+    return F.pmod(F.xxhash64("url", F.lit("fold")), F.lit(FOLDS)).cast("int")
+
+
+def _share(blocked: Column, rows: Column) -> Column:
+    return (blocked + PRIOR / 2) / (rows + PRIOR)
+
+
+def _with_statistics(urls: DataFrame, labelled: DataFrame, out_of_fold: bool = False) -> DataFrame:
+    """Adds the smoothed share of blocked labelled URLs per suffix.
+
+    With ``out_of_fold``, for training rows, the URLs of the row's own fold do not count, so a row never meets its own label.
+    """
+    urls, labelled = urls.withColumn("_fold", _fold()), labelled.withColumn("_fold", _fold())
     for suffix in SUFFIXES:
-        shares = labelled.groupBy(F.col(suffix).alias(f"_{suffix}")).agg(
-            ((F.sum("label") + PRIOR / 2) / (F.count("*") + PRIOR)).alias(f"s_{suffix}"))
-        urls = urls.join(store(shares, "suffix-shares"), F.col(suffix) == F.col(f"_{suffix}"), "left").drop(f"_{suffix}").fillna({f"s_{suffix}": 0.5})
-    return urls
+        name = f"s_{suffix}"
+        folds = store(labelled.groupBy(F.col(suffix).alias("_suffix"), F.col("_fold").alias("_other")).agg(
+            F.sum("label").alias("_blocked"), F.count("*").alias("_rows")), "suffix-folds")
+        whole = folds.groupBy("_suffix").agg(F.sum("_blocked").alias("_all_blocked"), F.sum("_rows").alias("_all_rows"))
+        if out_of_fold:
+            parts = folds.join(whole, "_suffix").select("_suffix", "_other", _share(
+                F.col("_all_blocked") - F.col("_blocked"), F.col("_all_rows") - F.col("_rows")).alias(name))
+            joined = urls.join(parts, (F.col(suffix) == F.col("_suffix")) & (F.col("_fold") == F.col("_other")), "left")
+        else:
+            joined = urls.join(whole.select("_suffix", _share(F.col("_all_blocked"), F.col("_all_rows")).alias(name)), F.col(suffix) == F.col("_suffix"), "left")
+        urls = joined.drop("_suffix", "_other").fillna({name: 0.5})
+    return urls.drop("_fold")
 
 
 INPUTS = [*LEXICAL, *[f"s_{s}" for s in SUFFIXES]]
@@ -108,7 +131,7 @@ def fit(labelled: DataFrame, statistics_of: DataFrame, train_rows: int = TRAIN_R
     total = labelled.count()
     share = min(1.0, train_rows / max(total, 1))
     chosen = labelled.filter(F.pmod(F.xxhash64("url", F.lit("train")), F.lit(1_000_000)) < int(share * 1_000_000))
-    data = VectorAssembler(inputCols=INPUTS, outputCol="features").transform(_with_statistics(chosen, statistics_of))
+    data = VectorAssembler(inputCols=INPUTS, outputCol="features").transform(_with_statistics(chosen, statistics_of, out_of_fold=True))
     data = store(data.select("features", "label"), "url-training")
     return GBTClassifier(featuresCol="features", labelCol="label", maxIter=TREES, maxDepth=DEPTH, seed=SEED).fit(data)
 
