@@ -15,6 +15,7 @@ from arcloom.operators import neighbours as N
 from arcloom.operators import vector_index as V
 from arcloom.operators import pairs as R
 from arcloom.operators import playlist as P
+from arcloom.operators import requests as Q
 from arcloom.operators import scoring as S
 from arcloom.operators import transition as T
 from arcloom.plans import fixtures as fx
@@ -877,6 +878,47 @@ def generate_playlists_service(spark, sf):
     return _walk(spark, sf, "service").withColumn("score", F.round("score", 6))
 
 
+@query("resolve_requests", f"""
+ , asked AS (SELECT r.request_id, r.spots, r.wanted, CASE WHEN s.id % 8 = 0 THEN s.id + 1000000 WHEN s.id % 4 = 0 THEN s.id END AS seed_id,
+   CASE s.id % 4 WHEN 1 THEN s.artist WHEN 2 THEN 'qqxx' END AS seed_query FROM requests r JOIN songs s ON s.id = r.request_id),
+ staged AS (SELECT *, CASE WHEN seed_id IS NOT NULL THEN 'id' WHEN coalesce(seed_query, '') <> '' THEN 'text' ELSE 'random' END AS stage FROM asked),
+ q AS (SELECT request_id, lower(seed_query) AS text FROM staged WHERE stage = 'text'),
+ st AS (SELECT request_id, text AS term, 0 AS word_pos, 1 AS nth FROM q UNION ALL SELECT request_id, text, 0, 2 FROM q UNION ALL
+  SELECT request_id, w, p, 3 FROM (SELECT request_id, unnest(string_split(text, ' ')) AS w, generate_subscripts(string_split(text, ' '), 1) AS p FROM q) WHERE length(w) >= 2),
+ hits AS (SELECT t.term, min(s.id) FILTER (contains(lower(s.name), t.term)) AS by_name, min(s.id) FILTER (contains(lower(s.artist), t.term)) AS by_artist, min(s.id) AS by_any
+  FROM (SELECT DISTINCT term FROM st) t JOIN songs s ON contains(lower(s.name), t.term) OR contains(lower(s.artist), t.term) GROUP BY t.term),
+ best AS (SELECT request_id, CASE nth WHEN 1 THEN by_name WHEN 2 THEN by_artist ELSE by_any END AS id FROM st JOIN hits USING (term)
+  WHERE CASE nth WHEN 1 THEN by_name WHEN 2 THEN by_artist ELSE by_any END IS NOT NULL QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY nth, word_pos, id) = 1),
+ m AS (SELECT p.mood, p.id, coalesce(s.language, 'en') AS lang FROM pools p JOIN songs s ON s.id = p.id),
+ f AS (SELECT mood, lang, id, row_number() OVER w - 1 AS pos, count(*) OVER (PARTITION BY mood, lang) AS n
+  FROM (SELECT * FROM m UNION ALL SELECT mood, id, '' FROM m) WINDOW w AS (PARTITION BY mood, lang ORDER BY md5('seed-order|' || id), id)),
+ r2 AS (SELECT request_id, spots[1] AS mood, CASE WHEN EXISTS (SELECT 1 FROM m WHERE m.mood = spots[1] AND m.lang = wanted) THEN wanted ELSE '' END AS lang FROM staged WHERE stage = 'random'),
+ rnd AS (SELECT r.request_id, coalesce(f.id, (SELECT min(id) FROM songs)) AS id FROM r2 r LEFT JOIN f ON f.mood = r.mood AND f.lang = r.lang
+  AND f.pos = least(floor({u01("'seed-pick|' || r.request_id")} * f.n), f.n - 1))
+ SELECT t.request_id, coalesce(k.id, b.id, d.id) AS id, t.stage, coalesce(k.id, b.id, d.id) IS NOT NULL AS resolved FROM staged t
+ LEFT JOIN songs k ON k.id = t.seed_id AND t.stage = 'id' LEFT JOIN best b ON b.request_id = t.request_id LEFT JOIN rnd d ON d.request_id = t.request_id""", ("requests", "pools"))
+def resolve_requests(spark, sf):
+    """A quarter of the requests names a song by id, half of these in vain, a quarter an artist, a quarter nonsense, the rest nothing."""
+    songs = store(fx.songs(spark, sf), "songs")
+    pools, sizes = fx.pools(spark, sf)
+    rest = F.col("request_id") % 4
+    asked = fx.placed_requests(spark, sf).drop("seed_id").join(songs.select(F.col("id").alias("request_id"), "artist"), "request_id").withColumns({
+        "seed_id": F.when(F.col("request_id") % 8 == 0, F.col("request_id") + 1000000).when(rest == 0, F.col("request_id")),
+        "seed_query": F.when(rest == 1, F.col("artist")).when(rest == 2, "qqxx")})
+    return Q.resolve_requests(asked, songs, pools, sizes)
+
+
+@query("playlist_rows", """
+ , l AS (SELECT id, string_agg('mood_' || label_id || ':' || CAST(round(score * 10000) AS INTEGER), ' ' ORDER BY label_id) AS moods FROM moods GROUP BY id)
+ SELECT n.src AS request_id, n.rank::INTEGER AS pos, n.dst AS id, s.name, s.artist, 'mood_' || r.label_id AS top_mood, l.moods FROM nn n
+ JOIN songs s ON s.id = n.dst JOIN ranked r ON r.id = n.dst AND r.rank = 0 JOIN l ON l.id = n.dst WHERE n.rank <= 12""", ("nn", "ranked"))
+def playlist_rows(spark, sf):
+    rows = Q.playlist_rows(_listening(spark, sf), fx.songs(spark, sf), fx.bare_profiles(spark, sf), fx.labels(spark, sf))
+    told = F.array_join(F.transform(F.array_sort(F.map_entries("moods")), lambda e: F.concat(
+        e["key"], F.lit(":"), F.round(e["value"] * 10000).cast("int").cast("string"))), " ")
+    return rows.select("request_id", "pos", "id", "name", "artist", "top_mood", told.alias("moods"))
+
+
 def _listening(spark, sf):
     """Each song's nearest songs as a finished playlist."""
     near = N.knn_l2(fx.vectors(spark, sf), 12)
