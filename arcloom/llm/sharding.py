@@ -7,11 +7,12 @@ tests ``FAN`` capacities at once, and a step of the walk is one aggregate over t
 cuts: the largest running sum that the open shard still holds, for every tested capacity. The driver only holds those
 few numbers.
 
-Slots number the rows of a shard without gaps, in group order, equal texts by ``doc_id``. A group of many rows is numbered
-in parts of about ``ROWS_PER_PART``, so a text that a third of the rows share is not sorted in one task.
+Slots number the rows of a shard without gaps, in group order. A group of many rows is dealt by a hash of ``doc_id`` into parts of
+about ``ROWS_PER_PART`` and numbered part after part, by ``doc_id`` inside a part, so a text that a third of the rows share is
+not sorted in one task; rows of one text that share one id, null included, are one part.
 
 Cases: null texts are empty. Shards may stay empty if there are fewer groups than shards. Rows with the same ``doc_id`` and
-text get different slots of one shard. An empty table gives an empty result. Other columns are ignored.
+text get different slots of one shard. Texts of any length count whole; only their digests are moved. An empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
