@@ -44,6 +44,7 @@ ODD_WORDS = 8
 ODD = [f"odd{i}" for i in range(ODD_WORDS)]
 SKETCH_BITS = 20
 HELD_ROWS = 10_000
+FILTER_ROWS = 256
 PREFIX_ROWS_PER_TASK = 1_000_000
 
 
@@ -210,8 +211,8 @@ def _filtered(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
+            for at in range(0, batch.num_rows, FILTER_ROWS):
+                part = batch.slice(at, FILTER_ROWS)
                 apart, most = suffix_bound(part, percent)
                 yield part.select(["a", "b"]).filter(pa.array(apart <= most))
 
@@ -219,6 +220,8 @@ def _filtered(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     for side in "ab":
         joined = joined.join(reps.select(*[F.col(c).alias(f"{n}_{side}" if c != "id" else side) for c, n in (
             ("id", ""), ("size", "size"), ("sign", "sign"), ("prefix", "prefix"))]), side)
+        # Only the grams up to the first common one are sent; a long document's prefix is far longer.
+        joined = joined.withColumn(f"prefix_{side}", F.substring(f"prefix_{side}", F.lit(1), (F.col(f"pos_{side}") + 1) * 8))
     return joined.mapInArrow(run, "a long, b long")
 
 
