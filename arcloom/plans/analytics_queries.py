@@ -437,6 +437,35 @@ def acousticness_proxy(spark, sf):
     return A.acousticness_proxy(spectrum).withColumn("acousticness_proxy", F.round("acousticness_proxy", 6))
 
 
+@query("feature_rows", """
+ WITH g AS (SELECT user_id, epoch(ts) - lag(epoch(ts)) OVER (PARTITION BY user_id ORDER BY ts) AS gap FROM events),
+ d AS (SELECT user_id, CASE WHEN count(gap) = 0 THEN 0 ELSE least(1, greatest(0, 1 - stddev_pop(gap) / (avg(gap) + 1e-6))) END AS dance FROM g GROUP BY 1),
+ b AS (SELECT user_id, event_id % 12 AS bin, avg(value / 500) AS m FROM events GROUP BY 1, 2),
+ v AS (SELECT user_id, CASE WHEN count(m) > 0 THEN least(1, greatest(0, (coalesce(avg(m) FILTER (bin IN (0, 4, 7)), 0)
+   - coalesce(avg(m) FILTER (bin IN (0, 3, 7)), 0) + 1) / 2)) END AS valence FROM b GROUP BY 1),
+ e AS (SELECT user_id, avg(value * 1.5) FILTER (event_id % 3 = 0) AS raw, avg(value / 1000) AS energy, stddev_pop(value / 1000) AS energy_std,
+   avg(value * 3) AS centroid, avg(event_id % 50) AS bandwidth, avg(value + event_id % 50) AS rolloff, avg(event_id % 9) AS contrast, avg(event_id % 7) AS zcr,
+   avg(value / 500) AS chroma_mean, stddev_pop(value / 500) AS chroma_std, count(value) AS n,
+   coalesce(avg(value) FILTER ((event_id % 40) * 25 < 500), 0) AS lo, coalesce(avg(value) FILTER ((event_id % 40) * 25 >= 500), 0) AS hi,
+   """ + ", ".join(f"avg(value) FILTER (event_id % 13 = {i}) AS m{i}" for i in range(13)) + """ FROM events GROUP BY 1)
+ SELECT e.user_id AS track, round(CASE WHEN raw > 150 AND energy <= 0.25 THEN raw / 2 WHEN raw < 90 AND energy > 0.20 THEN raw * 2 ELSE raw END, 6) AS tempo,
+  round(energy, 6) AS energy_mean, round(energy_std, 6) AS energy_std, round(valence, 6) AS valence_proxy, round(dance, 6) AS danceability_proxy,
+  round(CASE WHEN n > 0 THEN lo / (lo + hi + 1e-6) END, 6) AS acousticness_proxy, round(centroid, 6) AS spectral_centroid, round(bandwidth, 6) AS spectral_bandwidth,
+  round(rolloff, 6) AS spectral_rolloff, round(contrast, 6) AS spectral_contrast, round(zcr, 6) AS zcr, round(chroma_mean, 6) AS chroma_mean, round(chroma_std, 6) AS chroma_std,
+  """ + ", ".join(f"round(m{i}, 6) AS mfcc_{i + 1}" for i in range(13)) + " FROM e JOIN v ON v.user_id IS NOT DISTINCT FROM e.user_id JOIN d ON d.user_id IS NOT DISTINCT FROM e.user_id")
+def feature_rows(spark, sf):
+    rows, n = _events(spark, sf), F.col("event_id")
+    value = F.col("value")
+    out = A.feature_rows(
+        rows.filter(n % 3 == 0).select("track", (value * 1.5).alias("tempo")),
+        rows.select("track", (value / 1000).alias("rms"), (value * 3).alias("centroid"), (n % 50).alias("bandwidth"), (value + n % 50).alias("rolloff"),
+                    (n % 9).alias("contrast"), (n % 7).alias("zcr")),
+        rows.select("track", (n % 13).alias("bin"), "value"), rows.select("track", (n % 12).alias("bin"), (value / 500).alias("value")),
+        rows.select("track", F.col("ts").cast("timestamp").cast("double").alias("beat_time")),
+        rows.select("track", ((n % 40) * 25).alias("freq"), value.alias("magnitude")))
+    return out.select("track", *[F.round(c, 6).alias(c) for c in out.columns if c != "track"])
+
+
 # --- pairs and classifier ----------------------------------------------------------------------------
 
 def _positions_sql(seed):
