@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from arcloom.functions import moods as M
 from arcloom.functions.vectors import dot, l2_distance, tidy
 from arcloom.operators import catalogue as C
 from arcloom.operators import centroids as K
+from arcloom.operators import enrichment as E
 from arcloom.operators import features as X
 from arcloom.operators import graphs as G
 from arcloom.operators import moods as O
@@ -278,6 +282,28 @@ def capture_errors(spark, sf):
     return C.capture_errors(results, 200, 500)
 
 
+def _count_words(row: dict) -> dict:
+    words = re.findall(r"[^\x20\x09-\x0D]+", row["text"] or "")
+    if len(words) < 50:
+        raise ValueError(f"{len(words)} words")
+    return {"n_words": len(words)}
+
+
+@query("enrich_pending", """
+ SELECT id, CASE WHEN waiting AND n >= 50 THEN n END AS n_words,
+  CASE WHEN processed_at IS NOT NULL THEN '2024-01-01' WHEN waiting AND n >= 50 THEN '2024-06-01' END AS stamped,
+  CASE WHEN waiting AND n < 50 THEN 'ValueError: ' || n || ' words' ELSE extraction_error END AS extraction_error
+ FROM (SELECT e.*, e.processed_at IS NULL AND e.extraction_error IS NULL AS waiting,
+   len(regexp_extract_all(coalesce(d.text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS n FROM extraction e JOIN documents d ON d.doc_id = e.id)""", ("extraction",))
+def enrich_pending(spark, sf):
+    texts = fx.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    songs = fx.extraction(spark, sf).join(texts, "id")
+    result = T.StructType([T.StructField("n_words", T.LongType())])
+    done = E.enrich_pending(songs, "id", new_path(spark, "enrichment"), "id", _count_words, result, F.to_timestamp(F.lit("2024-06-01 00:00:00")),
+                            files=16, files_per_commit=8)
+    return done.select("id", "n_words", F.date_format("processed_at", "yyyy-MM-dd").alias("stamped"), "extraction_error")
+
+
 @query("transition_band", """
  SELECT d.doc_id, CASE WHEN pct >= 70 THEN 'high' WHEN pct >= 50 THEN 'mid' WHEN pct IS NOT NULL THEN 'low' END AS band
  FROM documents d LEFT JOIN (SELECT doc_id, round(score * 100) AS pct FROM preds) p ON p.doc_id = d.doc_id""", ("preds",))
