@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from dataclasses import dataclass
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from arcloom.functions.moods import ranked_moods
+from arcloom.sources.tables import overwrite_table
+from arcloom.sources.workspace import store
 
 GRAM = 3
+MASK_BITS = 128
+MASKS = [f"mask{i}" for i in range(MASK_BITS // 64)]
 
 
 def _grams(text, size: int):
@@ -16,12 +23,48 @@ def _grams(text, size: int):
     return F.when(F.length(text) >= size, F.array_distinct(some)).otherwise(F.array().cast("array<string>"))
 
 
-def text_matches(songs: DataFrame, terms: DataFrame) -> DataFrame:
-    """``(term, id, in_name, in_artist)`` for every song whose name or artist contains the term.
+def _mask(grams: Column) -> list[Column]:
+    """``MASK_BITS`` bits of which each gram sets one, as longs."""
+    one, bit = F.lit(1).cast("long"), lambda g: F.pmod(F.xxhash64(g), F.lit(MASK_BITS))
+    return [
+        F.aggregate(grams, F.lit(0).cast("long"), lambda m, g: F.when(
+            F.floor(bit(g) / 64) == word, m.bitwiseOR(F.call_function("shiftleft", one, F.pmod(bit(g), F.lit(64)).cast("int")))).otherwise(m))
+        for word in range(MASK_BITS // 64)]
+
+
+@dataclass(frozen=True)
+class SearchIndex:
+    """``places (id, text, text_id, in_name, in_artist)``, ``postings (bucket, gram, text_id, masks)``, ``counts (gram, n_texts)``."""
+
+    places: DataFrame
+    postings: DataFrame
+    counts: DataFrame
+
 
-    ``terms`` holds lower-case texts. Distinct texts meet the terms on the rarest n-gram of each term, out of the
-    n-grams that some term needs; a hit is verified and then joined back to the songs by its text.
+def search_index(songs: DataFrame, buckets: int = 64) -> SearchIndex:
+    """Write the index of the names and artists of ``songs``; it may be searched any number of times.
+
+    A posting list is the distinct texts of a gram, by 64-bit hash, in the folder of its gram's bucket. Each entry has a mask of all grams of its
+    text, so that most texts without the other grams of a term are left out inside the list. Texts stay with the songs: texts of equal hash
+    only meet before the text itself is compared. Null and empty texts have no entry.
     """
+    low = songs.select("id", F.lower("name").alias("name"), F.lower("artist").alias("artist"))
+    same = F.coalesce(F.col("name") == F.col("artist"), F.lit(False))
+    sides = F.array(F.struct(F.col("name").alias("text"), F.lit(True).alias("in_name"), same.alias("in_artist")),
+                    F.struct(F.when(~same, F.col("artist")).alias("text"), F.lit(False).alias("in_name"), F.lit(True).alias("in_artist")))
+    places = low.select("id", F.inline(sides)).filter(F.length("text") > 0).withColumn("text_id", F.xxhash64("text"))
+    places = store(places, "search-places")
+    every = F.flatten(F.array(*[_grams(F.col("text"), size) for size in range(1, GRAM + 1)]))
+    texts = places.select("text_id", "text").distinct()
+    masked = texts.select("text_id", every.alias("grams"), *[m.alias(name) for m, name in zip(_mask(_grams(F.col("text"), GRAM)), MASKS)])
+    rows = masked.select(F.explode("grams").alias("gram"), "text_id", *MASKS).withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(buckets)).cast("int"))
+    postings = overwrite_table(rows.hint("rebalance", "bucket"), "search-postings", ["bucket"])
+    return SearchIndex(places, postings, store(postings.groupBy("gram").agg(F.count("*").alias("n_texts")), "search-counts"))
+
+
+def _scanned(songs: DataFrame, terms: DataFrame) -> DataFrame:
+    """Matches without an index: distinct texts meet the terms on the rarest n-gram of each term, out of the
+    n-grams that some term needs; a hit is verified and then joined back to the songs by its text."""
     wanted = terms.select("term").filter(F.length("term") > 0).distinct()
     low = songs.select("id", F.lower("name").alias("name"), F.lower("artist").alias("artist"))
     texts = low.select(F.explode(F.array("name", "artist")).alias("text")).filter(F.length("text") > 0).distinct()
@@ -42,19 +85,45 @@ def text_matches(songs: DataFrame, terms: DataFrame) -> DataFrame:
         F.max("in_name").alias("in_name"), F.max("in_artist").alias("in_artist"))
 
 
-def search_text(queries: DataFrame, songs: DataFrame, profiles: DataFrame, n: int = 10) -> DataFrame:
-    """The first ``n`` songs by id whose name or artist contains the query, with the top mood."""
+def text_matches(songs: DataFrame | SearchIndex, terms: DataFrame) -> DataFrame:
+    """``(term, id, in_name, in_artist)`` for every song whose name or artist contains the term.
+
+    ``terms`` holds lower-case texts; null and empty ones match nothing. In a kept index, of each term's grams the rarest one's posting
+    list is read, entries without the bits of its other grams are left out, and what remains is compared with the text itself. Plain songs
+    are scanned for the grams of these terms alone, which is cheaper for a single search.
+    """
+    if not isinstance(songs, SearchIndex):
+        return _scanned(songs, terms)
+    index = songs
+    wanted = terms.select("term").filter(F.length("term") > 0).distinct()
+    own = F.when(F.length("term") == 1, _grams(F.col("term"), 1)).when(
+        F.length("term") == 2, _grams(F.col("term"), 2)).otherwise(_grams(F.col("term"), GRAM))
+    needs = [m.alias(f"need_{name}") for m, name in zip(_mask(_grams(F.col("term"), GRAM)), MASKS)]
+    grams = wanted.select("term", *needs, F.explode(own).alias("gram")).join(index.counts, "gram", "left")
+    rarest = grams.groupBy("term", *[f"need_{m}" for m in MASKS]).agg(
+        F.min(F.struct(F.coalesce("n_texts", F.lit(0)).alias("n"), "gram")).alias("r")).filter("r.n > 0")
+    subset = reduce(lambda a, b: a & b, [F.col(m).bitwiseAND(F.col(f"need_{m}")) == F.col(f"need_{m}") for m in MASKS])
+    likely = rarest.withColumn("gram", F.col("r.gram")).join(index.postings, "gram").filter(subset).select("term", "text_id").distinct()
+    return likely.join(index.places, "text_id").filter(F.contains("text", "term")).groupBy("term", "id").agg(
+        F.max("in_name").alias("in_name"), F.max("in_artist").alias("in_artist"))
+
+
+def search_text(queries: DataFrame, songs: DataFrame, profiles: DataFrame, n: int = 10, index: SearchIndex | None = None) -> DataFrame:
+    """The first ``n`` songs by id whose name or artist contains the query, with the top mood and the ``profile``, scores by mood.
+
+    ``index`` is a kept index of ``songs``; without one they are scanned. A song without a profile has null for both.
+    """
     terms = queries.select("query_id", F.lower("text").alias("term"))
     first = Window.partitionBy("term").orderBy("id")
     hits = (
-        text_matches(songs, terms).select("term", "id").withColumn("rank", F.row_number().over(first))
+        text_matches(index or songs, terms).select("term", "id").withColumn("rank", F.row_number().over(first))
         .filter(F.col("rank") <= n)
     )
     top = F.try_element_at(ranked_moods(F.col("scores")), F.lit(1))
-    mood = profiles.select("id", F.element_at("mood_ids", top["pos"] + 1).alias("top_mood"))
+    mood = profiles.select("id", F.element_at("mood_ids", top["pos"] + 1).alias("top_mood"), F.map_from_arrays("mood_ids", "scores").alias("profile"))
     return (
         terms.join(hits, "term").join(songs.select("id", "name", "artist"), "id").join(mood, "id", "left")
-        .select("query_id", "rank", "id", "name", "artist", "top_mood")
+        .select("query_id", "rank", "id", "name", "artist", "top_mood", "profile")
     )
 
 

@@ -193,19 +193,36 @@ def pending_rows(spark, sf):
     return C.pending_rows(fx.extraction(spark, sf), "id").select("id", "language", "n_chars")
 
 
-@query("search_text", """
+SEARCH_SQL = """
  SELECT * FROM (
-  SELECT q.query_id, row_number() OVER (PARTITION BY q.query_id ORDER BY s.id)::INTEGER AS rank, s.id, s.name, s.artist, r.label_id AS top_mood
+  SELECT q.query_id, row_number() OVER (PARTITION BY q.query_id ORDER BY s.id)::INTEGER AS rank, s.id, s.name, s.artist, r.label_id AS top_mood, f.profile
   FROM (SELECT p_partkey AS query_id, CASE WHEN p_partkey % 2 = 0 THEN p_type ELSE substr(p_name, 3, 4) END AS text FROM part) q
   JOIN (SELECT p_partkey AS id, p_name AS name, p_type AS artist FROM part) s
    ON contains(lower(s.name), lower(q.text)) OR contains(lower(s.artist), lower(q.text))
-  LEFT JOIN ranked r ON r.id = s.id AND r.rank = 0) WHERE rank <= 10""", ("ranked",))
-def search_text(spark, sf):
+  LEFT JOIN ranked r ON r.id = s.id AND r.rank = 0
+  LEFT JOIN (SELECT id, string_agg(label_id || ':' || round(score * 10000)::BIGINT, ',' ORDER BY label_id) AS profile FROM moods GROUP BY id) f ON f.id = s.id)
+ WHERE rank <= 10"""
+
+
+def _search(spark, sf, kept: bool):
     part = fx.table(spark, sf, "part")
     asked = part.select(F.col("p_partkey").alias("query_id"), F.when(
         F.col("p_partkey") % 2 == 0, F.col("p_type")).otherwise(F.substring("p_name", 3, 4)).alias("text"))
     shelf = part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_type").alias("artist"))
-    return S.search_text(asked, shelf, fx.bare_profiles(spark, sf))
+    hits = S.search_text(asked, shelf, fx.bare_profiles(spark, sf), index=S.search_index(shelf) if kept else None)
+    moods = F.transform(F.array_sort(F.map_entries("profile")), lambda m: F.concat(
+        m["key"].cast("string"), F.lit(":"), F.round(m["value"] * 10000).cast("long").cast("string")))
+    return hits.withColumn("profile", F.array_join(moods, ","))
+
+
+@query("search_text", SEARCH_SQL, ("ranked",))
+def search_text(spark, sf):
+    return _search(spark, sf, kept=False)
+
+
+@query("search_text_indexed", SEARCH_SQL, ("ranked",))
+def search_text_indexed(spark, sf):
+    return _search(spark, sf, kept=True)
 
 
 @query("resolve_seed", """

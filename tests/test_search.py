@@ -1,5 +1,7 @@
 """Text search and the seed cascade."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from arcloom.operators import search as S
@@ -34,6 +36,27 @@ def test_search_is_limited_per_query_and_ordered_by_id(spark):
     rows = S.search_text(asked, songs(spark), profiles, n=2).orderBy("query_id", "rank").collect()
     assert [(r["query_id"], r["rank"], r["id"], r["top_mood"]) for r in rows] == [
         (7, 1, 1, 1), (7, 2, 2, None), (8, 1, 1, 1), (8, 2, 2, None)]
+    assert rows[0]["profile"] == {0: 0.2, 1: 0.8} and rows[1]["profile"] is None
+
+
+def test_kept_index_serves_many_searches(spark):
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcde é", k=rng.randint(0, 12))) for _ in range(400)]
+    rows = [(i, rng.choice([*words, None]), rng.choice([*words, None])) for i in range(600)] + [(700, "same", "same"), (700, "same", "other"), (701, "y" * 50_000 + "abz", None)]
+    df = spark.createDataFrame(rows, "id long, name string, artist string")
+    index = S.search_index(df, buckets=8)
+    for terms in (["abz", "same", "other", "y" * 200], [w[1:1 + k] for k in range(1, 7) for w in words[::9]], ["zzzz", "", None]):
+        got = {(r["term"], r["id"]): (r["in_name"], r["in_artist"]) for r in S.text_matches(index, spark.createDataFrame([(t,) for t in terms], "term string")).collect()}
+        want = {}
+        for t in filter(None, terms):
+            for i, n, a in rows:
+                inside = (t in (n or ""), t in (a or ""))
+                if any(inside):
+                    old = want.get((t, i), (False, False))
+                    want[t, i] = (old[0] or inside[0], old[1] or inside[1])
+        assert got == want
+    empty = S.search_index(df.limit(0), buckets=8)
+    assert S.text_matches(empty, spark.createDataFrame([("a",)], "term string")).count() == 0
 
 
 def test_seed_cascade(spark):
