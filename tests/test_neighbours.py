@@ -70,3 +70,18 @@ def test_cosine_comes_with_the_neighbours(spark):
     x = np.array([[1.0, 0.0], [2.0, 0.0], [0.0, 3.0], [0.0, 0.0]])
     rows = {(r["src"], r["dst"]): r["cosine"] for r in knn_l2(frame(spark, [0, 1, 2, 3], x), 3).collect()}
     assert abs(rows[0, 1] - 1) < 1e-6 and abs(rows[0, 2]) < 1e-9 and rows[0, 3] == 0
+
+
+def test_a_query_leaves_with_one_list_however_many_blocks_it_met(spark):
+    """What the search shuffles grows with the rows, not with their number of blocks."""
+    from arcloom.operators import block_search as B
+
+    rng = np.random.default_rng(6)
+    x = rng.normal(0, 1, (300, 4))
+    songs = frame(spark, list(range(300)), x).repartition(4)
+    queries = B.pack(songs.selectExpr("CAST(id % 2 AS int) AS key", "id", "0 AS cell", "embedding"))
+    blocks = B.pack(songs.selectExpr("0 AS key", "id", "0 AS cell", "embedding"), 7)
+    rows = B.deal(queries, blocks, 2, 1, 6).collect()
+    want = brute(list(range(300)), x, 5)
+    assert blocks.count() > 40 and len(rows) == 300 * 6
+    assert {(r["rep"], r["id"], round(r["dist"], 6)) for r in rows if r["rep"] != r["id"]} == {(i, *n) for i, near in want.items() for n in near}
