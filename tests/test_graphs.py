@@ -135,3 +135,25 @@ def test_score_above_one_never_lowers_the_cost(spark):
     profiles = spark.createDataFrame([(0, [1.0]), (1, [1.0])], "id long, scores array<double>")
     starts = spark.createDataFrame([(1, 0, [1.0])], "request_id long, start long, target array<double>")
     assert G.mood_path(edges, profiles, starts, max_steps=2).first()["cost"] == 0.0
+
+
+@pytest.mark.parametrize("steps", [4, 30])
+def test_paths_in_tasks_equal_those_by_joins(spark, monkeypatch, steps):
+    """Ties, songs listed twice, songs and starts without moods, and links to unknown songs; no label leaves a task."""
+    rng = random.Random(8)
+    edges = [(u, v, rng.choice([0.2, 0.5, 0.9])) for u in range(40) for v in rng.sample(range(44), 3) if u != v]
+    profiles = [(i, [rng.choice([0.0, 0.5, 1.0]), rng.random()]) for i in range(40) if i != 7] + [(3, [0.0, 0.0])]
+    starts = spark.createDataFrame([(100 + i, i, [1.0, 0.0] if i % 2 else [0.0, 1.0]) for i in [*range(40), 60]], "request_id long, start long, target array<double>")
+    args = spark.createDataFrame(edges, "src long, dst long, score double"), spark.createDataFrame(profiles, "id long, scores array<double>"), starts
+
+    def both():
+        costs = {(r["request_id"], r["node"]): round(r["cost"], 9) for r in G.mood_path_costs(*args, 3).collect()}
+        return costs, {r["request_id"]: (round(r["cost"], 9), r["path"]) for r in G.mood_path(*args, steps).collect()}
+
+    monkeypatch.setattr(G.held_paths, "HELD_LINKS", 0)
+    joined = both()
+    monkeypatch.undo()
+    written = []
+    monkeypatch.setattr(G, "store", lambda df, name: written.append(name) or df)
+    assert both() == joined
+    assert "labels" not in written and "path-costs" not in written
