@@ -21,7 +21,7 @@ from arcloom.functions.vectors import as_doubles, cosine_score, tidy
 from arcloom.operators.moods import LOOSE_FLOOR, language_fits, mood_score
 from arcloom.operators.positions import hash_positions
 from arcloom.operators.search import top_moods
-from arcloom.sources.workspace import store
+from arcloom.sources.workspace import store, store_by_key
 
 # Tier sizes, bridge bound and blend weights.
 GRAPH_K, NEAR_K, POOL_K = 30, 60, 60
@@ -30,6 +30,8 @@ BRIDGE_FLOOR = 0.4
 ALPHA_START, ALPHA_SPAN = 0.4, 0.3
 # Pools up to this size are spread over salts.
 SMALL_POOL, SALTS = 4096, 32
+# A song with more open requests than this, and than this share of all, gets its neighbours by broadcast.
+BUSY_ROWS, BUSY_SONGS = 4096, 64
 NEAREST_KEPT = 3 * NEAR_K - 1
 DIGITS = 6
 
@@ -82,7 +84,7 @@ def neighbour_table(scored: DataFrame, songs: DataFrame, k: int = 50, prune: flo
     lists = scored.filter(F.col("rank") <= NEAREST_KEPT).join(other, "dst").groupBy(F.col("src").alias("current")).agg(
         F.array_sort(F.collect_list(entry)).alias("near"))
     return songs.select(F.col("id").alias("current"), as_doubles("embedding").alias("current_vec")).join(
-        lists, "current", "left")
+        lists.hint("merge"), "current", "left")
 
 
 def zone_plan(requests: DataFrame, profile: str = "batch") -> DataFrame:
@@ -190,10 +192,23 @@ def _draw_positions(pool_n: Column, size: Column, seed, *keys) -> Column:
     return F.when(count > 0, drawn).otherwise(F.array().cast("array<bigint>"))
 
 
-def _with_near(state: DataFrame, neighbours: DataFrame, cols: Columns | None = None) -> DataFrame:
+def _with_near(state: DataFrame, neighbours: DataFrame, cols: Columns | None = None, busy=()) -> DataFrame:
+    """State rows with their unplayed neighbours; ``busy`` songs, a bounded number, are joined by broadcast."""
     near = (cols or Columns())("unplayed", lambda: F.coalesce(
         _unplayed(F.col("near"), F.col("played")), F.array().cast(neighbours.schema["near"].dataType)))
-    return state.join(neighbours, "current", "left").withColumn("near", near)
+    if not busy:
+        return state.join(neighbours, "current", "left").withColumn("near", near)
+    at_busy = F.coalesce(F.col("current").isin(list(busy)), F.lit(False))
+    spread = state.filter(at_busy).join(F.broadcast(neighbours.filter(at_busy)), "current", "left")
+    return state.filter(~at_busy).join(neighbours, "current", "left").unionByName(spread).withColumn("near", near)
+
+
+def _busy_songs(state: DataFrame, n_rows: int) -> list:
+    """The songs at which very many requests are, ``BUSY_SONGS`` at most."""
+    if n_rows <= BUSY_ROWS:
+        return []
+    counts = state.filter(F.col("current").isNotNull()).groupBy("current").agg(F.count("*").alias("n"))
+    return [r["current"] for r in counts.filter(F.col("n") > max(BUSY_ROWS, n_rows // BUSY_SONGS)).collect()]
 
 
 POOL_KEYS = ["mood", "other", "pos", "salt"]
@@ -313,11 +328,11 @@ def _with_next(state: DataFrame) -> DataFrame:
 
 
 def _with_candidates(state: DataFrame, neighbours: DataFrame, pools: DataFrame, sizes: DataFrame, bridge: Column,
-                     p: Profile, seed, cols: Columns | None = None, scorer=None) -> DataFrame:
+                     p: Profile, seed, cols: Columns | None = None, scorer=None, busy=()) -> DataFrame:
     """State rows plus ``cands``, and ``bridged`` where they come from the bridge rule."""
     cols = cols or Columns()
     near, mood, wanted = F.col("near"), F.col("mood"), F.col("wanted")
-    local = _with_near(_with_next(state), neighbours, cols).withColumns({
+    local = _with_near(_with_next(state), neighbours, cols, busy).withColumns({
         "_bridge": cols("bridge", lambda: F.when(bridge, _bridge_tier(near, mood, F.col("next_mood"), p))),
         "_graph": cols("graph", lambda: _graph_tier(near, mood, wanted, p)),
         "_near": cols("near", lambda: _near_tier(near, mood, wanted, p))})
@@ -506,7 +521,7 @@ def _next_zone() -> Column:
 
 
 def walk_step(state: DataFrame, neighbours: DataFrame, pools: DataFrame, sizes: DataFrame, p: Profile,
-              seed, cols: Columns | None = None, scorer=None) -> DataFrame:
+              seed, cols: Columns | None = None, scorer=None, busy=()) -> DataFrame:
     """Advance every request by one song, or to the next zone where nothing fits; ``pools`` are salted.
 
     The zone and the number of songs played key the random draws, so the plan's text and its generated
@@ -519,7 +534,7 @@ def walk_step(state: DataFrame, neighbours: DataFrame, pools: DataFrame, sizes:
         "mood": F.element_at("arc", F.col("zone") + 1),
         "next_mood": F.try_element_at(F.col("arc"), (F.col("zone") + 2).cast("int"))})
     bridge = F.col("next_mood").isNotNull() & (F.col("filled") == F.element_at("lens", F.col("zone") + 1) - 1)
-    rows = _with_candidates(placed, neighbours, pools, sizes, bridge, p, seed, cols, scorer)
+    rows = _with_candidates(placed, neighbours, pools, sizes, bridge, p, seed, cols, scorer, busy)
     alpha = F.lit(ALPHA_START) + F.lit(ALPHA_SPAN) * F.col("zone") / F.greatest(F.size("arc") - 1, F.lit(1))
     drawn = _with_draw(rows, p, alpha, f"{seed}-draw", "request_id", "zone", F.size("played"), cols=cols)
     got = F.col("drawn").isNotNull()
@@ -542,12 +557,12 @@ def generate_playlists(requests: DataFrame, seeds: DataFrame, neighbours: DataFr
     ``service`` profile then never uses a stored score.
 
     ``requests`` holds ``request_id, arc (positions), temperature, playlist_len, wanted``. State, neighbours and pools are
-    stored tables, so Spark knows their sizes and picks each step's joins: few open requests are sent to the
-    neighbour table, many are shuffled, and many at one song are split.
+    stored tables. The neighbour lists, by far the largest, are written in buckets of their song once, so that a step moves only the
+    state; the lists of songs with very many requests are broadcast.
     """
     p = PROFILES[profile]
     state = store(walk_start(requests, seeds, p), "walk-start")
-    near = store(neighbours.repartitionByRange("current").sortWithinPartitions("current"), "neighbours")
+    near, table = store_by_key(neighbours, "neighbours", "current")
     pools = store(salted_pools(pools), "pools")
     sizes = store(sizes, "pool-sizes")
     cols, done = Columns(), []
@@ -558,7 +573,10 @@ def generate_playlists(requests: DataFrame, seeds: DataFrame, neighbours: DataFr
             done.append(state.filter(~going))
         if not n_open:
             break
-        state = store(walk_step(state.filter(going), near, pools, sizes, p, seed, cols, scorer), "walk-step")
+        state = state.filter(going)
+        busy = _busy_songs(state, n_open)
+        state = store(walk_step(state, near, pools, sizes, p, seed, cols, scorer, busy), "walk-step")
+    neighbours.sparkSession.sql(f"DROP TABLE IF EXISTS {table}")
     finished = done[0]
     for part in done[1:]:
         finished = finished.unionByName(part)

@@ -43,3 +43,15 @@ def store(df: DataFrame, name: str) -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def store_by_key(df: DataFrame, name: str, key: str) -> tuple[DataFrame, str]:
+    """Write a table in buckets of ``key``, one per shuffle partition, and read it back: joins on the key then move only the other side.
+
+    The second value is the table's name, to be dropped when it is no longer read; the files stay in the shared folder.
+    """
+    spark = df.sparkSession
+    table = f"arcloom_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.format("parquet").bucketBy(buckets, key).option("path", new_path(spark, name)).saveAsTable(table)
+    return spark.table(table), table

@@ -202,3 +202,27 @@ def test_requests_are_checked(spark):
     got = {r["request_id"]: r["errors"] for r in P.validate_requests(df, labels).collect()}
     assert got == {1: [], 2: ["empty arc"], 3: ["unknown moods: odd", "temperature out of range", "length out of range"]}
     assert {r["request_id"]: r["arc"] for r in P.arc_positions(df, labels).collect()} == {1: [0]}
+
+
+def test_a_step_moves_the_state_and_not_the_neighbour_lists(spark, world):
+    from arcloom.sources.workspace import store_by_key
+
+    songs, near = world["songs"], world["near"]
+    kept, table = store_by_key(near, "near", "current")
+    state = songs.select(F.col("id").alias("request_id"), F.col("id").alias("current"), F.array("id").alias("played"))
+    plan = P._with_near(state, kept.hint("merge"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(current") == 1 and "Bucketed: true" in plan
+    want = {r["request_id"]: r["near"] for r in P._with_near(state, near).collect()}
+    assert {r["request_id"]: r["near"] for r in P._with_near(state, kept).collect()} == want
+    spark.sql(f"DROP TABLE {table}")
+
+
+def test_busy_songs_are_joined_like_the_others(spark, world, monkeypatch):
+    near = world["near"]
+    state = spark.createDataFrame([(i, [0, 0, 0, 1, None][i % 5], [i]) for i in range(50)], "request_id long, current long, played array<long>")
+    monkeypatch.setattr(P, "BUSY_ROWS", 5)
+    monkeypatch.setattr(P, "BUSY_SONGS", 2)
+    busy = P._busy_songs(state, 50)
+    assert busy == [0] and P._busy_songs(state, 5) == []
+    rows = [sorted((r["request_id"], r["current"], len(r["near"])) for r in P._with_near(state, near, busy=b).collect()) for b in ((), busy)]
+    assert rows[0] == rows[1] and len(rows[0]) == 50
