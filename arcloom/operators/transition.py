@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark import StorageLevel
@@ -20,6 +21,8 @@ from arcloom.sources.workspace import store
 
 HIDDEN = [256, 128, 64]
 EPOCHS, PATIENCE = 50, 5
+#: Pairs of a partition: every partition answers each optimiser step with a gradient as large as the network.
+PART_ROWS = 2048
 
 
 def bce(label: Column, score: Column) -> Column:
@@ -43,11 +46,13 @@ def train_transition_model(pairs: DataFrame, epochs: int = EPOCHS, patience: int
 
     ``pairs`` carries ``features``, ``label`` and ``split``. Each epoch continues from the previous
     weights for ``steps`` optimiser steps; the best weights win. Without validation rows the training loss decides.
+    The number of partitions follows the number of pairs and the cores, not the files they come from, and with it what the driver receives.
     Returns ``(model, history)`` with ``epoch, train_loss, val_loss, val_auc, val_acc``.
     """
     raw = pairs.select(array_to_vector("features").alias("_x"), F.col("label").cast("double").alias("label"), "split")
     scaler = StandardScaler(inputCol="_x", outputCol="_z", withMean=True, withStd=True).fit(raw.filter("split = 'train'"))
-    rows = scaler.transform(raw).select("_z", "label", "split").persist(StorageLevel.MEMORY_AND_DISK)
+    parts = min(math.ceil(max(raw.count(), 1) / PART_ROWS), 2 * pairs.sparkSession.sparkContext.defaultParallelism)
+    rows = scaler.transform(raw).select("_z", "label", "split").coalesce(parts).persist(StorageLevel.MEMORY_AND_DISK)
     train, val = rows.filter("split = 'train'"), rows.filter("split = 'val'")
     judges = BinaryClassificationEvaluator(labelCol="label", rawPredictionCol="probability")
     has_val = not val.isEmpty()

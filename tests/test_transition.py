@@ -154,3 +154,13 @@ def test_training_without_validation_rows(spark):
     last = history.collect()[-1]
     assert last["val_loss"] is None and last["val_auc"] is None and last["train_loss"] is not None
     assert T.model_scores(model, rows).count() == 40
+
+
+def test_partitions_of_the_training_follow_the_pairs(spark, monkeypatch):
+    """Each one answers every step with a gradient, so many small files must not become many gradients for the driver."""
+    seen, fit = [], T.MultilayerPerceptronClassifier.fit
+    monkeypatch.setattr(T.MultilayerPerceptronClassifier, "fit", lambda self, df, *a: (seen.append(df.rdd.getNumPartitions()), fit(self, df, *a))[1])
+    rows = [([float(i % 2), float(i)], i % 2, "val" if i % 5 == 0 else "train") for i in range(40)]
+    pairs = spark.createDataFrame(rows, "features array<double>, label int, split string").repartition(16)
+    T.train_transition_model(pairs, epochs=2, hidden=[4])
+    assert seen == [1, 1]
