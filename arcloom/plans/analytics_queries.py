@@ -22,7 +22,7 @@ from arcloom.plans import fixtures as fx
 from arcloom.operators.moods import mood_pools, pool_sizes
 from arcloom.plans.registry import query, u01
 from arcloom.sources.artefacts import load_transition_model, save_model
-from arcloom.sources.workspace import store
+from arcloom.sources.workspace import store, store_by_key
 
 PAIRS = 600
 TRAIN_PAIRS = 3000
@@ -877,15 +877,16 @@ def _walk_tables(spark, sf, network):
 def walk_step(spark, sf):
     """Every song's first step towards the next two moods on the wheel, scored by a fixed network, in both profiles."""
     near, pools, sizes, scorer = _walk_tables(spark, sf, _network())
-    near, pools = store(near, "neighbours"), store(P.salted_pools(pools), "salted-pools")
+    (near, held), pools = store_by_key(near, "neighbours", "current"), store(P.salted_pools(pools), "salted-pools")
     asked = fx.states(spark, sf).select("request_id", "current", F.array("mood", "next_mood").alias("arc"), F.lit(0.3).alias("temperature"),
                                         F.lit(8).alias("playlist_len"), "wanted")
     parts = []
     for profile in P.PROFILES.values():
         start = P.walk_start(asked.drop("current"), asked.select("request_id", F.col("current").alias("id")), profile)
-        step = P.walk_step(start, near, pools, sizes, profile, "walk", scorer=scorer).filter(F.size("picks") > 0)
+        step = store(P.walk_step(start, near, pools, sizes, profile, "walk", scorer=scorer), "walk-step").filter(F.size("picks") > 0)
         pick = F.element_at("picks", 1)
         parts.append(step.select("request_id", pick["id"].alias("id"), pick["source"].alias("source"), tidy(pick["score"], 8).alias("score"), F.lit(profile.name).alias("profile")))
+    spark.sql(f"DROP TABLE IF EXISTS {held}")
     return parts[0].unionByName(parts[1])
 
 

@@ -94,3 +94,21 @@ def test_walk_uses_the_classifier(spark, songs, fitted, profile):
             assert abs(want - now["score"]) < 1e-6, (profile, now, want)
             checked += 1
     assert checked > 60
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_the_grid_equals_the_joins(spark, kind, monkeypatch):
+    """Repeated songs, songs without a state, unknown and null ids; the states travel to the grid and not with the pairs."""
+    rng = np.random.default_rng(13)
+    rows = [(i % 30, [float(v) for v in rng.normal(0, 1, 2)] if i != 7 else None, 1.0, 2.0, float(i), [0.5, 0.5]) for i in range(33)]
+    songs = spark.createDataFrame(rows, "id long, embedding array<double>, tempo double, energy double, valence double, scores array<double>").withColumn("id", F.col("id").cast(kind))
+    pairs = [(int(a), int(b), n) if n % 50 else (None, int(b), n) for n, (a, b) in enumerate(rng.integers(0, 34, (400, 2)))]
+    pairs = spark.createDataFrame(pairs, "a long, b long, n int").withColumns({"a": F.col("a").cast(kind), "b": F.col("b").cast(kind)})
+    scorer, out = S.pair_scorer(songs, S.linear_network(2, np.linspace(-1, 1, 11), 0.1)), []
+    for side in (3, 1000):
+        monkeypatch.setattr(S, "GRID_SIDE", side)
+        found = scorer(pairs)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert ("MapInArrow" in plan) == (side == 3) and found.columns == ["b", "a", "n", "score"]
+        out.append(sorted((r["n"], r["a"], r["b"], -1 if r["score"] is None else round(r["score"], 9)) for r in found.collect()))
+    assert out[0] == out[1] and len(out[0]) > 300 and any(r[3] == -1 for r in out[0])
