@@ -85,3 +85,13 @@ def test_a_query_leaves_with_one_list_however_many_blocks_it_met(spark):
     want = brute(list(range(300)), x, 5)
     assert blocks.count() > 40 and len(rows) == 300 * 6
     assert {(r["rep"], r["id"], round(r["dist"], 6)) for r in rows if r["rep"] != r["id"]} == {(i, *n) for i, near in want.items() for n in near}
+
+
+def test_a_vector_goes_to_as_many_tasks_in_a_larger_table(spark):
+    """The copies of a vector that the search sends out follow the cores, not the rows, and queries are not repeated."""
+    from arcloom.operators import block_search as B
+
+    tasks = 4 * spark.sparkContext.defaultParallelism
+    least, most = tasks * B.LEAST_ROWS, tasks * B.QUERY_ROWS
+    assert {B.group_counts(spark, n, n) for n in (least, 6 * least, most // 2, most)} == {(tasks, 1)}
+    assert B.group_counts(spark, 2 * most, 2 * most) == (2 * tasks, 1)
